@@ -1,0 +1 @@
+"""Empty on purpose: every capability of this package is a batch job over a finite panel."""
