@@ -107,10 +107,12 @@ def fold_slices(n: int, n_splits: int, h: int, v: int) -> list[tuple[slice, slic
     return [(slice(0, s - h), slice(s, min(s + v, n))) for s in starts if s - h > 0]
 
 
-def grid_table(spark, points: Sequence[dict]) -> DataFrame:
-    """Tuning grid as rows (grid_pos, params map); grid_pos is the tie-break order."""
-    rows = [(i, {k: str(v) for k, v in p.items()}) for i, p in enumerate(points)]
-    return spark.createDataFrame(rows, "grid_pos int, params map<string,string>")
+def with_grid(df: DataFrame, points: Sequence[dict]) -> DataFrame:
+    """Every row once per grid point, with ``grid_pos`` (the tie-break order) and the parameters as columns. The grid
+    is a literal of the plan, so this is a generator and no join."""
+    grid = F.array(*[
+        F.struct(F.lit(i).alias("grid_pos"), *[F.lit(v).alias(k) for k, v in p.items()]) for i, p in enumerate(points)])
+    return df.select("*", F.inline(grid))
 
 
 def best_point(fold_scores: DataFrame, keys: Sequence[str] = ("series_id", "cycle")) -> DataFrame:
@@ -136,7 +138,16 @@ def origin_blocks(features: DataFrame, plan: Expanding, grain: str) -> DataFrame
     first, last = F.floor(first_cycle / per_block), F.floor((total - 1) / per_block)
     # The actual of an origin is read from its newest row's target, so rows past the last origin are not needed.
     seen = features.where((total > 0) & (first <= last))
-    return seen.withColumn("block", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    copied = seen.withColumn("block", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    return spread_groups(copied, "series_id", "block")
+
+
+def spread_groups(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by the group keys into a fixed number of tasks. Groups of fits hold few bytes but much work, and
+    adaptive execution, which sees bytes only, would merge them into a handful of tasks."""
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
 
 
 class History:

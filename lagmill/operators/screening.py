@@ -52,7 +52,7 @@ def column_stats(df: DataFrame, predictors: Sequence[str]) -> DataFrame:
     for i, c in enumerate(predictors):
         x = finite_or_null(quoted(c).cast("double"))
         aggs += [F.count(x).alias(f"c{i}"), F.var_samp(x).alias(f"v{i}"), F.avg(x).alias(f"m{i}")]
-        missing = 1.0 - F.col(f"c{i}") / F.nullif(F.col("n"), F.lit(0.0))
+        missing = (F.col("n") - F.col(f"c{i}")) / F.nullif(F.col("n"), F.lit(0.0))
         rows.append(F.struct(F.lit(i).alias("pos"), F.lit(c).alias("variable"), missing.alias("na_frac"),
                              F.col(f"v{i}").alias("variance"), F.col(f"m{i}").alias("mean")))
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
