@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.panels import G1, P2, REGIME_SQL, REGIMES, daily, entities, growth
+from catalog.panels import G1, P1, P2, PRIORITIES, REGIME_SQL, REGIMES, daily, entities, growth, text_table
 from catalog.registry import query
 from catalog.scoring import _SCORES
 from lagmill.operators.explain import linear_contributions
@@ -11,6 +11,7 @@ from lagmill.operators.origins import Expanding, background_rows, live_rows
 from lagmill.operators.scoring import evaluate
 from lagmill.plans.backtest import BacktestConfig, model_of, run_backtest
 from lagmill.plans.boosted import run_boosted
+from lagmill.plans.study import forecast_table, prepare, run_models, score_table, stationarity
 
 _W = "OVER (PARTITION BY series_id ORDER BY ts)"
 ONE_LAG = BacktestConfig(nlags=1, volatility=False, origins=Expanding(initial=40, interval=12), v=12)
@@ -45,7 +46,7 @@ _BACKTEST = f"""{G1}, {GRID_SQL}, f AS (SELECT series_id, ts, row_number() {_W}
   FROM f WHERE idx + 1 BETWEEN 40 AND n - 1),
  fr AS (SELECT og.series_id, s, idx, f.x, f.y FROM og JOIN f ON f.series_id = og.series_id AND idx <= s - 2), {_fit_sql('u', 'fr')},
  bg AS (SELECT series_id, s, avg(z) AS mbg FROM uz WHERE idx > last - 100 GROUP BY 1, 2),
- bt AS (SELECT og.series_id, og.s AS origin_idx, origin_date, forecast_date, actual, grid_pos, og.s = cycle_start AS tuned, w,
+ bt AS (SELECT og.series_id, og.s AS origin_idx, origin_date, forecast_date, actual, b.grid_pos, og.s = cycle_start AS tuned, w,
    least(greatest(x_live, low), high) AS feature_value, (least(greatest(x_live, low), high) - med) / iqr AS z_live, mbg, my - w * mz AS c
   FROM og JOIN best b ON b.series_id = og.series_id AND b.s = cycle_start
   JOIN (SELECT *, {_WEIGHT} AS w FROM um CROSS JOIN grid) m ON m.series_id = og.series_id AND m.s = og.s AND m.grid_pos = b.grid_pos
@@ -128,16 +129,53 @@ def multivariate_elastic_net(spark, sf):
     return run_backtest(entities(spark, sf), model_of("elasticnet", "multivariate"), config).forecasts()
 
 
-def _boosted(spark, sf):
+def _boosted(spark, sf, explain_pairs):
     config = BacktestConfig(nlags=3, origins=Expanding(initial=56, interval=12), v=12)
-    return run_boosted(growth(spark, sf), config, [{"max_depth": 2, "n_estimators": 3}, {"max_depth": 3, "n_estimators": 3}], explain_pairs=1)
+    return run_boosted(growth(spark, sf), config, [{"max_depth": 2, "n_estimators": 3}, {"max_depth": 3, "n_estimators": 3}], explain_pairs=explain_pairs)
 
 
 @query("m7_boosted_trees_backtest", _FORECAST)
 def boosted(spark, sf):
-    return _boosted(spark, sf)[0]
+    return _boosted(spark, sf, 0)[0]
 
 
 @query("x2_boosted_trees_explanations", "series_id, origin_date:t, forecast_date:t, feature, feature_value:6, shap_value:6, prediction:6, base_value:6")
 def boosted_explanations(spark, sf):
-    return _boosted(spark, sf)[1]
+    return _boosted(spark, sf, 1)[1]
+
+
+_STUDY_FRAME = f"""{P1}, gx AS (SELECT series_id, ts, ln(value) - lag(ln(value)) OVER (PARTITION BY series_id ORDER BY ts) AS value FROM ps),
+ pw AS (SELECT ts, {{pivot}} FROM gx GROUP BY ts),
+ ff AS (SELECT min(ts) AS first FROM pw WHERE {{full}}), pt AS (SELECT pw.* FROM pw, ff WHERE first IS NULL OR ts >= first),
+ pn AS (SELECT *, row_number() OVER (ORDER BY ts) AS rn, count(*) OVER () AS n FROM pt)"""
+_STUDY_SQL = _STUDY_FRAME.format(
+    pivot=", ".join(f"max(value) FILTER (series_id = '{p}') AS \"{p}\"" for p in PRIORITIES),
+    full=" AND ".join(f'"{p}" IS NOT NULL' for p in PRIORITIES),
+).replace("gx AS", """pd AS (SELECT DISTINCT ts FROM p1), pk AS (SELECT DISTINCT series_id FROM p1),
+ ps AS (SELECT pk.series_id, pd.ts, value FROM pd CROSS JOIN pk LEFT JOIN p1 ON p1.series_id = pk.series_id AND p1.ts = pd.ts), gx AS""", 1)
+
+
+def _prepared(spark, sf):
+    return prepare(text_table(spark, sf), "multivariate", "1-URGENT", start="1995-06-01", end="2001-06-01",
+                   drop_first=(), drop_last=())
+
+
+@query("study_modeling_frame", "ts:t, " + ", ".join(f"{p}:9" for p in PRIORITIES), f"""WITH {_STUDY_SQL} SELECT * FROM (
+ SELECT ts, {', '.join(f'CASE WHEN rn BETWEEN 21 AND n - 20 THEN coalesce("{p}", avg("{p}") OVER ()) ELSE "{p}" END AS "{p}"' for p in PRIORITIES)} FROM pn)
+ WHERE ts BETWEEN DATE '1995-06-01' AND DATE '2001-06-01'""")
+def study_frame(spark, sf):
+    """Text table to modeling frame: select, transform by code, trim, fill, cut."""
+    return _prepared(spark, sf).frame
+
+
+@query("study_stationarity", "variable, adf_stat:6, p_value:6, lags:i, n_obs:i, stationary")
+def study_stationarity(spark, sf):
+    return stationarity(_prepared(spark, sf))
+
+
+@query("study_scores_with_naive_reference", "model_type, model_class, scope, n:i, rmse:6, mae:6, hit_rate:6, naive_rmse:6, naive_mae:6, naive_hit_rate:6")
+def study_scores(spark, sf):
+    """Two model classes on one shared frame, scored beside the zero forecast."""
+    runs = run_models(_prepared(spark, sf), "multivariate", ["elasticnet", "huber"], "1-URGENT", nlags=3,
+                      origins=Expanding(initial=40, interval=12), v=12)
+    return score_table(forecast_table(runs, "multivariate"), REGIMES)

@@ -8,25 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CELLS = 256
+ACCURACY = 10_000  # rank error of the approximation: one ten-thousandth of a group
+MARGIN = 2.0 / ACCURACY
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                    cells: int = CELLS) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """One column per name in ``probs``, equal to sorting the group and interpolating linearly between two ranks.
 
-    ``percentile`` would hold all distinct values of a group in one task. Here equal values are counted first (with
-    partial aggregation), approximate quantiles cut each group into cells, cell counts tell which cells hold the wanted
-    ranks, and only those cells are ranked. The approximation decides the cell sizes, never the result."""
+    ``percentile`` would hold all distinct values of a group in one task. Here approximate quantiles just below and above
+    each wanted one cut a group into cells, counts tell which cells hold the wanted ranks, and only those cells, thin
+    slices of the group, are ranked. The approximation decides the cell sizes, never the result: a rank that fell
+    outside its slice is found in the cell that holds it. Equal values are counted before any shuffle."""
     keys = list(keys)
-    counted = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_times"))
-    )
-    cuts = counted.groupBy(*keys).agg(F.percentile_approx(
-        "_v", F.array(*[F.lit(i / cells) for i in range(1, cells)]), F.lit(cells * 4)).alias("_cuts"))
-    placed = counted.join(cuts, keys).withColumn(
-        "_cell", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    rows = df.where(F.col(value).isNotNull())
+    counted = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_times"))
+    edges = sorted({min(max(p + side * MARGIN, 0.0), 1.0) for p in probs.values() for side in (-1, 1)})
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(
+        value, F.array(*[F.lit(e) for e in edges]), F.lit(ACCURACY)).alias("_cuts"))
+    above = [(F.col("_v") > F.get("_cuts", F.lit(i))).cast("int") for i in range(len(edges))]
+    placed = counted.join(cuts, keys).withColumn("_cell", sum(above[1:], above[0])).drop("_cuts")
     by_cell = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     ranks = F.array(*[
         F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("rank"))

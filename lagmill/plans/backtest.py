@@ -77,6 +77,11 @@ class Backtest:
     model: Model
     names: Sequence[str]
 
+    def stored(self, path: str) -> Backtest:
+        """Write the fits and go on from the files, so that several results need only one run."""
+        self.fits.write.mode("overwrite").parquet(path)
+        return replace(self, fits=self.fits.sparkSession.read.parquet(path))
+
     def forecasts(self) -> DataFrame:
         return self.fits.select(
             "series_id", F.lit(self.model.name).alias("model_class"), "origin_idx", "origin_date", "forecast_date",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from uuid import uuid4
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -18,6 +18,7 @@ from lagmill.operators.origins import BACKGROUND_ROWS, TAILS, hv_folds
 from lagmill.operators.panel import SERIES
 from lagmill.plans.backtest import BacktestConfig
 from lagmill.plans.defaults import model_grid
+from lagmill.session import shared_folder
 
 DEEPEST = 30
 CUTS = (*TAILS, 0.25, 0.5, 0.75)
@@ -60,23 +61,27 @@ def _scaled(rows: DataFrame, fitted_on: Column, k: int) -> DataFrame:
 
 
 def run_boosted(df: DataFrame, config: BacktestConfig, grid: list[dict] | None = None, trees: Trees = Trees(),
-                explain_pairs: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(forecasts, explanations, tuned). The driver loops over tuning cycles, whose number follows the length of a
+                explain_pairs: int = 4, path: str | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(forecasts, explanations, tuned); no explanations for ``explain_pairs=0``. The driver loops over tuning cycles, whose number follows the length of a
     series, not the amount of data; each fit is distributed and covers the whole cycle's origins (no refit inside a
-    cycle)."""
-    grid = grid or model_grid("lightgbm")
+    cycle). Each cycle's results are written under ``path`` (by default in the shared folder), so plans do not grow from
+    cycle to cycle and a lost executor costs at most the work of the running cycle."""
+    spark, grid = df.sparkSession, grid or model_grid("lightgbm")
+    path = path or f"{shared_folder(spark)}/boosted-{uuid4().hex}"
     plan, k = config.origins, len(config.names)
     rows = assemble(lag_features(df, config.target, config.grain, config.nlags, config.predictor_lags, plan.horizon,
-                                 config.volatility, config.univariate), config.names).where("complete").persist()
+                                 config.volatility, config.univariate), config.names).where("complete")
+    rows.write.parquet(f"{path}/features")
+    rows = spark.read.parquet(f"{path}/features")
     longest = rows.agg(F.max("n")).first()[0] or 0
-    forecasts, explanations, tuned = [], [], []
+    names, tuned = F.array(*[F.lit(n) for n in config.names]), []
     for cycle in range(plan.cycles(longest)):
         first = plan.initial + cycle * plan.interval
         known = F.col("target").isNotNull() & (F.col("idx") < first - plan.horizon)
         seen = rows.where(F.col("idx") < first + plan.interval - 1).withColumn("_known", known)
-        w = W.partitionBy("series_id", "_known").orderBy("idx")
-        whole = W.partitionBy("series_id", "_known")
-        placed = seen.withColumns({"_row": F.row_number().over(w) - 1, "_rows": F.count(F.lit(1)).over(whole)}).persist()
+        order = W.partitionBy("series_id", "_known")
+        placed = seen.withColumns({"_row": F.row_number().over(order.orderBy("idx")) - 1,
+                                   "_rows": F.count(F.lit(1)).over(order)})
         choice = _tune(placed.where("_known"), grid, trees, config, k)
         ready = _scaled(placed, F.col("_known"), k).persist()
         model = trees.fit(ready.where("_known"), grid[choice])
@@ -85,29 +90,32 @@ def run_boosted(df: DataFrame, config: BacktestConfig, grid: list[dict] | None =
             "series_id", F.lit("lightgbm").alias("model_class"), (F.col("idx") + 1).cast("int").alias("origin_idx"),
             F.col("ts").alias("origin_date"), F.col("target_ts").alias("forecast_date"),
             F.col("prediction").alias("forecast_logdiff"), "actual_logdiff", "clipped", "scaled")
-        forecasts.append(out)
+        out.drop("clipped", "scaled").write.parquet(f"{path}/forecasts/cycle={cycle}")
         background = ready.where(F.col("_known") & (F.col("_row") >= F.col("_rows") - BACKGROUND_ROWS)).select(
             "series_id", F.col("scaled").alias("features"))
 
         def score(mixed: DataFrame, model=model) -> DataFrame:
             return model.transform(mixed.withColumn("vector", array_to_vector("features")))
 
+        tuned.append((first, choice, int(grid[choice]["max_depth"]), int(grid[choice]["n_estimators"])))
+        if not explain_pairs:
+            ready.unpersist()
+            continue
         keys = [*SERIES, "origin_idx"]
         values = sampled_contributions(out.select(*keys, F.col("scaled").alias("features")), background, score, keys,
                                        SERIES, k, explain_pairs)
-        explanations.append(values.join(out.drop("scaled"), keys))
-        tuned.append((first, choice))
-    if not forecasts:
+        values.join(out.drop("scaled"), keys).select(
+            "series_id", "model_class", "origin_date", "forecast_date", F.get(names, F.col("feature_pos")).alias("feature"),
+            F.get("clipped", F.col("feature_pos")).alias("feature_value"), "shap_value",
+            F.col("forecast_logdiff").alias("prediction"), "base_value",
+        ).write.parquet(f"{path}/explanations/cycle={cycle}")
+        ready.unpersist()
+    if not tuned:
         raise ValueError("no series is long enough for a first origin")
-    names = F.array(*[F.lit(n) for n in config.names])
-    records = reduce(DataFrame.unionByName, explanations).select(
-        "series_id", "model_class", "origin_date", "forecast_date", F.get(names, F.col("feature_pos")).alias("feature"),
-        F.get("clipped", F.col("feature_pos")).alias("feature_value"), "shap_value",
-        F.col("forecast_logdiff").alias("prediction"), "base_value")
-    choices = df.sparkSession.createDataFrame(
-        [(o, c, int(grid[c]["max_depth"]), int(grid[c]["n_estimators"])) for o, c in tuned],
-        "origin_idx int, grid_pos int, max_depth int, n_estimators int")
-    return reduce(DataFrame.unionByName, forecasts).drop("clipped", "scaled"), records, choices
+    choices = spark.createDataFrame(tuned, "origin_idx int, grid_pos int, max_depth int, n_estimators int")
+    forecasts = spark.read.parquet(f"{path}/forecasts").drop("cycle")
+    explanations = spark.read.parquet(f"{path}/explanations").drop("cycle") if explain_pairs else None
+    return forecasts, explanations, choices
 
 
 def _tune(known: DataFrame, grid: list[dict], trees: Trees, config: BacktestConfig, k: int) -> int:

@@ -17,6 +17,8 @@ def build_session(app: str = "lagmill", master: str | None = None, shuffle_parti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # No call-site capture per column expression: it dominates the time to build plans of many expressions.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master).config("spark.driver.memory", "16g")
