@@ -1,5 +1,7 @@
 """Backtests: tuned, fitted and explained at every origin."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from catalog.panels import G1, P1, P2, PRIORITIES, REGIME_SQL, REGIMES, daily, entities, growth, text_table
@@ -20,11 +22,12 @@ GRID_SQL = "grid AS (SELECT * FROM (VALUES " + ", ".join(
     f"({i}, {p['alpha']}::DOUBLE, {p['l1_ratio']}::DOUBLE)" for i, p in enumerate(GRID)) + ") AS g(grid_pos, alpha, l1))"
 
 
-def _fit_sql(p: str, rows: str) -> str:
+def _fit_sql(p: str, rows: str, clip_x: bool = True, clip_y: bool = True) -> str:
     """Winsorized, scaled moments of the sets in ``rows``(series_id, s, idx, x, y): <p>m(series_id, s, low, high, med,
     iqr, mz, my, cov, var) and <p>z with the scaled rows."""
-    return f"""{p}q AS (SELECT series_id, s, quantile_cont(x, 0.01) AS low, quantile_cont(x, 0.99) AS high, quantile_cont(y, 0.01) AS ylow,
-  quantile_cont(y, 0.99) AS yhigh, max(idx) AS last FROM {rows} GROUP BY 1, 2),
+    (x0, x1), (y0, y1) = ((0.01, 0.99) if c else (0, 1) for c in (clip_x, clip_y))
+    return f"""{p}q AS (SELECT series_id, s, quantile_cont(x, {x0}) AS low, quantile_cont(x, {x1}) AS high, quantile_cont(y, {y0}) AS ylow,
+  quantile_cont(y, {y1}) AS yhigh, max(idx) AS last FROM {rows} GROUP BY 1, 2),
  {p}c AS (SELECT r.series_id, r.s, idx, last, low, high, least(greatest(x, low), high) AS x, least(greatest(y, ylow), yhigh) AS y
   FROM {rows} r JOIN {p}q USING (series_id, s)),
  {p}s AS (SELECT series_id, s, median(x) AS med, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM {p}c GROUP BY 1, 2),
@@ -34,25 +37,34 @@ def _fit_sql(p: str, rows: str) -> str:
 
 
 _WEIGHT = "sign(cov) * greatest(abs(cov) - alpha * l1, 0) / (var + alpha * (1 - l1))"
-_BACKTEST = f"""{G1}, {GRID_SQL}, f AS (SELECT series_id, ts, row_number() {_W} - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS n, value AS x,
+
+
+def _backtest_sql(clip_x: bool = True, clip_y: bool = True) -> str:
+    """Whole backtest of one lag: with a single feature the elastic net has a closed form."""
+    live = "least(greatest(x_live, low), high)" if clip_x else "x_live"
+    x = "least(greatest(x, low), high)" if clip_x else "x"
+    return f"""{G1}, {GRID_SQL}, f AS (SELECT series_id, ts, row_number() {_W} - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS n, value AS x,
   lead(value) {_W} AS y, lead(ts) {_W} AS target_ts FROM g1),
  cy AS (SELECT series_id, idx + 1 AS s FROM f WHERE idx + 1 BETWEEN 40 AND n - 1 AND (idx + 1 - 40) % 12 = 0),
- tt AS (SELECT cy.series_id, s, idx, x, y FROM cy JOIN f ON f.series_id = cy.series_id AND idx <= s - 2 - 12 - 1), {_fit_sql('t', 'tt')},
- tv AS (SELECT cy.series_id, cy.s, grid_pos, avg(abs(y - (my - w * mz + w * (least(greatest(x, low), high) - med) / iqr))) AS mae
+ tt AS (SELECT cy.series_id, s, idx, x, y FROM cy JOIN f ON f.series_id = cy.series_id AND idx <= s - 2 - 12 - 1), {_fit_sql('t', 'tt', clip_x, clip_y)},
+ tv AS (SELECT cy.series_id, cy.s, grid_pos, avg(abs(y - (my - w * mz + w * ({x} - med) / iqr))) AS mae
   FROM cy JOIN f ON f.series_id = cy.series_id AND idx BETWEEN cy.s - 1 - 12 AND cy.s - 2
   JOIN (SELECT *, {_WEIGHT} AS w FROM tm CROSS JOIN grid) m ON m.series_id = cy.series_id AND m.s = cy.s GROUP BY 1, 2, 3),
  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, s ORDER BY mae, grid_pos) AS k FROM tv) WHERE k = 1),
  og AS (SELECT series_id, idx + 1 AS s, 40 + (idx + 1 - 40) // 12 * 12 AS cycle_start, x AS x_live, ts AS origin_date, target_ts AS forecast_date, y AS actual
   FROM f WHERE idx + 1 BETWEEN 40 AND n - 1),
- fr AS (SELECT og.series_id, s, idx, f.x, f.y FROM og JOIN f ON f.series_id = og.series_id AND idx <= s - 2), {_fit_sql('u', 'fr')},
+ fr AS (SELECT og.series_id, s, idx, f.x, f.y FROM og JOIN f ON f.series_id = og.series_id AND idx <= s - 2), {_fit_sql('u', 'fr', clip_x, clip_y)},
  bg AS (SELECT series_id, s, avg(z) AS mbg FROM uz WHERE idx > last - 100 GROUP BY 1, 2),
  bt AS (SELECT og.series_id, og.s AS origin_idx, origin_date, forecast_date, actual, b.grid_pos, og.s = cycle_start AS tuned, w,
-   least(greatest(x_live, low), high) AS feature_value, (least(greatest(x_live, low), high) - med) / iqr AS z_live, mbg, my - w * mz AS c
+   {live} AS feature_value, ({live} - med) / iqr AS z_live, mbg, my - w * mz AS c
   FROM og JOIN best b ON b.series_id = og.series_id AND b.s = cycle_start
   JOIN (SELECT *, {_WEIGHT} AS w FROM um CROSS JOIN grid) m ON m.series_id = og.series_id AND m.s = og.s AND m.grid_pos = b.grid_pos
   JOIN bg ON bg.series_id = og.series_id AND bg.s = og.s)"""
 
 
+_BACKTEST = _backtest_sql()
+
+
 def _one_lag(spark, sf):
     return run_backtest(growth(spark, sf), model_of("elasticnet").with_grid(GRID), ONE_LAG)
 
@@ -75,6 +87,16 @@ def backtest_choices(spark, sf):
     return _one_lag(spark, sf).tuned_params()
 
 
+for _mode, _name in (("features", "features_only"), (False, "off")):
+    @query(f"m2_backtest_winsorizing_{_name}", "series_id, origin_idx:i, forecast_logdiff:8, alpha:4, l1_ratio:2",
+           f"WITH {_backtest_sql(bool(_mode), False)} SELECT bt.*, c + w * z_live AS forecast_logdiff, alpha, l1 AS l1_ratio FROM bt JOIN grid USING (grid_pos)")
+    def backtest_winsorizing(spark, sf, mode=_mode):
+        """Forecasts with the point in force; unclipped values beyond the training range keep their size."""
+        run = run_backtest(growth(spark, sf), replace(model_of("elasticnet").with_grid(GRID), winsorize=mode), ONE_LAG)
+        alphas, ratios = (F.array(*[F.lit(p[k]) for p in GRID]) for k in ("alpha", "l1_ratio"))
+        return run.fits.withColumns({"alpha": F.get(alphas, F.col("grid_pos")), "l1_ratio": F.get(ratios, F.col("grid_pos"))})
+
+
 @query("m10_a4_backtest_scores", "series_id, scope, n:i, rmse:8, mae:8, hit_rate:8", f"""
  WITH {_BACKTEST}, {REGIME_SQL}, scopes AS (SELECT 'full' AS scope, DATE '1000-01-01' AS starts, DATE '3000-01-01' AS ends
   UNION ALL SELECT regime, starts, ends FROM regimes), p AS (SELECT series_id, forecast_date, actual, c + w * z_live AS forecast FROM bt)

@@ -1,0 +1,28 @@
+"""Joining one-row-per-group results back to the rows of the groups."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_GROUPS = 20_000
+SALTS = 16
+
+
+def is_few(groups: DataFrame, most: int = BROADCAST_GROUPS) -> bool:
+    """Whether a one-row-per-group table has at most ``most`` rows; persist it first, so the count is not wasted."""
+    return groups.limit(most + 1).count() <= most
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], few: bool, salts: int = SALTS) -> DataFrame:
+    """Add the columns of ``groups`` (narrow, one row per key) to ``rows``.
+
+    ``few`` groups are broadcast, so the rows do not move. Otherwise rows get a salt and groups one copy per salt: a key
+    with a large share of all rows is then spread over ``salts`` tasks."""
+    if few:
+        return rows.join(F.broadcast(groups), list(keys))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
+    copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"]).drop("_salt")

@@ -18,6 +18,7 @@ from lagmill.functions.columns import finite_or_null, quoted, require_columns
 
 SERIES = ("series_id",)
 WHOLE_SERIES_GRAINS = ("year", "quarter", "month", "week", "day", "hour")
+CLOCK = ("hour", "minute", "second")
 PERIOD_OF_GRAIN = {"minute": "month", "second": "day"}  # at most 44,640 and 86,400 rows per series and period
 CHUNK_ROWS = 1 << 16
 
@@ -32,8 +33,17 @@ def is_bounded(grain: str) -> bool:
 
 
 def truncate(ts: Column, grain: str) -> Column:
-    """Start of the grain step: a date up to the day grain, else a zone-less timestamp."""
-    return F.date_trunc(grain, ts).cast("date" if grain in WHOLE_SERIES_GRAINS[:5] else "timestamp_ntz")
+    """Start of the grain step: a date up to the day grain, else a zone-less timestamp. No session time zone is used."""
+    day = ts.cast("date")
+    if grain == "day":
+        return day
+    if grain in ("year", "quarter", "month", "week"):
+        return F.trunc(day, grain)
+    if grain not in CLOCK:
+        raise ValueError(f"unknown grain {grain!r}")
+    kept = CLOCK.index(grain) + 1
+    clock = [F.hour(ts), F.minute(ts), F.floor(F.second(ts))][:kept] + [F.lit(0)] * (3 - kept)
+    return F.make_timestamp_ntz(F.year(day), F.month(day), F.day(day), *clock)
 
 
 def panel_from_facts(facts: DataFrame, series: Column | str, ts: Column | str, value: Column, grain: str) -> DataFrame:
@@ -46,7 +56,7 @@ def panel_from_facts(facts: DataFrame, series: Column | str, ts: Column | str, v
 
 def exact_sum(amount: Column, scale: int = 100) -> Column:
     """Sum of amounts with a fixed number of decimals, free of rounding order: the sum runs on integers."""
-    return F.sum(F.round(amount * F.lit(float(scale))).cast("bigint")).cast("double") / F.lit(float(scale))
+    return F.sum(F.rint(amount * F.lit(float(scale))).cast("bigint")).cast("double") / F.lit(float(scale))
 
 
 def melt(wide: DataFrame, ids: Sequence[str], variables: Sequence[str] | None = None) -> DataFrame:
@@ -85,8 +95,7 @@ def with_positions(df: DataFrame, grain: str, keys: Sequence[str] = SERIES, ts:
             "idx": (F.row_number().over(w.orderBy(ts)) - 1).cast("bigint"),
             "n": F.count(F.lit(1)).over(w),
         })
-    period = F.date_trunc(PERIOD_OF_GRAIN[grain], F.col(ts)).cast("timestamp_ntz")
-    df = df.withColumn("_period", period)
+    df = df.withColumn("_period", truncate(F.col(ts), PERIOD_OF_GRAIN[grain]))
     w = W.partitionBy(*keys)
     before = F.sum("_rows").over(w.orderBy("_period").rowsBetween(W.unboundedPreceding, -1))
     starts = (
