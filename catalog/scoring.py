@@ -107,7 +107,7 @@ def regime_of(spark, sf):
  WITH {G1} SELECT series_id, ts, coalesce(lag(value) OVER w, last_value(value) OVER (PARTITION BY series_id ORDER BY ts
   ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS forecast FROM g1 WINDOW w AS (PARTITION BY series_id ORDER BY ts)""")
 def rolled(spark, sf):
-    return rolled_persistence(growth(spark, sf))
+    return rolled_persistence(growth(spark, sf), "month")
 
 
 @query("w11_rolled_persistence_scores", "series_id, scope, rmse:9, mae:9, hit_rate:9", f"""
@@ -123,4 +123,4 @@ def rolled(spark, sf):
   avg(CASE WHEN actual IS NULL THEN NULL WHEN sign(actual) = sign(forecast) THEN 1.0 ELSE 0.0 END) FILTER (used) AS hit_rate
  FROM y GROUP BY 1, 2""")
 def rolled_scores(spark, sf):
-    return shifted_naive_scores(growth(spark, sf), REGIMES)
+    return shifted_naive_scores(growth(spark, sf), "month", REGIMES)

@@ -44,19 +44,22 @@ def sampled_contributions(live: DataFrame, background: DataFrame, score: Callabl
     live values; ``score`` adds ``prediction`` to all mixed rows in one pass, and means of neighbouring steps are
     compared."""
     keys, group = list(keys), list(group)
-    orders = F.array(*[F.array(*[F.lit(f) for f in o]) for o in feature_orders(k, pairs, seed)])
+    orders = feature_orders(k, pairs, seed)
+    switched = F.array(*[F.array(*[F.lit(f) for f in o]) for o in orders])
+    ranks = F.array(*[F.array(*[F.lit(o.index(f)) for f in range(k)]) for o in orders])
     pairs_of_rows = live.withColumnRenamed("features", "_live").join(
         background.select(*group, F.col("features").alias("_back")), group)
-    walks = pairs_of_rows.select(*keys, "_live", "_back", F.posexplode(orders).alias("_walk", "_order"))
+    walks = pairs_of_rows.select(*keys, "_live", "_back", F.posexplode(ranks).alias("_walk", "_ranks"))
     steps = walks.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(k))))
-    mixed = steps.withColumn("features", F.transform("_back", lambda b, i: F.when(
-        F.array_contains(F.slice("_order", F.lit(1), F.col("_step")), i.cast("int")), F.get("_live", i)).otherwise(b)))
-    scored = score(mixed.select(*keys, "_walk", "_order", "_step", "features"))
-    means = scored.groupBy(*keys, "_walk", "_order", "_step").agg(F.avg("prediction").alias("_m"))
-    # Step s switches feature order[s-1]: its mean counts for that feature, and against the feature switched next.
+    mixed = steps.withColumn("features", F.transform(
+        "_back", lambda b, i: F.when(F.get("_ranks", i) < F.col("_step"), F.get("_live", i)).otherwise(b)))
+    scored = score(mixed.select(*keys, "_walk", "_step", "features"))
+    means = scored.groupBy(*keys, "_walk", "_step").agg(F.avg("prediction").alias("_m"))
+    # Step s has just switched feature order[s-1]: its mean counts for that one and against the one switched next.
+    order = F.get(switched, F.col("_walk"))
     gains = F.array(
-        F.struct(F.get("_order", F.col("_step") - 1).alias("feature_pos"), F.col("_m").alias("gain")),
-        F.struct(F.get("_order", F.col("_step")).alias("feature_pos"), (-F.col("_m")).alias("gain")))
+        F.struct(F.get(order, F.col("_step") - 1).alias("feature_pos"), F.col("_m").alias("gain")),
+        F.struct(F.get(order, F.col("_step")).alias("feature_pos"), (-F.col("_m")).alias("gain")))
     values = means.select(*keys, F.inline(gains)).where(F.col("feature_pos").isNotNull()).groupBy(
         *keys, "feature_pos").agg((F.sum("gain") / F.lit(float(2 * pairs))).alias("shap_value"))
     base = means.where((F.col("_step") == 0) & (F.col("_walk") == 0)).select(*keys, F.col("_m").alias("base_value"))

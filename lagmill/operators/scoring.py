@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagmill.functions.columns import same_sign, within
-from lagmill.operators.panel import SERIES, over_series, running_mean_before
+from lagmill.operators.panel import SERIES, is_bounded, over_series, running_mean_before
 
 FULL = "full"
 METRICS = ("rmse", "mae", "hit_rate")
@@ -38,8 +38,10 @@ def naive_forecasts(panel: DataFrame, grain: str, value: str = "value") -> DataF
     return rows.where(F.col("actual").isNotNull() & F.col("forecast").isNotNull())
 
 
-def rolled_persistence(panel: DataFrame, value: str = "value") -> DataFrame:
+def rolled_persistence(panel: DataFrame, grain: str, value: str = "value") -> DataFrame:
     """Previous value, where the first row of a series gets the last value of the series (wrap-around)."""
+    if not is_bounded(grain):
+        raise ValueError("the wrap-around reference needs a grain of an hour or coarser")
     w = W.partitionBy("series_id").orderBy("ts")
     last = F.last(value).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     return panel.withColumn("forecast", F.when(F.row_number().over(w) == 1, last).otherwise(F.lag(value, 1).over(w)))
@@ -81,12 +83,13 @@ def evaluate(forecasts: DataFrame, regimes: Mapping[str, tuple[str, str]], keys:
     return scored.select(*keys, F.inline(F.array(*rows)))
 
 
-def shifted_naive_scores(panel: DataFrame, regimes: Mapping[str, tuple[str, str]], value: str = "value") -> DataFrame:
+def shifted_naive_scores(panel: DataFrame, grain: str, regimes: Mapping[str, tuple[str, str]],
+                         value: str = "value") -> DataFrame:
     """Scores of the wrap-around persistence in its original counting.
 
     Overall the first row is left out. Per regime RMSE and hit rate use all rows, while MAE leaves out the first row
     of the regime and divides by its row count minus one (NULL for a single row)."""
-    rolled = rolled_persistence(panel, value)
+    rolled = rolled_persistence(panel, grain, value)
     w = W.partitionBy("series_id")
     scopes = {FULL: F.lit(True), **{name: within(F.col("ts"), *ends) for name, ends in regimes.items()}}
     firsts = {f"_first{i}": F.min(F.when(inside, F.col("ts"))).over(w) for i, inside in enumerate(scopes.values())}
