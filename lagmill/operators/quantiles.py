@@ -24,18 +24,18 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     ``percentile`` would hold all distinct values of a group in one task. Here approximate quantiles just below and above
     each wanted one cut a group into cells, counts tell which cells hold the wanted ranks, and only those cells, thin
     slices of the group, are ranked. The approximation decides the cell sizes, never the result: a rank that fell
-    outside its slice is found in the cell that holds it. Equal values are counted before any shuffle.
+    outside its slice is found in the cell that holds it. Only rows of wanted cells are shuffled, after counting equal
+    values.
 
     With up to ``most`` groups the cuts and the list of wanted cells are broadcast (their size follows the number of
     groups). With more, both are joined, and even cuts keep every cell to a small part of its group."""
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull())
-    counted = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_times"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     slices = sorted({min(max(p + side * MARGIN, 0.0), 1.0) for p in probs.values() for side in (-1, 1)})
 
     def cut(at: Sequence[float]) -> DataFrame:
         return rows.groupBy(*keys).agg(F.percentile_approx(
-            value, F.array(*[F.lit(e) for e in at]), F.lit(ACCURACY)).alias("_cuts"))
+            "_v", F.array(*[F.lit(e) for e in at]), F.lit(ACCURACY)).alias("_cuts"))
 
     edges, cuts = slices, cut(slices).persist()
     few = is_few(cuts, most)
@@ -44,13 +44,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
         edges = sorted({*slices, *[i / EVEN_CELLS for i in range(1, EVEN_CELLS)]})
         cuts = cut(edges)
     above = [(F.col("_v") > F.get("_cuts", F.lit(i))).cast("int") for i in range(len(edges))]
-    placed = join_groups(counted, cuts, keys, few).withColumn("_cell", sum(above[1:], above[0])).drop("_cuts")
+    placed = join_groups(rows, cuts, keys, few).withColumn("_cell", sum(above[1:], above[0])).drop("_cuts")
     by_cell = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     ranks = F.array(*[
         F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("rank"))
         for name, p in probs.items()])
     cell_totals = (
-        placed.groupBy(*keys, "_cell").agg(F.sum("_times").alias("_rows"))
+        placed.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
         .withColumns({"_before": F.coalesce(F.sum("_rows").over(by_cell), F.lit(0)),
                       "_n": F.sum("_rows").over(W.partitionBy(*keys))})
     )
@@ -58,9 +58,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     wanted = cell_totals.withColumn("_ranks", F.filter(
         ranks, lambda r: (F.ceil(r["rank"]) >= F.col("_before")) & (F.floor(r["rank"]) <= last)))
     wanted = wanted.where(F.size("_ranks") > 0).select(*keys, "_cell", "_before", "_ranks")
-    in_cell = W.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = placed.join(F.broadcast(wanted) if few else wanted, [*keys, "_cell"]).withColumn(
-        "_end", F.col("_before") + F.sum("_times").over(in_cell) - 1)
+    wanted = F.broadcast(wanted) if few else wanted
+    cell = [*keys, "_cell"]
+    counted = placed.join(wanted, cell, "left_semi").groupBy(*cell, "_v").agg(F.count(F.lit(1)).alias("_times"))
+    in_cell = W.partitionBy(*cell).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counted.join(wanted, cell).withColumn("_end", F.col("_before") + F.sum("_times").over(in_cell) - 1)
     ranked = ranked.withColumn("_start", F.col("_end") - F.col("_times") + 1)
     rank = F.col("_r.rank")
     hits = ranked.withColumn("_r", F.explode("_ranks"))
