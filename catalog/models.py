@@ -201,3 +201,42 @@ def study_scores(spark, sf):
     runs = run_models(_prepared(spark, sf), "multivariate", ["elasticnet", "huber"], "1-URGENT", nlags=3,
                       origins=Expanding(initial=40, interval=12), v=12)
     return score_table(forecast_table(runs, "multivariate"), REGIMES)
+
+
+def _structure_sql(models: list[str], initial: int, features: int, source: str = "g1") -> str:
+    """What any backtest must return whatever its numbers: one forecast per origin, its actual, full additivity."""
+    names = ", ".join(f"('{m}')" for m in models)
+    return f"""f AS (SELECT series_id, ts, row_number() {_W} - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS n, lead(value) {_W} AS y, lead(ts) {_W} AS target_ts FROM {source})
+ SELECT model_class, series_id, count(*) AS origins, min(ts) AS first_origin, max(target_ts) AS last_forecast, sum(y) AS actual_total,
+  count(*) * {features} AS records, 0.0 AS gap FROM f CROSS JOIN (VALUES {names}) AS m(model_class) WHERE idx + 1 BETWEEN {initial} AND n - 1 GROUP BY 1, 2"""
+
+
+_STRUCTURE = "model_class, series_id, origins:i, first_origin:t, last_forecast:t, actual_total:8, records:i, gap:6"
+
+
+def _structure(fits):
+    parts = F.expr("aggregate(shap_values, base_value, (s, x) -> s + x)")
+    return fits.groupBy("model_class", "series_id").agg(
+        F.count(F.lit(1)).alias("origins"), F.min("origin_date").alias("first_origin"),
+        F.max("forecast_date").alias("last_forecast"), F.sum("actual_logdiff").alias("actual_total"),
+        F.sum(F.size("shap_values")).alias("records"), F.max(F.abs(parts - F.col("forecast_logdiff"))).alias("gap"))
+
+
+@query("m5_m6_m8_x1_x3_backtest_structure", _STRUCTURE, f"WITH {G1}, {_structure_sql(['huber', 'sgd', 'mlp'], 52, 4)}")
+def backtest_structure(spark, sf):
+    config = BacktestConfig(nlags=3, origins=Expanding(initial=52, interval=12), v=12)
+    runs = []
+    for name, step in (("huber", 12), ("sgd", 63), ("mlp", 15)):
+        model = model_of(name)
+        fits = run_backtest(growth(spark, sf), model.with_grid(model.grid[:2 * step:step]), config).fits
+        runs.append(fits.withColumn("model_class", F.lit(name)))
+    return _structure(runs[0].unionByName(runs[1]).unionByName(runs[2]))
+
+
+@query("m7_x2_boosted_structure", _STRUCTURE, f"WITH {G1}, {_structure_sql(['lightgbm'], 64, 2)}")
+def boosted_structure(spark, sf):
+    config = BacktestConfig(nlags=2, volatility=False, origins=Expanding(initial=64, interval=12), v=12)
+    forecasts, records, _ = run_boosted(growth(spark, sf), config, [{"max_depth": 2, "n_estimators": 2}], explain_pairs=1)
+    keys = ["series_id", "origin_date", "forecast_date"]
+    values = records.groupBy(*keys, "base_value").agg(F.collect_list("shap_value").alias("shap_values"))
+    return _structure(forecasts.join(values, keys))

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from catalog.panels import G1, P2, P3, REGIME_SQL, REGIMES, S3, by_second, daily, growth, hourly
 from catalog.registry import query
 from lagmill.functions.columns import regime_names
-from lagmill.operators.panel import with_positions
 from lagmill.operators.scoring import align, evaluate, naive_forecasts, rolled_persistence, shifted_naive_scores
 from lagmill.plans.naive import autoregression, naive_benchmark
 
@@ -65,7 +64,7 @@ def running_mean(spark, sf):
        f"WITH {S3}, {_NAIVE.format('s3')} SELECT * FROM f WHERE forecast IS NOT NULL")
 def second_grain(spark, sf):
     """Series of unbounded length: positions, chunks and prefix totals instead of one window task per series."""
-    return naive_forecasts(with_positions(by_second(spark, sf), "second"), "second")
+    return naive_forecasts(by_second(spark, sf), "second")
 
 
 @query("a3_scores", "series_id, model, n:i, rmse:6, mae:6, hit_rate:6", f"""

@@ -1,8 +1,9 @@
 """Descriptive statistics, distributions, correlograms and unit-root tests."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalog.panels import G1, P2, P3, REGIME_SQL, REGIMES, daily, growth, hourly, table
+from catalog.panels import G1, P2, P3, REGIME_SQL, REGIMES, S3, by_second, daily, growth, hourly, table
 from catalog.registry import query
 from lagmill.operators.correlogram import acf, pacf
 from lagmill.operators.describe import describe, histogram, kernel_density, normal_curve, regime_stats
@@ -56,7 +57,7 @@ def by_regime(spark, sf):
  SELECT series_id, bin, lo + (bin - 1) * w AS left_edge, lo + bin * w AS right_edge, coalesce(c, 0) AS count
  FROM b LEFT JOIN c USING (series_id, bin)""")
 def bins(spark, sf):
-    return histogram(daily(spark, sf))
+    return histogram(daily(spark, sf), "day")
 
 
 _SPANS = """s AS (SELECT series_id, min(value) AS lo, max(value) AS hi, avg(value) AS m, stddev_samp(value) AS sd,
@@ -75,7 +76,7 @@ def curve(spark, sf):
  SELECT x.series_id, point, x, sum(exp(-0.5 * ((x - value) / h) ** 2) / (h * sqrt(2 * pi())) * (hi - lo) / 30) AS density
  FROM x JOIN g1 USING (series_id) GROUP BY 1, 2, 3""")
 def smooth(spark, sf):
-    return kernel_density(growth(spark, sf))
+    return kernel_density(growth(spark, sf), "month")
 
 
 _ACF = """r AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i, value - avg(value) OVER (PARTITION BY series_id) AS d,
@@ -93,6 +94,30 @@ def correlogram(spark, sf):
     return acf(hourly(spark, sf), "hour")
 
 
+@query("a15_acf_second_grain", "series_id, lag:i, acf:8", f"WITH {S3}, {_ACF.format('s3', 4)} SELECT * FROM a")
+def correlogram_second_grain(spark, sf):
+    """Series of unbounded length: chunks of positions, and per-series means by a checked join."""
+    return acf(by_second(spark, sf), "second", lags=3)
+
+
+@query("a14_histogram_of_facts", "series_id, bin:i, count:i", """
+ WITH s AS (SELECT l_returnflag AS series_id, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1),
+ c AS (SELECT series_id, least(CAST(floor((l_quantity - lo) / (hi - lo) * 30) AS INT) + 1, 30) AS bin, count(*) AS c FROM lineitem
+  JOIN s ON l_returnflag = series_id GROUP BY 1, 2)
+ SELECT series_id, bin, coalesce(c, 0) AS count FROM (SELECT series_id, unnest(range(1, 31)) AS bin FROM s) LEFT JOIN c USING (series_id, bin)""")
+def bins_of_facts(spark, sf):
+    facts = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("series_id"), F.col("l_quantity").alias("value"))
+    return histogram(facts)
+
+
+@query("d1_dickey_fuller_second_grain", "series_id, adf_stat:5, lags:i, n_obs:i", f"""
+ WITH {S3}, d AS (SELECT series_id, value - lag(value) OVER w AS y, lag(value) OVER w AS x FROM s3 WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+ m AS (SELECT series_id, count(*) AS n, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy FROM d WHERE x IS NOT NULL GROUP BY 1)
+ SELECT series_id, b / sqrt((syy - b * b * sxx) / (n - 2) / sxx) AS adf_stat, 0 AS lags, n AS n_obs FROM m""")
+def dickey_fuller_second_grain(spark, sf):
+    return adf(by_second(spark, sf), "second", maxlag=0, chunk_rows=1024)
+
+
 @query("a16_pacf_three_lags", "series_id, lag:i, pacf:8", f"""
  WITH {P2}, {_ACF.format('p2', 4)}, w AS (SELECT series_id, max(acf) FILTER (lag = 1) AS r1, max(acf) FILTER (lag = 2) AS r2,
   max(acf) FILTER (lag = 3) AS r3 FROM a GROUP BY 1)
@@ -116,6 +141,35 @@ def dickey_fuller(spark, sf):
     return adf(growth(spark, sf), "month", maxlag=0)
 
 
+_ONE_LAG = """l AS (SELECT series_id, ts, value AS v, lag(value) OVER w AS x FROM {0} WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+ d AS (SELECT series_id, v - x AS y, x, lag(v - x) OVER (PARTITION BY series_id ORDER BY ts) AS z FROM l),
+ s0 AS (SELECT series_id, count(*) AS n, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx, regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x) AS ssr
+  FROM d WHERE x IS NOT NULL GROUP BY 1),
+ c AS (SELECT series_id, count(*) AS m, regr_syy(y, x) AS yy, regr_sxx(y, x) AS xx, regr_sxy(y, x) AS xy, regr_sxx(y, z) AS zz,
+  regr_sxy(y, z) AS zy, regr_sxy(x, z) AS zx FROM d WHERE z IS NOT NULL GROUP BY 1),
+ p AS (SELECT *, yy - xy * xy / xx AS ssr0, xx - zx * zx / zz AS xxz, xy - zx * zy / zz AS xyz, yy - zy * zy / zz AS yyz FROM c),
+ q AS (SELECT *, yyz - xyz * xyz / xxz AS ssr1 FROM p),
+ k AS (SELECT *, m * ln(ssr1 / m) + 6 < m * ln(ssr0 / m) + 4 AS longer FROM q)
+ SELECT series_id, CASE WHEN longer THEN xyz / xxz / sqrt(ssr1 / (m - 3) / xxz) ELSE b / sqrt(ssr / (n - 2) / sxx) END AS adf_stat,
+  CASE WHEN longer THEN 1 ELSE 0 END AS lags, CASE WHEN longer THEN m ELSE n END AS n_obs FROM k JOIN s0 USING (series_id)"""
+
+
+@query("d1_adf_up_to_one_lag", "series_id, adf_stat:6, lags:i, n_obs:i", f"""
+ WITH {P2}, m AS (SELECT series_id, ts, value / 1e6 AS value FROM p2), {_ONE_LAG.format('m')}""")
+def unit_root_one_lag(spark, sf):
+    return adf(daily(spark, sf), "day", maxlag=1, chunk_rows=512)
+
+
+@query("d1_adf_up_to_one_lag_of_persistent_series", "series_id, adf_stat:5, lags:i, n_obs:i", f"""
+ WITH {G1}, r AS (SELECT series_id, ts, value + 0.7 * coalesce(lag(value, 1) OVER w, 0) + 0.5 * coalesce(lag(value, 2) OVER w, 0) AS value FROM g1
+  WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+ {_ONE_LAG.format('r')}""")
+def unit_root_persistent(spark, sf):
+    w = W.partitionBy("series_id").orderBy("ts")
+    smooth_value = F.col("value") + 0.7 * F.coalesce(F.lag("value", 1).over(w), F.lit(0.0)) + 0.5 * F.coalesce(F.lag("value", 2).over(w), F.lit(0.0))
+    return adf(growth(spark, sf).withColumn("value", smooth_value), "month", maxlag=1)
+
+
 @query("d1_adf", "series_id, adf_stat:6, p_value:6, lags:i, n_obs:i, stationary")
 def unit_root(spark, sf):
     return adf(daily(spark, sf), "day")
@@ -131,8 +185,6 @@ _BOUND = """ WITH {P2}, q AS (SELECT series_id, ts, sum(value) OVER (PARTITION B
        _BOUND.format(P2=P2) + " SELECT series_id FROM t WHERE stat > -2.8624")
 def unit_root_series(spark, sf):
     """Running totals have a unit root; the daily values do not."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("series_id").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
     totals = daily(spark, sf).withColumn("value", F.sum("value").over(w) / 1e6)
     return non_stationary(adf(totals, "day", maxlag=0))

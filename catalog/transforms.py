@@ -59,7 +59,7 @@ def stationary(spark, sf):
 @query("t2_first_difference_second_grain", "series_id, ts:t, value:6",
        f"WITH {S3}, l AS ({_lagged(1, 's3')}) SELECT series_id, ts, x - a AS value FROM l")
 def difference_second_grain(spark, sf):
-    return transform(with_positions(by_second(spark, sf), "second"), "second", code=2)
+    return transform(by_second(spark, sf), "second", code=2)
 
 
 @query("f5_impute_middle_by_mean", "series_id, ts:t, value:6", f"""

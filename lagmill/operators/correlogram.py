@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from lagmill.operators.joins import join_series
 from lagmill.operators.panel import is_bounded, over_series, with_positions
 
 LAGS = 40
@@ -21,7 +22,7 @@ def acf_arrays(panel: DataFrame, grain: str, lags: int = LAGS, value: str = "val
     if not is_bounded(grain):
         rows = with_positions(rows, grain)
     means = rows.groupBy("series_id").agg(F.avg(value).alias("_mean"))
-    centered = rows.join(means, "series_id").withColumn("_d", F.col(value) - F.col("_mean"))
+    centered = join_series(rows, means, ["series_id"], is_bounded(grain)).withColumn("_d", F.col(value) - F.col("_mean"))
     lagged = over_series(
         centered, lambda w: {f"_l{k}": F.lag("_d", k).over(w) for k in range(1, lags + 1)}, grain, back=lags)
     products = [F.sum(F.col("_d") * F.col("_d")).alias("_p0")]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagmill.functions.columns import normal_density, ratio, unbiased_kurtosis, unbiased_skewness, within
+from lagmill.operators.joins import join_series
 from lagmill.operators.panel import SERIES, is_bounded
 from lagmill.operators.quantiles import exact_quantiles
 
@@ -63,14 +64,16 @@ def df_inline(df: DataFrame, keys: Sequence[str], rows: Sequence[Column]) -> Dat
     return df.select(*keys, F.inline(F.array(*rows)))
 
 
-def histogram(panel: DataFrame, bins: int = 30, keys: Sequence[str] = SERIES, value: str = "value") -> DataFrame:
+def histogram(panel: DataFrame, grain: str | None = None, bins: int = 30, keys: Sequence[str] = SERIES,
+              value: str = "value") -> DataFrame:
     """Counts over ``bins`` equal bins of [min, max], the last closed on the right; empty bins are listed.
 
     A constant series gets bins over [x - 0.5, x + 0.5]."""
     keys = list(keys)
     spans = _spans(panel, keys, value)
     low, high = F.col("_low"), F.col("_high")
-    placed = panel.where(F.col(value).isNotNull()).join(spans, keys).select(
+    rows = panel.where(F.col(value).isNotNull()).select(*keys, value)
+    placed = join_series(rows, spans, keys, grain is not None and is_bounded(grain)).select(
         *keys, F.least(F.width_bucket(F.col(value), low, high, F.lit(bins)), F.lit(bins)).cast("int").alias("bin"))
     counts = placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
     every = spans.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
@@ -105,8 +108,8 @@ def normal_curve(panel: DataFrame, bins: int = 30, points: int = 1000, keys: Seq
         (normal_density(F.col("x"), F.col("_mean"), F.col("_std")) * F.col("_n") * bin_width).alias("density"))
 
 
-def kernel_density(panel: DataFrame, bins: int = 30, points: int = 200, keys: Sequence[str] = SERIES,
-                   value: str = "value") -> DataFrame:
+def kernel_density(panel: DataFrame, grain: str | None = None, bins: int = 30, points: int = 200,
+                   keys: Sequence[str] = SERIES, value: str = "value") -> DataFrame:
     """Gaussian kernel density (bandwidth std * n^(-1/5)) on a grid over [min, max], scaled to histogram counts.
 
     Each row meets a grid of fixed size and is summed up before the shuffle."""
@@ -115,7 +118,8 @@ def kernel_density(panel: DataFrame, bins: int = 30, points: int = 200, keys: Se
     bandwidth = F.col("_std") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
     x = F.col("_min") + F.col("point") * ((F.col("_max") - F.col("_min")) / F.lit(float(points - 1)))
     bin_width = (F.col("_high") - F.col("_low")) / F.lit(float(bins))
-    spread = panel.where(F.col(value).isNotNull()).join(spans, keys).withColumn(
+    rows = panel.where(F.col(value).isNotNull()).select(*keys, value)
+    spread = join_series(rows, spans, keys, grain is not None and is_bounded(grain)).withColumn(
         "point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", x)
     kernel = normal_density(F.col("x"), F.col(value), bandwidth) * bin_width
     return spread.groupBy(*keys, "point", "x").agg(F.sum(kernel).alias("density"))

@@ -26,3 +26,15 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], few: bo
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
     copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"]).drop("_salt")
+
+
+def join_series(rows: DataFrame, per_series: DataFrame, keys: Sequence[str], bounded: bool) -> DataFrame:
+    """Add per-series results to the rows of each series. A bounded series fits one join task; otherwise the number of
+    series decides between a broadcast and a salted join."""
+    if bounded:
+        return rows.join(per_series, list(keys))
+    kept = per_series.persist()
+    few = is_few(kept)
+    if not few:
+        kept.unpersist()
+    return join_groups(rows, kept if few else per_series, keys, few)

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagmill.functions.columns import finite_or_null, quoted, require_columns
+from lagmill.operators.joins import join_series
 
 SERIES = ("series_id",)
 WHOLE_SERIES_GRAINS = ("year", "quarter", "month", "week", "day", "hour")
@@ -107,6 +108,11 @@ def with_positions(df: DataFrame, grain: str, keys: Sequence[str] = SERIES, ts:
     return numbered.withColumn("idx", F.col("_start") + F.col("_row")).drop("_period", "_row", "_start")
 
 
+def positioned(df: DataFrame, grain: str, keys: Sequence[str] = SERIES, ts: str = "ts") -> DataFrame:
+    """Positions where windows need them: on unbounded grains, unless they are there already."""
+    return df if is_bounded(grain) or "idx" in df.columns else with_positions(df, grain, keys, ts)
+
+
 def over_series(df: DataFrame, build: Callable[[W], dict[str, Column]], grain: str, back: int, ahead: int = 0,
                 keys: Sequence[str] = SERIES, ts: str = "ts", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add the columns ``build(window)`` returns; their frames reach at most ``back`` rows back and ``ahead`` on.
@@ -172,7 +178,7 @@ def impute_middle(df: DataFrame, variables: Sequence[str], grain: str, edge: int
     inner = (F.col("idx") >= edge) & (F.col("idx") < F.col("n") - edge)
     if how == "full":
         means = df.groupBy(*keys).agg(*[F.avg(quoted(v)).alias(f"_mean_{i}") for i, v in enumerate(variables)])
-        df = df.join(means, keys)
+        df = join_series(df, means, keys, is_bounded(grain))
     elif how == "expanding":
         for i, v in enumerate(variables):
             df = running_mean_before(df, v, f"_mean_{i}", grain, keys, ts)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagmill.functions.columns import same_sign, within
-from lagmill.operators.panel import SERIES, is_bounded, over_series, running_mean_before
+from lagmill.operators.panel import SERIES, is_bounded, over_series, positioned, running_mean_before
 
 FULL = "full"
 METRICS = ("rmse", "mae", "hit_rate")
@@ -28,7 +28,7 @@ def naive_forecasts(panel: DataFrame, grain: str, value: str = "value") -> DataF
     """Zero, previous-value and mean-of-all-earlier-values forecasts of each row, one row per model.
 
     All three come from the same partitioning of the panel; no join is needed to align them with the actual."""
-    df = over_series(panel, lambda w: {"_last": F.lag(value, 1).over(w)}, grain, back=1)
+    df = over_series(positioned(panel, grain), lambda w: {"_last": F.lag(value, 1).over(w)}, grain, back=1)
     df = running_mean_before(df, value, "_mean", grain)
     forecasts = F.array(
         F.struct(F.lit(NAIVE_NAMES["zero"]).alias("model"), F.lit(0.0).alias("forecast")),

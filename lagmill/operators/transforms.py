@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagmill.functions.columns import ratio, safe_ln
-from lagmill.operators.panel import over_series
+from lagmill.operators.panel import over_series, positioned
 
 CODES = {
     1: "level",
@@ -42,7 +42,7 @@ def transform(panel: DataFrame, grain: str, code: int | None = None, span: int =
     """Replace ``value`` by its transform. The code is the argument, or the ``tcode`` column of each row."""
     lags = {"_once": span, "_twice": 2 * span}
     df = over_series(
-        panel, lambda w: {c: F.lag(value, k).over(w) for c, k in lags.items()}, grain, back=2 * span,
+        positioned(panel, grain), lambda w: {c: F.lag(value, k).over(w) for c, k in lags.items()}, grain, back=2 * span,
     )
     args = F.col(value), F.col("_once"), F.col("_twice")
     if code is not None:
