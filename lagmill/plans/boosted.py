@@ -57,7 +57,14 @@ def _scaled(rows: DataFrame, fitted_on: Column, k: int) -> DataFrame:
     return joined.withColumns({
         "clipped": F.array(*clipped), "scaled": F.array(*scaled),
         "label": clip(F.col("target"), F.col("_qy")[0], F.col("_qy")[1]),
-    }).withColumn("vector", array_to_vector("scaled")).drop(*[f"_q{i}" for i in range(k)], "_qy")
+    }).drop(*[f"_q{i}" for i in range(k)], "_qy")
+
+
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    """Write the rows a fit passes over many times and read them back: the file scan gives as many partitions as the
+    bytes need, and a lost executor costs a re-read, not a recomputation."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path).withColumn("vector", array_to_vector("scaled"))
 
 
 def run_boosted(df: DataFrame, config: BacktestConfig, grid: list[dict] | None = None, trees: Trees = Trees(),
@@ -82,8 +89,8 @@ def run_boosted(df: DataFrame, config: BacktestConfig, grid: list[dict] | None =
         order = W.partitionBy("series_id", "_known")
         placed = seen.withColumns({"_row": F.row_number().over(order.orderBy("idx")) - 1,
                                    "_rows": F.count(F.lit(1)).over(order)})
-        choice = _tune(placed.where("_known"), grid, trees, config, k)
-        ready = _scaled(placed, F.col("_known"), k).persist()
+        choice = _tune(placed.where("_known"), grid, trees, config, k, f"{path}/folds/cycle={cycle}")
+        ready = _stored(_scaled(placed, F.col("_known"), k), f"{path}/rows/cycle={cycle}")
         model = trees.fit(ready.where("_known"), grid[choice])
         live = ready.where((F.col("idx") >= first - 1) & (F.col("idx") <= F.col("n") - plan.horizon - 1))
         out = model.transform(live.withColumnRenamed("target", "actual_logdiff")).select(
@@ -99,7 +106,6 @@ def run_boosted(df: DataFrame, config: BacktestConfig, grid: list[dict] | None =
 
         tuned.append((first, choice, int(grid[choice]["max_depth"]), int(grid[choice]["n_estimators"])))
         if not explain_pairs:
-            ready.unpersist()
             continue
         keys = [*SERIES, "origin_idx"]
         values = sampled_contributions(out.select(*keys, F.col("scaled").alias("features")), background, score, keys,
@@ -109,7 +115,6 @@ def run_boosted(df: DataFrame, config: BacktestConfig, grid: list[dict] | None =
             F.get("clipped", F.col("feature_pos")).alias("feature_value"), "shap_value",
             F.col("forecast_logdiff").alias("prediction"), "base_value",
         ).write.parquet(f"{path}/explanations/cycle={cycle}")
-        ready.unpersist()
     if not tuned:
         raise ValueError("no series is long enough for a first origin")
     choices = spark.createDataFrame(tuned, "origin_idx int, grid_pos int, max_depth int, n_estimators int")
@@ -118,7 +123,7 @@ def run_boosted(df: DataFrame, config: BacktestConfig, grid: list[dict] | None =
     return forecasts, explanations, choices
 
 
-def _tune(known: DataFrame, grid: list[dict], trees: Trees, config: BacktestConfig, k: int) -> int:
+def _tune(known: DataFrame, grid: list[dict], trees: Trees, config: BacktestConfig, k: int, path: str) -> int:
     """Grid position with the lowest mean validation error over all series; 0 when no fold exists."""
     if len(grid) == 1:
         return 0
@@ -128,7 +133,7 @@ def _tune(known: DataFrame, grid: list[dict], trees: Trees, config: BacktestConf
         rows = folds.where(F.col("_f.fold") == fold)
         train = F.col("_row") < F.col("_f.train_end")
         valid = (F.col("_row") >= F.col("_f.val_start")) & (F.col("_row") < F.col("_f.val_end"))
-        ready = _scaled(rows.where(train | valid).withColumn("_train", train), F.col("_train"), k).persist()
+        ready = _stored(_scaled(rows.where(train | valid).withColumn("_train", train), F.col("_train"), k), f"{path}/fold={fold}")
         for pos, point in enumerate(grid):
             if ready.where("_train").isEmpty():
                 continue
@@ -136,7 +141,6 @@ def _tune(known: DataFrame, grid: list[dict], trees: Trees, config: BacktestConf
             mae = scored.agg(F.avg(F.abs(F.col("prediction") - F.col("target")))).first()[0]
             if mae is not None:
                 parts.append((pos, mae))
-        ready.unpersist()
     if not parts:
         return 0
     totals: dict[int, list[float]] = {}
