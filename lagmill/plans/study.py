@@ -16,7 +16,9 @@ from lagmill.operators.transforms import make_stationary
 from lagmill.operators.unitroot import adf
 from lagmill.operators.views import stack_models
 from lagmill.plans.backtest import Backtest, BacktestConfig, Model, model_of, run_backtest
-from lagmill.plans.defaults import DATE_COLUMN, REGIMES, SAMPLE_END, SAMPLE_START, TARGET
+from lagmill.plans.boosted import run_boosted
+from lagmill.plans.defaults import DATE_COLUMN, MODEL_CLASSES, REGIMES, SAMPLE_END, SAMPLE_START, TARGET
+from lagmill.sources.results import read_results
 from lagmill.sources.wide_csv import split_code_row, typed_table
 
 
@@ -55,15 +57,40 @@ def stationarity(prepared: Prepared, grain: str = "month") -> DataFrame:
     return adf(prepared.stationary, grain).withColumnRenamed("series_id", "variable")
 
 
+def _setting(prepared: Prepared, model_type: str, target: str, predictor_lags: int, config: dict) -> BacktestConfig:
+    lags = {c: predictor_lags for c in prepared.variables if c != target}
+    return BacktestConfig(target=target, predictor_lags=lags, univariate=model_type == "univariate", **config)
+
+
 def run_models(prepared: Prepared, model_type: str, classes: Sequence[str | Model], target: str = TARGET,
                predictor_lags: int = 1, **config) -> dict[str, Backtest]:
     """Backtests of the given model classes on the shared frame."""
-    lags = {c: predictor_lags for c in prepared.variables if c != target}
-    setting = BacktestConfig(target=target, predictor_lags=lags, univariate=model_type == "univariate", **config)
+    setting = _setting(prepared, model_type, target, predictor_lags, config)
     models = [c if isinstance(c, Model) else model_of(c, model_type) for c in classes]
     return {m.name: run_backtest(prepared.frame, m, setting) for m in models}
 
 
+def run_all(prepared: Prepared, model_type: str, folder: str, classes: Sequence[str] = MODEL_CLASSES,
+            target: str = TARGET, predictor_lags: int = 1, grids: Mapping[str, Sequence[dict]] | None = None,
+            **config) -> tuple[DataFrame, DataFrame]:
+    """Forecasts and explanations of all model classes of a type, written under ``folder`` by type and class.
+
+    A class is complete once its two tables are written; its fits run once."""
+    spark, setting = prepared.frame.sparkSession, _setting(prepared, model_type, target, predictor_lags, config)
+    grids, part = grids or {}, f"model_type={model_type}/model_class="
+    for name in classes:
+        if name == "lightgbm":
+            forecasts, records, _ = run_boosted(prepared.frame, setting, grids.get(name))
+        else:
+            model = model_of(name, model_type)
+            model = model.with_grid(grids[name]) if name in grids else model
+            run = run_backtest(prepared.frame, model, setting).stored(f"{folder}/fits/{part}{name}")
+            forecasts, records = run.forecasts(), run.explanations()
+        for table, rows in (("forecasts", forecasts), ("explanations", records)):
+            rows.drop("model_class").write.mode("overwrite").parquet(f"{folder}/{table}/{part}{name}")
+    return tuple(read_results(spark, f"{folder}/{table}", model_type) for table in ("forecasts", "explanations"))
+
+
 def forecast_table(backtests: Mapping[str, Backtest], model_type: str) -> DataFrame:
     """All forecasts of a model type in one labelled table."""
     return stack_models({name: b.forecasts().drop("model_class") for name, b in backtests.items()}, model_type)

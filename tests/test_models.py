@@ -9,6 +9,7 @@ from lagmill.operators.origins import Expanding, carry_forward, fold_slices, hv_
 from lagmill.plans.backtest import BacktestConfig, model_of, run_backtest, tune
 from lagmill.plans.boosted import run_boosted
 from lagmill.plans.defaults import DOMAIN_GROUPS, model_grid
+from lagmill.plans.study import prepare, run_all, score_table, stationarity
 
 RNG = np.random.default_rng(5)
 X = RNG.normal(size=(120, 6)) @ RNG.normal(size=(6, 6))
@@ -169,6 +170,25 @@ def test_three_steps_ahead(spark):
     np.testing.assert_allclose(got.actual_logdiff, series()[42:])
 
 
+def test_all_models_of_a_type(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    levels = np.exp(rng.normal(size=(75, 3)).cumsum(0) / 50)
+    rows = [(f"{1 + i % 12}/1/{2000 + i // 12}", *map(str, map(float, v))) for i, v in enumerate(levels)]
+    text = spark.createDataFrame([("Transform:", "5.0", "5.0", "2.0"), *rows], "sasdate string, INDPRO string, a string, b string")
+    prepared = prepare(text, "multivariate", start=None, end=None, drop_first=(), drop_last=())
+    assert prepared.frame.count() == 74 and list(prepared.variables) == ["INDPRO", "a", "b"]
+    assert stationarity(prepared).where("stationary").count() == 3
+    grids = {"elasticnet": [{"alpha": 0.01, "l1_ratio": 0.5}], "huber": [{"alpha": 0.01, "epsilon": 1.35}],
+             "sgd": [{"alpha": 0.01, "epsilon": 1.0, "l1_ratio": 0.15}], "mlp": [{"hidden": 2, "activation": "tanh", "alpha": 0.1}],
+             "lightgbm": [{"max_depth": 2, "n_estimators": 2}]}
+    forecasts, records = run_all(prepared, "multivariate", str(tmp_path), grids=grids, nlags=2,
+                                 origins=Expanding(initial=60, interval=12))
+    assert {r.model_class: r["count"] for r in forecasts.groupBy("model_class").count().collect()} == dict.fromkeys(grids, 14)
+    assert records.count() == 5 * 14 * 5
+    scores = score_table(forecasts).where("scope = 'full'").collect()
+    assert len(scores) == 5 and len({r.naive_rmse for r in scores}) == 1 and all(r.n == 14 for r in scores)
+
+
 def test_boosted_explanations_are_additive(spark):
     config = BacktestConfig(nlags=2, volatility=False, origins=Expanding(initial=60, interval=12), v=12)
     forecasts, records, tuned = run_boosted(panel(spark, series()), config, [{"max_depth": 2, "n_estimators": 3}], explain_pairs=1)
