@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagmill.functions.columns import quoted
+
 BROADCAST_GROUPS = 20_000
 SALTS = 16
 
@@ -20,10 +22,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], few: bo
     """Add the columns of ``groups`` (narrow, one row per key) to ``rows``.
 
     ``few`` groups are broadcast, so the rows do not move. Otherwise rows get a salt and groups one copy per salt: a key
-    with a large share of all rows is then spread over ``salts`` tasks."""
+    with a large share of all rows is then spread over ``salts`` tasks. The salt hashes the row and its input partition,
+    so equal rows spread too, and a repeated task gives every row the same salt again."""
     if few:
         return rows.join(F.broadcast(groups), list(keys))
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
+    row = [quoted(c) for c in rows.columns]
+    salt = F.pmod(F.xxhash64(*row, F.spark_partition_id()), F.lit(salts)).cast("int")
     copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"]).drop("_salt")
 

@@ -123,6 +123,8 @@ def test_quantiles_without_broadcast(spark):
 def test_salted_join_equals_plain_join(spark):
     rows = spark.range(1000).selectExpr("id % 3 AS k", "id AS v")
     groups = spark.createDataFrame([(0, 1.0), (1, 2.0)], "k long, g double")
+    copies = join_groups(spark.sql("SELECT 0 AS k FROM range(0, 400, 1, 40)"), groups, ["k"], False)
+    assert copies.count() == 400
     for few in (True, False):
         assert sorted(join_groups(rows, groups, ["k"], few).collect()) == sorted(rows.join(groups, "k").collect())
 
