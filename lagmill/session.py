@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -37,3 +38,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="lagmill-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new, not yet existing folder below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
