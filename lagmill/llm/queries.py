@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lagmill.llm.chunk_bpe import encode_documents
 from lagmill.llm.fingerprints import fingerprint_documents
+from lagmill.llm.langid import identify, train
 from lagmill.llm.packing import pack_documents
 from lagmill.llm.quality import BASE, POLICIES, ledger, mask, passes
 from lagmill.llm.urls import judge_urls
@@ -74,14 +76,24 @@ FROM b"""
 
 @_query("op5_quality", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     judged = ledger(_documents(spark, sf_dir).select("doc_id", "text"))
     base = F.col("failed_bits").bitwiseAND(F.lit(mask(BASE))) != 0
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          base.alias("base_failed"), passes(POLICIES[max(POLICIES)]).alias("kept"), "failed_bits")
 
 
+def _fold(n: int):
+    """The remainder that parts documents into folds; 2 is held out."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@_query("op6_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = train(docs, _fold(4) != 2)
+    return identify(docs.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "text"), model).drop("text")
+
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 OP7_SQL = r"""
 WITH r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'),
