@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lagmill.llm.chunk_bpe import encode_documents
 from lagmill.llm.fingerprints import fingerprint_documents
+from lagmill.llm.hmm import score_documents
 from lagmill.llm.langid import identify, train
 from lagmill.llm.packing import pack_documents
 from lagmill.llm.quality import BASE, POLICIES, ledger, mask, passes
@@ -112,3 +113,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query("op9_hmm_scores")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_documents(spark, sf_dir), _fold(7) == 2, _fold(7) != 2)
