@@ -12,6 +12,7 @@ from lagmill.llm.hmm import score_documents
 from lagmill.llm.langid import identify, train
 from lagmill.llm.packing import pack_documents
 from lagmill.llm.quality import BASE, POLICIES, ledger, mask, passes
+from lagmill.llm.substrings import remove_repeats
 from lagmill.llm.urls import judge_urls
 
 QUERIES = {}
@@ -118,3 +119,23 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_hmm_scores")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_documents(spark, sf_dir), _fold(7) == 2, _fold(7) != 2)
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+           FROM documents),
+     g AS (SELECT doc_id, i, hash(list_slice(w, i, i + 12)) AS g FROM d, unnest(generate_series(1, len(w) - 12)) AS t(i)),
+     m AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g),
+     r AS (SELECT g.doc_id, i FROM g JOIN m USING (g) WHERE least < g.doc_id),
+     x AS (SELECT DISTINCT doc_id, i + k AS i FROM r, range(13) AS s(k)),
+     k AS (SELECT doc_id, list(i) AS gone FROM x GROUP BY doc_id),
+     p AS (SELECT doc_id, i, w[i] AS word FROM d, unnest(generate_series(1, len(w))) AS t(i)),
+     q AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM p ANTI JOIN x USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN q USING (doc_id)"""
+
+
+@_query("op10_substrings", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
