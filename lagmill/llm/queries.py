@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lagmill.llm.chunk_bpe import encode_documents
 from lagmill.llm.fingerprints import fingerprint_documents
 from lagmill.llm.hmm import score_documents
+from lagmill.llm.jaccard import near_classes
 from lagmill.llm.langid import identify, train
 from lagmill.llm.packing import pack_documents
 from lagmill.llm.quality import BASE, POLICIES, ledger, mask, passes
@@ -139,3 +140,19 @@ FROM d LEFT JOIN k USING (doc_id) LEFT JOIN q USING (doc_id)"""
 @_query("op10_substrings", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+           FROM documents),
+     s AS (SELECT DISTINCT doc_id, hash(list_slice(w, i, i + 4)) AS s FROM d, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS t(i)
+           WHERE len(w) > 0),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+     l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 9 * c >= 4 * (x.n + y.n))
+SELECT doc_id, CAST(count(b) AS BIGINT) AS n_links FROM d LEFT JOIN l ON a = doc_id GROUP BY doc_id"""
+
+
+@_query("op8_near_documents")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(_documents(spark, sf_dir))
