@@ -11,6 +11,7 @@ from lagmill.llm.fingerprints import fingerprint_documents
 from lagmill.llm.hmm import score_documents
 from lagmill.llm.jaccard import near_classes
 from lagmill.llm.langid import identify, train
+from lagmill.llm.lines import dedup_lines
 from lagmill.llm.packing import pack_documents
 from lagmill.llm.quality import BASE, POLICIES, ledger, mask, passes
 from lagmill.llm.substrings import remove_repeats
@@ -53,6 +54,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), WORD_BPE)
 
 
+@_query("op4_lines")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
