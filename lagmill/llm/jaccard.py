@@ -337,7 +337,7 @@ def near_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows of a class other than its first document; all columns as they are.
 
-    Of repeated rows of that document one stays. Rows with a null ``doc_id`` and texts without words stay.
+    Rows of one ``doc_id`` are one document. Rows with a null ``doc_id`` and texts without words stay.
     """
     classes = near_classes(docs).where("doc_id is not null and class_id <> doc_id").select("doc_id").distinct()
     return docs.join(classes, "doc_id", "left_anti")
