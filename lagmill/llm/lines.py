@@ -101,8 +101,11 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prefixes = ranked.select("k", _tokens(F.col("line"), F.col("ranks")).alias("tokens")).select(
         "k", F.size("tokens").alias("size"), F.expr("slice(tokens, 1, cast(size(tokens) - floor((size(tokens) * 4 + 4) / 5) + 1 as int))").alias("prefix"))
     once = prefixes.groupBy("k").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    rows = once.select("k", "size", F.posexplode("prefix").alias("pos", "token")).repartition("token")
-    several = rows.groupBy("token").agg(F.count("*").alias("lines")).where("lines > 1").select("token")
+    rows = once.select("k", "size", F.posexplode("prefix").alias("pos", "token")).where("token is not null and k is not null").repartition("token")
+    # One shuffle by token serves both the count and the join, as long as both read the same columns: hence conditions that
+    # always hold.
+    several = rows.groupBy("token").agg(F.count("*").alias("lines"), *[F.max(c).alias(f"max_{c}") for c in ("k", "size", "pos")])
+    several = several.where("lines > 1 and max_k is not null and max_size > 0 and max_pos >= 0").select("token")
     rows.join(several, "token").join(firsts.select("k", "n"), "k").write.parquet(at["tokens"])
     rows = spark.read.parquet(at["tokens"])
 
