@@ -9,6 +9,8 @@ from lagmill.operators.panel import exact_sum, panel_from_facts, truncate, widen
 from lagmill.operators.transforms import transform
 from lagmill.sources.wide_csv import to_text_table
 
+#: Borders inside the events, whose grain is finer than a day.
+EVENT_REGIMES = {"first": ("2024-01-01", "2024-01-10"), "second": ("2024-01-11", "2024-01-20"), "third": ("2024-01-21", "2024-12-31")}
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 FLAGS = ("A", "N", "R")
 REGIMES = {
@@ -94,6 +96,11 @@ REGIME_SQL = "regimes AS (SELECT * FROM (VALUES " + ", ".join(
 ) + ") AS r(pos, regime, starts, ends))"
 
 
+EVENT_REGIME_SQL = "regimes AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{name}', TIMESTAMP '{a}', TIMESTAMP '{b}' + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND)"
+    for i, (name, (a, b)) in enumerate(EVENT_REGIMES.items(), 1)) + ") AS r(pos, regime, starts, ends))"
+
+
 def text_table(spark, sf) -> DataFrame:
     """The monthly panel as a text table with its code row."""
     return to_text_table(monthly(spark, sf), PRIORITIES, {p: 5 for p in PRIORITIES})

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.panels import G1, P2, P3, REGIME_SQL, REGIMES, S3, by_second, daily, growth, hourly
+from catalog.panels import EVENT_REGIME_SQL, EVENT_REGIMES, G1, P2, P3, REGIME_SQL, REGIMES, S3, by_second, daily, growth, hourly
 from catalog.registry import query
 from lagmill.functions.columns import regime_names
 from lagmill.operators.scoring import align, evaluate, naive_forecasts, rolled_persistence, shifted_naive_scores
@@ -102,6 +102,18 @@ def regime_of(spark, sf):
     return growth(spark, sf).select("series_id", "ts", F.explode(regime_names(F.col("ts"), REGIMES)).alias("regime"))
 
 
+@query("j2_regime_lookup_of_seconds", "series_id, ts:t, regime",
+       f"WITH {S3}, {EVENT_REGIME_SQL} SELECT series_id, ts, regime FROM s3 JOIN regimes ON ts BETWEEN starts AND ends")
+def regime_of_second(spark, sf):
+    return by_second(spark, sf).select("series_id", "ts", F.explode(regime_names(F.col("ts"), EVENT_REGIMES)).alias("regime"))
+
+
+@query("a4_scores_per_regime_of_hours", FLAGSHIP_COLUMNS, f"""WITH {P3}, {_NAIVE.format('p3')}, {EVENT_REGIME_SQL},
+ ff AS (SELECT * FROM f WHERE forecast IS NOT NULL), {_TIDY} SELECT * FROM scored""")
+def hourly_scores(spark, sf):
+    return evaluate(naive_forecasts(hourly(spark, sf), "hour"), EVENT_REGIMES)
+
+
 @query("w10_rolled_persistence", "series_id, ts:t, forecast:9", f"""
  WITH {G1} SELECT series_id, ts, coalesce(lag(value) OVER w, last_value(value) OVER (PARTITION BY series_id ORDER BY ts
   ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS forecast FROM g1 WINDOW w AS (PARTITION BY series_id ORDER BY ts)""")
@@ -109,9 +121,9 @@ def rolled(spark, sf):
     return rolled_persistence(growth(spark, sf), "month")
 
 
-@query("w11_rolled_persistence_scores", "series_id, scope, rmse:9, mae:9, hit_rate:9", f"""
- WITH {G1}, {REGIME_SQL}, r AS (SELECT series_id, ts, value AS actual, coalesce(lag(value) OVER (PARTITION BY series_id ORDER BY ts),
-  last_value(value) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS forecast FROM g1),
+_SHIFTED = """
+ WITH {0}, {1}, r AS (SELECT series_id, ts, value AS actual, coalesce(lag(value) OVER (PARTITION BY series_id ORDER BY ts),
+  last_value(value) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS forecast FROM {2}),
  scopes AS (SELECT 'full' AS scope, DATE '1000-01-01' AS starts, DATE '3000-01-01' AS ends UNION ALL SELECT regime, starts, ends FROM regimes),
  k AS (SELECT DISTINCT series_id FROM r),
  x AS (SELECT k.series_id, scope, actual, forecast, row_number() OVER (PARTITION BY k.series_id, scope ORDER BY ts) AS rn
@@ -120,6 +132,14 @@ def rolled(spark, sf):
  SELECT series_id, scope, sqrt(avg((actual - forecast) ** 2) FILTER (used)) AS rmse,
   sum(abs(actual - forecast)) FILTER (rn > 1) / nullif(count(actual) - 1, 0) AS mae,
   avg(CASE WHEN actual IS NULL THEN NULL WHEN sign(actual) = sign(forecast) THEN 1.0 ELSE 0.0 END) FILTER (used) AS hit_rate
- FROM y GROUP BY 1, 2""")
+ FROM y GROUP BY 1, 2"""
+
+
+@query("w11_rolled_persistence_scores", "series_id, scope, rmse:9, mae:9, hit_rate:9", _SHIFTED.format(G1, REGIME_SQL, "g1"))
 def rolled_scores(spark, sf):
     return shifted_naive_scores(growth(spark, sf), "month", REGIMES)
+
+
+@query("w11_rolled_persistence_scores_of_hours", "series_id, scope, rmse:9, mae:9, hit_rate:9", _SHIFTED.format(P3, EVENT_REGIME_SQL, "p3"))
+def rolled_hourly_scores(spark, sf):
+    return shifted_naive_scores(hourly(spark, sf), "hour", EVENT_REGIMES)

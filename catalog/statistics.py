@@ -3,7 +3,7 @@
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from catalog.panels import G1, P2, P3, REGIME_SQL, REGIMES, S3, by_second, daily, growth, hourly, table
+from catalog.panels import EVENT_REGIME_SQL, EVENT_REGIMES, G1, P2, P3, REGIME_SQL, REGIMES, S3, by_second, daily, growth, hourly, table
 from catalog.registry import query
 from lagmill.operators.correlogram import acf, pacf
 from lagmill.operators.describe import describe, histogram, kernel_density, normal_curve, regime_stats
@@ -50,6 +50,14 @@ def by_regime(spark, sf):
     return regime_stats(growth(spark, sf), REGIMES)
 
 
+@query("a2_regime_stats_of_hours", "series_id, pos:i, regime, count:i, mean:9, std:9", f"""
+ WITH {P3}, {EVENT_REGIME_SQL}, s AS (SELECT DISTINCT series_id FROM p3)
+ SELECT s.series_id, pos - 1 AS pos, regime, count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std
+ FROM s CROSS JOIN regimes LEFT JOIN p3 ON p3.series_id = s.series_id AND ts BETWEEN starts AND ends GROUP BY 1, 2, 3""")
+def hours_by_regime(spark, sf):
+    return regime_stats(hourly(spark, sf), EVENT_REGIMES)
+
+
 @query("a14_histogram", "series_id, bin:i, left_edge:4, right_edge:4, count:i", f"""
  WITH {P2}, s AS (SELECT series_id, min(value) AS lo, max(value) AS hi FROM p2 GROUP BY 1),
  b AS (SELECT series_id, lo, hi, (hi - lo) / 30 AS w, unnest(range(1, 31)) AS bin FROM s),

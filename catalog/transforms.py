@@ -91,6 +91,13 @@ def sliced(spark, sf):
     return date_slice(daily(spark, sf), "1997-02-03", "1998-11-30")
 
 
+@query("f6_date_slice_of_hours", "series_id, ts:t, value:9",
+       f"WITH {P3} SELECT * FROM p3 WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-18'")
+def sliced_hours(spark, sf):
+    """The end is a day: all its hours belong to the slice."""
+    return date_slice(hourly(spark, sf), "2024-01-05", "2024-01-17")
+
+
 @query("f10_trim_leading_gap", "ts:t, A:2, late:2, never_full:2", f"""
  WITH {W2}, v AS (SELECT ts, "A", CASE WHEN ts >= DATE '1996-05-05' AND day(ts) <> 13 THEN "N" END AS late, "R" AS never_full FROM w2),
  f AS (SELECT min(ts) AS first FROM v WHERE "A" IS NOT NULL AND late IS NOT NULL)

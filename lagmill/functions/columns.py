@@ -64,9 +64,23 @@ def capitalize(x: Column) -> Column:
     return F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30)))
 
 
+def _moment(bound: str) -> Column:
+    """A bound with a clock time is a moment, one without it a day."""
+    return F.lit(bound).cast("timestamp_ntz" if ":" in bound else "date")
+
+
+def from_start(ts: Column, start: str) -> Column:
+    return ts >= _moment(start)
+
+
+def to_end(ts: Column, end: str) -> Column:
+    """Up to and with the whole day ``end``, or the moment it names."""
+    return ts <= _moment(end) if ":" in end else ts < F.date_add(_moment(end), 1)
+
+
 def within(ts: Column, start: str, end: str) -> Column:
-    """Both ends inclusive."""
-    return (ts >= F.lit(start).cast("date")) & (ts <= F.lit(end).cast("date"))
+    """Both ends inclusive; days count as a whole at any grain, so that neighbouring ranges leave no gap."""
+    return from_start(ts, start) & to_end(ts, end)
 
 
 def regime_names(ts: Column, regimes: Mapping[str, tuple[str, str]]) -> Column:

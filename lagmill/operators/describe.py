@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagmill.functions.columns import normal_density, ratio, unbiased_kurtosis, unbiased_skewness, within
-from lagmill.operators.joins import join_series
 from lagmill.operators.panel import SERIES, is_bounded
 from lagmill.operators.quantiles import exact_quantiles
 
@@ -73,7 +72,7 @@ def histogram(panel: DataFrame, grain: str | None = None, bins: int = 30, keys:
     spans = _spans(panel, keys, value)
     low, high = F.col("_low"), F.col("_high")
     rows = panel.where(F.col(value).isNotNull()).select(*keys, value)
-    placed = join_series(rows, spans, keys, grain is not None and is_bounded(grain)).select(
+    placed = rows.join(spans, keys).select(
         *keys, F.least(F.width_bucket(F.col(value), low, high, F.lit(bins)), F.lit(bins)).cast("int").alias("bin"))
     counts = placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
     every = spans.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
@@ -112,14 +111,19 @@ def kernel_density(panel: DataFrame, grain: str | None = None, bins: int = 30, p
                    keys: Sequence[str] = SERIES, value: str = "value") -> DataFrame:
     """Gaussian kernel density (bandwidth std * n^(-1/5)) on a grid over [min, max], scaled to histogram counts.
 
-    Each row meets a grid of fixed size and is summed up before the shuffle."""
+    Equal values are counted first; then one aggregation sums the kernels of all grid points side by side."""
     keys = list(keys)
     spans = _spans(panel, keys, value).where(F.col("_std") > 0)
     bandwidth = F.col("_std") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
-    x = F.col("_min") + F.col("point") * ((F.col("_max") - F.col("_min")) / F.lit(float(points - 1)))
+    step = (F.col("_max") - F.col("_min")) / F.lit(float(points - 1))
     bin_width = (F.col("_high") - F.col("_low")) / F.lit(float(bins))
-    rows = panel.where(F.col(value).isNotNull()).select(*keys, value)
-    spread = join_series(rows, spans, keys, grain is not None and is_bounded(grain)).withColumn(
-        "point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", x)
-    kernel = normal_density(F.col("x"), F.col(value), bandwidth) * bin_width
-    return spread.groupBy(*keys, "point", "x").agg(F.sum(kernel).alias("density"))
+    counted = panel.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_times"))
+    placed = counted.join(spans, keys).select(
+        *keys, "_times", F.col("_min"), step.alias("_step"), ((F.col(value) - F.col("_min")) / bandwidth).alias("_at"),
+        (step / bandwidth).alias("_gap"), (bin_width / (bandwidth * F.sqrt(F.lit(2.0) * F.pi()))).alias("_scale"))
+    z = [F.col("_at") - F.col("_gap") * F.lit(float(i)) for i in range(points)]
+    sums = placed.groupBy(*keys).agg(F.first("_min").alias("_min"), F.first("_step").alias("_step"), F.first("_scale").alias("_scale"), *[
+        F.sum(F.col("_times") * F.exp(z[i] * z[i] * F.lit(-0.5))).alias(f"_k{i}") for i in range(points)])
+    rows = [F.struct(F.lit(i).alias("point"), (F.col("_min") + F.col("_step") * F.lit(float(i))).alias("x"),
+                     (F.col(f"_k{i}") * F.col("_scale")).alias("density")) for i in range(points)]
+    return df_inline(sums, keys, rows)

@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lagmill.functions.columns import finite_or_null, quoted, require_columns
-from lagmill.operators.joins import join_series
+from lagmill.functions.columns import finite_or_null, from_start, quoted, require_columns, to_end
 
 SERIES = ("series_id",)
 WHOLE_SERIES_GRAINS = ("year", "quarter", "month", "week", "day", "hour")
@@ -76,11 +75,11 @@ def widen(panel: DataFrame, variables: Sequence[str], ids: Sequence[str] = ("ts"
 
 
 def date_slice(df: DataFrame, start: str | None = None, end: str | None = None, ts: str = "ts") -> DataFrame:
-    """Rows in [start, end], both inclusive; a plain predicate, so it reaches the file scan."""
+    """Rows in [start, end], both inclusive, the whole last day too; a plain predicate, so it reaches the file scan."""
     if start is not None:
-        df = df.where(F.col(ts) >= F.lit(start).cast("date"))
+        df = df.where(from_start(F.col(ts), start))
     if end is not None:
-        df = df.where(F.col(ts) <= F.lit(end).cast("date"))
+        df = df.where(to_end(F.col(ts), end))
     return df
 
 
@@ -178,7 +177,7 @@ def impute_middle(df: DataFrame, variables: Sequence[str], grain: str, edge: int
     inner = (F.col("idx") >= edge) & (F.col("idx") < F.col("n") - edge)
     if how == "full":
         means = df.groupBy(*keys).agg(*[F.avg(quoted(v)).alias(f"_mean_{i}") for i, v in enumerate(variables)])
-        df = join_series(df, means, keys, is_bounded(grain))
+        df = df.join(means, keys)
     elif how == "expanding":
         for i, v in enumerate(variables):
             df = running_mean_before(df, v, f"_mean_{i}", grain, keys, ts)

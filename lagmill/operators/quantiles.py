@@ -8,17 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lagmill.operators.joins import BROADCAST_GROUPS, is_few, join_groups
-
 ACCURACY = 10_000  # rank error of the approximation: one ten-thousandth of a group
 MARGIN = 2.0 / ACCURACY
-
-
 EVEN_CELLS = 64
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                    most: int = BROADCAST_GROUPS) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """One column per name in ``probs``, equal to sorting the group and interpolating linearly between two ranks.
 
     ``percentile`` would hold all distinct values of a group in one task. Here approximate quantiles just below and above
@@ -27,24 +22,15 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     outside its slice is found in the cell that holds it. Only rows of wanted cells are shuffled, after counting equal
     values.
 
-    With up to ``most`` groups the cuts and the list of wanted cells are broadcast (their size follows the number of
-    groups). With more, both are joined, and even cuts keep every cell to a small part of its group."""
+    Even cuts besides keep every cell to a small part of its group. Cuts and wanted cells are joined without a hint:
+    adaptive execution broadcasts them if they turn out small, else splits a key with a large share of the rows."""
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    slices = sorted({min(max(p + side * MARGIN, 0.0), 1.0) for p in probs.values() for side in (-1, 1)})
-
-    def cut(at: Sequence[float]) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.percentile_approx(
-            "_v", F.array(*[F.lit(e) for e in at]), F.lit(ACCURACY)).alias("_cuts"))
-
-    edges, cuts = slices, cut(slices).persist()
-    few = is_few(cuts, most)
-    if not few:
-        cuts.unpersist()
-        edges = sorted({*slices, *[i / EVEN_CELLS for i in range(1, EVEN_CELLS)]})
-        cuts = cut(edges)
+    edges = sorted({min(max(p + side * MARGIN, 0.0), 1.0) for p in probs.values() for side in (-1, 1)}
+                   | {i / EVEN_CELLS for i in range(1, EVEN_CELLS)})
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(ACCURACY)).alias("_cuts"))
     above = [(F.col("_v") > F.get("_cuts", F.lit(i))).cast("int") for i in range(len(edges))]
-    placed = join_groups(rows, cuts, keys, few).withColumn("_cell", sum(above[1:], above[0])).drop("_cuts")
+    placed = rows.join(cuts, keys).withColumn("_cell", sum(above[1:], above[0])).drop("_cuts")
     by_cell = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     ranks = F.array(*[
         F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("rank"))
@@ -58,7 +44,6 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     wanted = cell_totals.withColumn("_ranks", F.filter(
         ranks, lambda r: (F.ceil(r["rank"]) >= F.col("_before")) & (F.floor(r["rank"]) <= last)))
     wanted = wanted.where(F.size("_ranks") > 0).select(*keys, "_cell", "_before", "_ranks")
-    wanted = F.broadcast(wanted) if few else wanted
     cell = [*keys, "_cell"]
     counted = placed.join(wanted, cell, "left_semi").groupBy(*cell, "_v").agg(F.count(F.lit(1)).alias("_times"))
     in_cell = W.partitionBy(*cell).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from lagmill.operators.joins import join_series
 from lagmill.operators.panel import CHUNK_ROWS, is_bounded, with_positions
 
 RESULT = T.StructType([
@@ -101,7 +100,7 @@ def adf(panel: DataFrame, grain: str, alpha: float = 0.05, maxlag: int | None =
     rule = F.ceil(F.lit(12.0) * F.pow(F.col("n") / 100.0, F.lit(0.25))) if maxlag is None else F.lit(maxlag)
     stats = stats.withColumn("_maxlag", F.least(F.floor(F.col("n") / 2) - 2, rule).cast("int"))
     testable = (F.col("_maxlag") >= 0) & (F.col("_std") > 0)
-    placed = join_series(rows.select("series_id", "idx", value), stats.where(testable), ["series_id"], is_bounded(grain))
+    placed = rows.select("series_id", "idx", value).join(stats.where(testable), "series_id")
     scaled = placed.select(
         "series_id", "idx", "_maxlag", ((F.col(value) - F.col("_mean")) / F.col("_std")).alias("x"))
     first = F.floor(F.col("idx") / F.lit(chunk_rows))

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from lagmill.functions.columns import is_finite, require_columns
-from lagmill.operators.joins import BROADCAST_GROUPS, is_few, join_groups
 from lagmill.plans.defaults import MODEL_NAMES
 
 CURVE_POINTS = 400
@@ -83,7 +82,7 @@ def dependence_points(explanations: DataFrame) -> DataFrame:
 
 
 def dependence_curve(explanations: DataFrame, points: int = CURVE_POINTS,
-                     keys: Sequence[str] = ("series_id",), most: int = BROADCAST_GROUPS) -> DataFrame:
+                     keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """(keys, feature, label, point, x, y): cubic fit of contribution on feature value over the observed range, for
     features with at least four records. Power sums aggregate in Spark; only a 4 x 4 solve per feature is Python."""
     groups = [*keys, "feature"]
@@ -91,14 +90,14 @@ def dependence_curve(explanations: DataFrame, points: int = CURVE_POINTS,
     x, y = F.col("feature_value"), F.col("shap_value")
     stats = records.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("_n"), F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_std"), F.min(x).alias("_lo"),
-        F.max(x).alias("_hi")).where((F.col("_n") > DEGREE) & (F.col("_std") > 0)).persist()
+        F.max(x).alias("_hi")).where((F.col("_n") > DEGREE) & (F.col("_std") > 0))
     z = (x - F.col("_mean")) / F.col("_std")
     z1, z2, z3 = F.col("_z"), F.col("_z2"), F.col("_z") * F.col("_z2")
     z_powers = [F.lit(1.0), z1, z2, z3, z2 * z2, z2 * z3, z3 * z3]
     powers = [F.sum(p).alias(f"_s{i}") for i, p in enumerate(z_powers)]
     crosses = [F.sum(p * y).alias(f"_c{i}") for i, p in enumerate(z_powers[:DEGREE + 1])]
     scale = [F.max(c).alias(c) for c in ("_mean", "_std", "_lo", "_hi")]
-    placed = join_groups(records, stats, groups, is_few(stats, most)).withColumn("_z", z).withColumn("_z2", F.col("_z") * F.col("_z"))
+    placed = records.join(stats, groups).withColumn("_z", z).withColumn("_z2", F.col("_z") * F.col("_z"))
     sums = placed.groupBy(*groups).agg(*powers, *crosses, *scale)
     fitted = sums.withColumn("_b", _polynomial(F.array(*[f"_s{i}" for i in range(2 * DEGREE + 1)]),
                                                F.array(*[f"_c{i}" for i in range(DEGREE + 1)])))

@@ -9,7 +9,6 @@ from lagmill.operators.describe import histogram
 from lagmill.operators.panel import (
     densify, impute_middle, melt, over_series, running_mean_before, trim_leading_gap, with_positions,
 )
-from lagmill.operators.joins import join_groups
 from lagmill.operators.quantiles import exact_quantiles
 from lagmill.operators.transforms import CODES, make_stationary, transform
 
@@ -110,25 +109,16 @@ def test_quantiles_equal_numpy(spark, x):
     np.testing.assert_allclose([row[n] for n in probs], np.quantile(x, list(probs.values())), atol=1e-12)
 
 
-def test_quantiles_without_broadcast(spark):
+def test_quantiles_of_uneven_groups(spark):
     rng = np.random.default_rng(7)
     x = {"hot": rng.normal(size=3000), "a": rng.normal(size=20), "b": np.ones(30)}
     df = spark.createDataFrame([(k, float(v)) for k, vs in x.items() for v in vs], "k string, v double").repartition(4)
-    rows = exact_quantiles(df, ["k"], "v", {"q": 0.3, "p99": 0.99}, most=1).collect()
+    rows = exact_quantiles(df, ["k"], "v", {"q": 0.3, "p99": 0.99}).collect()
     assert len(rows) == 3
     for r in rows:
         np.testing.assert_allclose([r.q, r.p99], np.quantile(x[r.k], [0.3, 0.99]), atol=1e-12)
 
 
-def test_salted_join_equals_plain_join(spark):
-    rows = spark.range(1000).selectExpr("id % 3 AS k", "id AS v")
-    groups = spark.createDataFrame([(0, 1.0), (1, 2.0)], "k long, g double")
-    copies = join_groups(spark.sql("SELECT 0 AS k FROM range(0, 400, 1, 40)"), groups, ["k"], False)
-    assert copies.count() == 400
-    for few in (True, False):
-        assert sorted(join_groups(rows, groups, ["k"], few).collect()) == sorted(rows.join(groups, "k").collect())
-
-
 def test_histogram_of_constant_series(spark):
     rows = histogram(panel(spark, [2.0] * 5)).collect()
     assert len(rows) == 30 and sum(r["count"] for r in rows) == 5
