@@ -77,7 +77,11 @@ def run_boosted(df: DataFrame, config: BacktestConfig, grid: list[dict] | None =
     path = path or f"{shared_folder(spark)}/boosted-{uuid4().hex}"
     plan, k = config.origins, len(config.names)
     rows = assemble(lag_features(df, config.target, config.grain, config.nlags, config.predictor_lags, plan.horizon,
-                                 config.volatility, config.univariate), config.names).where("complete")
+                                 config.volatility, config.univariate), config.names)
+    # An origin whose newest row misses a feature uses the newest complete row before it.
+    so_far = W.partitionBy("series_id").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+    live = F.last(F.when(F.col("complete"), F.struct("ts", "features")), ignorenulls=True).over(so_far)
+    rows = rows.withColumn("live", live).where("live is not null")
     rows.write.parquet(f"{path}/features")
     rows = spark.read.parquet(f"{path}/features")
     longest = rows.agg(F.max("n")).first()[0] or 0
@@ -85,15 +89,17 @@ def run_boosted(df: DataFrame, config: BacktestConfig, grid: list[dict] | None =
     for cycle in range(plan.cycles(longest)):
         first = plan.initial + cycle * plan.interval
         known = F.col("target").isNotNull() & (F.col("idx") < first - plan.horizon)
-        seen = rows.where(F.col("idx") < first + plan.interval - 1).withColumn("_known", known)
+        seen = rows.where(F.col("complete") & known).drop("live").withColumn("_known", F.lit(True))
         order = W.partitionBy("series_id", "_known")
         placed = seen.withColumns({"_row": F.row_number().over(order.orderBy("idx")) - 1,
                                    "_rows": F.count(F.lit(1)).over(order)})
-        choice = _tune(placed.where("_known"), grid, trees, config, k, f"{path}/folds/cycle={cycle}")
-        ready = _stored(_scaled(placed, F.col("_known"), k), f"{path}/rows/cycle={cycle}")
+        choice = _tune(placed, grid, trees, config, k, f"{path}/folds/cycle={cycle}")
+        origins = rows.where((F.col("idx") >= first - 1) & (F.col("idx") < first + plan.interval - 1)
+                             & (F.col("idx") <= F.col("n") - plan.horizon - 1))
+        origins = origins.withColumns({"ts": F.col("live.ts"), "features": F.col("live.features"), "_known": F.lit(False)}).drop("live")
+        ready = _stored(_scaled(placed.unionByName(origins, allowMissingColumns=True), F.col("_known"), k), f"{path}/rows/cycle={cycle}")
         model = trees.fit(ready.where("_known"), grid[choice])
-        live = ready.where((F.col("idx") >= first - 1) & (F.col("idx") <= F.col("n") - plan.horizon - 1))
-        out = model.transform(live.withColumnRenamed("target", "actual_logdiff")).select(
+        out = model.transform(ready.where(~F.col("_known")).withColumnRenamed("target", "actual_logdiff")).select(
             "series_id", F.lit("lightgbm").alias("model_class"), (F.col("idx") + 1).cast("int").alias("origin_idx"),
             F.col("ts").alias("origin_date"), F.col("target_ts").alias("forecast_date"),
             F.col("prediction").alias("forecast_logdiff"), "actual_logdiff", "clipped", "scaled")
@@ -134,9 +140,9 @@ def _tune(known: DataFrame, grid: list[dict], trees: Trees, config: BacktestConf
         train = F.col("_row") < F.col("_f.train_end")
         valid = (F.col("_row") >= F.col("_f.val_start")) & (F.col("_row") < F.col("_f.val_end"))
         ready = _stored(_scaled(rows.where(train | valid).withColumn("_train", train), F.col("_train"), k), f"{path}/fold={fold}")
+        if ready.where("_train").isEmpty():
+            continue
         for pos, point in enumerate(grid):
-            if ready.where("_train").isEmpty():
-                continue
             scored = trees.fit(ready.where("_train"), point).transform(ready.where(~F.col("_train")))
             mae = scored.agg(F.avg(F.abs(F.col("prediction") - F.col("target")))).first()[0]
             if mae is not None:

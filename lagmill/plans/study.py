@@ -80,7 +80,7 @@ def run_all(prepared: Prepared, model_type: str, folder: str, classes: Sequence[
     grids, part = grids or {}, f"model_type={model_type}/model_class="
     for name in classes:
         if name == "lightgbm":
-            forecasts, records, _ = run_boosted(prepared.frame, setting, grids.get(name))
+            forecasts, records, _ = run_boosted(prepared.frame, setting, grids.get(name), path=f"{folder}/boosted/{part}{name}")
         else:
             model = model_of(name, model_type)
             model = model.with_grid(grids[name]) if name in grids else model

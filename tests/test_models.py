@@ -196,3 +196,15 @@ def test_boosted_explanations_are_additive(spark):
     sums = records.groupBy("origin_date", "prediction", "base_value").agg(F.sum("shap_value").alias("s"), F.count("*").alias("c")).toPandas()
     np.testing.assert_allclose(sums.base_value + sums.s, sums.prediction, atol=1e-10)
     assert set(sums.c) == {2}
+
+
+def test_boosted_trees_forecast_every_origin(spark):
+    """A missing feature does not cost an origin: the newest complete row before it stands in, as in the other backtests."""
+    values = np.random.default_rng(4).normal(size=70).tolist()
+    values[60] = None
+    df = panel(spark, values)
+    config = BacktestConfig(nlags=2, origins=Expanding(initial=50, interval=12), v=12)
+    forecasts, _, _ = run_boosted(df, config, [{"max_depth": 2, "n_estimators": 2}], explain_pairs=0)
+    others = run_backtest(df, model_of("elasticnet").with_grid([{"alpha": 0.1, "l1_ratio": 0.5}]), config).forecasts()
+    places = lambda rows: sorted((r.origin_idx, str(r.origin_date), str(r.forecast_date)) for r in rows.collect())
+    assert places(forecasts) == places(others)
