@@ -30,7 +30,7 @@ from lagmill.llm.arrays import filled, mixed, ragged, run_hashes, slices, word_h
 
 WINDOW = 13
 LONG_ROUNDS = 12
-ANCHOR_ROUNDS = 5
+ANCHOR_ROUNDS = 4
 #: Characters of the documents that are worked on together.
 GROUP_CHARS = 4_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -160,23 +160,6 @@ def _inside(bounds: np.ndarray, n: int) -> np.ndarray:
     return inside
 
 
-class Spans:
-    """Passages of the documents of a group: (document, first word, length) rows as sorted arrays."""
-
-    def __init__(self, table: pa.Table):
-        self.row = table.column("row").to_numpy().astype(np.int64) if table.num_rows else np.zeros(0, np.int64)
-        self.at = table.column("at").to_numpy().astype(np.int64) if table.num_rows else np.zeros(0, np.int64)
-        self.size = table.column("size").to_numpy().astype(np.int64) if table.num_rows else np.zeros(0, np.int64)
-        order = np.argsort(self.row, kind="stable")
-        self.row, self.at, self.size = self.row[order], self.at[order], self.size[order]
-
-    def of(self, keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, length) in the words of a slice, of the rows whose document is among ``keys``."""
-        a, b = np.searchsorted(self.row, keys), np.searchsorted(self.row, keys, side="right")
-        pick = ragged(a, b - a)
-        return self.at[pick] + np.repeat(bounds[:-1], b - a), self.size[pick]
-
-
 def _known(starts: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
     """Whether the window that starts at each word lies in one of the passages."""
     mark = np.zeros(n + 1, np.int64)
@@ -185,89 +168,121 @@ def _known(starts: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(mark)[:n] > 0
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows (name, doc_id, ..) whose name also stands in a smaller document. Names are counted within tasks first; a hot
-    name is met on the side of the rows only, where the join can be split."""
-    least = rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    return rows.join(least.select("name", "least"), "name").where("least < doc_id")
+#: What a group asks: for each name its smallest and largest document there.
+ASKED = pa.schema([("name", pa.int64()), ("g", pa.int32()), ("least", pa.int64()), ("most", pa.int64())])
+_FAR = np.iinfo(np.int64).max
+
+
+def _asked(names: list[np.ndarray], docs: list[np.ndarray], g: int) -> pa.Table:
+    """One row per distinct name."""
+    name = np.concatenate(names) if names else np.zeros(0, np.uint64)
+    if not len(name):
+        return ASKED.empty_table()
+    doc = np.concatenate(docs)
+    real = doc > -(1 << 63)  # null documents
+    name, doc = name[real], doc[real]
+    order = np.lexsort((doc, name))
+    name, doc = name[order], doc[order]
+    heads = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    last = np.append(heads[1:], len(name)) - 1
+    return pa.Table.from_arrays([_signed(name[heads]), pa.array(np.full(len(heads), g, np.int32)), pa.array(doc[heads]),
+                                 pa.array(doc[last])], schema=ASKED)
+
+
+class Told:
+    """Smallest documents of names that a group asked for."""
+
+    def __init__(self, table: pa.Table, kind: int):
+        table = table.filter(pc.equal(table.column("kind"), kind))
+        name = table.column("name").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(name)
+        self.name, self.least = name[order], table.column("least").to_numpy().astype(np.int64)[order]
+
+    def of(self, names: np.ndarray) -> np.ndarray:
+        """Smallest document of each name; the largest integer where none was told."""
+        if not len(self.name) or not len(names):
+            return np.full(len(names), _FAR)
+        place = np.minimum(np.searchsorted(self.name, names), len(self.name) - 1)
+        return np.where(self.name[place] == names, self.least[place], _FAR)
 
 
-def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with a group ``g``, a row key and all other columns in ``rest``; passages (g, row, at, size) of them that
-    also stand in an earlier document)."""
+def _documents_of(part: pa.RecordBatch) -> np.ndarray:
+    """A null document has no smaller one, and is smaller than none."""
+    return pc.fill_null(part.column("doc_id"), -(1 << 63)).to_numpy(zero_copy_only=False)
+
+
+def _open_windows(part: pa.RecordBatch, told: Told) -> tuple[np.ndarray, ...]:
+    """(hashes of words, document of each word, starts of windows that no long passage decides, whether a window starting
+    at each word is known to be repeated)."""
+    bounds, h, doc = _words(part)
+    name, first, stop, owner = long_passages(h, doc)
+    found = told.of(name) < _documents_of(part)[owner]
+    known = _known(first[found], (stop - first)[found], len(h))
+    return h, doc, np.flatnonzero(_inside(bounds, len(h)) & ~known), known
+
+
+def _answers(asked: DataFrame, kind: int) -> DataFrame:
+    """(g, kind, name, least) of names whose smallest document in the corpus is smaller than some document of the group.
+
+    A name has one row per group of documents at most, so that a passage that stands everywhere is still a short list. One
+    shuffle by name serves the minimum and the join, as long as both read the same columns and rows; hence the conditions
+    that always hold."""
+    by_name = asked.where("name is not null and least is not null and most is not null").repartition("name")
+    least = by_name.groupBy("name").agg(F.min("least").alias("first"), F.max("most").alias("last"), F.min("g").alias("any"))
+    least = least.where("first < last and any >= 0").select("name", "first")
+    return by_name.join(least, "name").where("first < most and least >= first").select(
+        "g", F.lit(kind).alias("kind"), "name", F.col("first").alias("least"))
+
+
+def _answers_any(asked: DataFrame) -> DataFrame:
+    """(g, kind, name, least) of names that stand in two documents, for all groups that have them: the smallest document's
+    group must ask for its windows too. ``g`` is -1 - group where two documents of the group have the name."""
+    by_name = asked.repartition("name")
+    several = by_name.groupBy("name").agg(F.count("g").alias("groups"), F.min("g").alias("low")).where("groups > 1 or low < 0").select("name")
+    group = F.when(F.col("g") < 0, -1 - F.col("g")).otherwise(F.col("g"))
+    return by_name.join(several, "name").select(group.alias("g"), F.lit(1).alias("kind"), "name", F.lit(0).cast("long").alias("least"))
+
+
+def answered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents with a group ``g`` and all other columns in ``rest``; the answers to what each group asked)."""
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     groups = max(1, -(-chars // GROUP_CHARS))
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")])
-    # Repeated rows share a key; so do their passages.
-    texts = docs.select("doc_id", "text", rest.alias("rest"), F.xxhash64("doc_id", "text").alias("row")).withColumn(
-        "g", F.pmod("row", F.lit(groups)).cast("int"))
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                bounds, h, doc = _words(part)
-                name, first, stop, owner = long_passages(h, doc)
-                pick = pa.array(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(name), part.column("doc_id").take(pick), part.column("g").take(pick), part.column("row").take(pick),
-                     pa.array((first - bounds[owner]).astype(np.int32)), pa.array((stop - first).astype(np.int32))],
-                    ["name", "doc_id", "g", "row", "at", "size"])
-
-    spans = "g int, row long, at int, size int"
-    long = _repeated(texts.select("doc_id", "text", "row", "g").mapInArrow(passages, "name long, doc_id long, g int, row long, at int, size int")).select("g", "row", "at", "size")
-
-    def anchors(left, right):
-        found, known = [], Spans(right)
+    texts = docs.select("doc_id", "text", rest.alias("rest"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"))
+    by_group = texts.groupBy("g")
+    asked = "name long, g int, least long, most long"
+
+    def passages(key, table):
+        names, docs_ = [], []
+        for part in _rows(table):
+            name, _, _, owner = long_passages(*_words(part)[1:])
+            names.append(name)
+            docs_.append(_documents_of(part)[owner])
+        return _asked(names, docs_, key[0].as_py())
+
+    def anchors(key, left, right):
+        told, names, docs_ = Told(right, 0), [], []
         for part in _rows(left):
-            bounds, h, doc = _words(part)
-            keys = part.column("row").to_numpy()
-            open_ = _inside(bounds, len(h)) & ~_known(*known.of(keys, bounds), len(h))
-            at = np.flatnonzero(open_)
-            pairs = np.stack([doc[at].astype(np.uint64), window_anchors(h, doc)[at]], axis=1)
-            change = np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)]) if len(pairs) else np.zeros(0, bool)
-            pairs = pairs[change]
-            pairs = pairs[np.sort(np.unique(_pair_names(pairs[:, 0], pairs[:, 1], 0), return_index=True)[1])]
-            pick = pa.array(pairs[:, 0].astype(np.int64))
-            found.append(pa.table({"name": _signed(np.ascontiguousarray(pairs[:, 1])), "doc_id": part.column("doc_id").take(pick),
-                                   "g": part.column("g").take(pick), "row": part.column("row").take(pick)}))
-        return pa.concat_tables(found) if found else pa.schema(
-            [("name", pa.int64()), ("doc_id", pa.int64()), ("g", pa.int32()), ("row", pa.int64())]).empty_table()
-
-    groups_of = texts.groupBy("g")
-    asked = groups_of.cogroup(long.groupBy("g")).applyInArrow(anchors, "name long, doc_id long, g int, row long")
-    several = asked.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("name")
-    shared = asked.join(several, "name").select("g", "row", "name")
-    told = (
-        long.select("g", "row", "at", "size", F.lit(None).cast("long").alias("name"))
-        .unionByName(shared.select("g", "row", F.lit(0).alias("at"), F.lit(0).alias("size"), "name"))
-    )
-
-    def windows(left, right):
-        found = []
-        passages_of = Spans(right.filter(pc.is_null(right.column("name"))))
-        named = right.filter(pc.is_valid(right.column("name")))
-        wanted = np.sort(_pair_names(named.column("row").to_numpy().astype(np.int64).view(np.uint64),
-                                     named.column("name").to_numpy().astype(np.int64).view(np.uint64), 0))
+            h, doc, at, _ = _open_windows(part, told)
+            names.append(window_anchors(h, doc)[at])
+            docs_.append(_documents_of(part)[doc[at]])
+        table = _asked(names, docs_, key[0].as_py())
+        g = np.where(table.column("least").to_numpy() < table.column("most").to_numpy(), -1 - key[0].as_py(), key[0].as_py())
+        return pa.table({"name": table.column("name"), "g": pa.array(g.astype(np.int32))})
+
+    def windows(key, left, right):
+        told, shared, names, docs_ = Told(right, 0), Told(right, 1), [], []
         for part in _rows(left):
-            bounds, h, doc = _words(part)
-            keys = part.column("row").to_numpy()
-            open_ = _inside(bounds, len(h)) & ~_known(*passages_of.of(keys, bounds), len(h))
-            at = np.flatnonzero(open_)
-            ask = _pair_names(keys.view(np.uint64)[doc[at]], window_anchors(h, doc)[at], 0)
-            place = np.minimum(np.searchsorted(wanted, ask), max(len(wanted) - 1, 0))
-            at = at[wanted[place] == ask] if len(wanted) else at[:0]
-            pick = pa.array(doc[at])
-            found.append(pa.table({
-                "name": _signed(run_hashes(h, WINDOW)[at]), "doc_id": part.column("doc_id").take(pick), "g": part.column("g").take(pick),
-                "row": part.column("row").take(pick), "at": pa.array((at - bounds[doc[at]]).astype(np.int32)),
-                "size": pa.array(np.full(len(at), WINDOW, np.int32))}))
-        return pa.concat_tables(found) if found else pa.schema(
-            [("name", pa.int64()), ("doc_id", pa.int64()), ("g", pa.int32()), ("row", pa.int64()), ("at", pa.int32()),
-             ("size", pa.int32())]).empty_table()
-
-    short = _repeated(groups_of.cogroup(told.groupBy("g")).applyInArrow(
-        windows, "name long, doc_id long, g int, row long, at int, size int")).select("g", "row", "at", "size")
-    return texts, long.unionByName(short)
+            h, doc, at, _ = _open_windows(part, told)
+            at = at[shared.of(window_anchors(h, doc)[at]) < _FAR]
+            names.append(run_hashes(h, WINDOW)[at])
+            docs_.append(_documents_of(part)[doc[at]])
+        return _asked(names, docs_, key[0].as_py())
+
+    long = _answers(by_group.applyInArrow(passages, asked), 0)
+    anchored = _answers_any(by_group.cogroup(long.groupBy("g")).applyInArrow(anchors, "name long, g int"))
+    told = long.unionByName(anchored)
+    return texts, long.unionByName(_answers(by_group.cogroup(told.groupBy("g")).applyInArrow(windows, asked), 2))
 
 
 _WORD = re.compile("[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -285,21 +300,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     own = ("n_words", "n_removed", "kept_sha256")
     keep = [c for c in docs.columns if c not in own]
-    texts, passages = repeated_windows(docs.select(*keep))
+    texts, answers = answered(docs.select(*keep))
     out = T.StructType([*(f for f in texts.schema if f.name in ("doc_id", "text", "rest")), T.StructField("n_words", T.LongType()),
                         T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
 
     def remove(left, right):
-        spans, parts = Spans(right), []
+        told, single, parts = Told(right, 0), Told(right, 2), []
         for part in _rows(left):
             column = part.column("text")
             values = filled(column)
-            bounds, flat = word_lists(values)
-            gone = np.zeros(len(flat) + 1, np.int64)
-            starts, sizes = spans.of(part.column("row").to_numpy(), bounds)
+            bounds, _ = word_lists(values)
+            h, doc, at, known = _open_windows(part, told)
+            known[at] = single.of(run_hashes(h, WINDOW)[at]) < _documents_of(part)[doc[at]]
+            gone = np.zeros(len(h) + WINDOW, np.int64)
+            starts = np.flatnonzero(known)
             np.add.at(gone, starts, 1)
-            np.add.at(gone, starts + sizes, -1)
-            gone = np.cumsum(gone)[:len(flat)] > 0
+            np.add.at(gone, starts + WINDOW, -1)
+            gone = np.cumsum(gone)[:len(h)] > 0
             removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[bounds])
             new, digests = [], []
             for k, text in enumerate(values.to_pylist()):
@@ -313,5 +330,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                                    "n_words": pa.array(np.diff(bounds)), "n_removed": pa.array(removed), "kept_sha256": digests}))
         return pa.concat_tables(parts) if parts else to_arrow_schema(out).empty_table()
 
-    done = texts.groupBy("g").cogroup(passages.groupBy("g")).applyInArrow(remove, out)
+    done = texts.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(remove, out)
     return done.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`").alias(c) for c in keep], *own)
