@@ -16,7 +16,7 @@ from lagmill.operators.views import duplicate_records, explanation_matrix
 from lagmill.plans.defaults import REGIMES
 from lagmill.plans.naive import naive_benchmark
 from lagmill.sources.wide_csv import load_univariate, read_text_table, split_code_row
-from lagmill.operators.transforms import make_stationary
+from lagmill.operators.transforms import make_stationary, transform
 
 
 def adf_by_least_squares(x, maxlag):
@@ -168,3 +168,31 @@ def test_published_statistics(spark):
     for model, rows in SCORES.items():
         got = [(r.rmse, r.mae, r.hit_rate) for r in scored if r.model == model]
         np.testing.assert_allclose(got, rows, rtol=1e-12)
+
+
+def test_statistics_and_scores_of_a_series_made_by_rule(spark):
+    """The published checks on a series that needs no file: all values against plain numpy and pandas."""
+    import pandas as pd
+
+    n = 240
+    level = [100 + 0.3 * k + 7 * np.sin(k / 5) + 3 * np.cos(k * k / 11) for k in range(n)]
+    change = pd.Series(np.diff(np.log(level)))
+    months = pd.date_range("1990-02-01", periods=n - 1, freq="MS")
+    raw = panel(spark, [float(v) for v in level], start="1990-01-01")
+    df = transform(raw, "month", code=5).where(F.col("value").isNotNull())
+    for rows, x in ((raw, pd.Series(level)), (df, change)):
+        row = describe(rows, "month").first()
+        wanted = {"count": len(x), "mean": x.mean(), "std": x.std(), "min": x.min(), "q25": x.quantile(0.25), "median": x.median(),
+                  "q75": x.quantile(0.75), "max": x.max(), "variance": x.var(), "skewness": x.skew(), "kurtosis": x.kurt()}
+        for name, value in wanted.items():
+            assert row[name] == pytest.approx(value, rel=1e-9, abs=1e-12), name
+    cut = months[len(months) // 2]
+    regimes = {"old": ("1900-01-01", str(cut.date())), "new": (str((cut + pd.Timedelta(days=1)).date()), "2100-01-01")}
+    got = {(r.model, r.scope): (r.n, r.rmse, r.mae) for r in naive_benchmark(df, "month", None, None, regimes).collect()}
+    forecasts = {"Naive_Zero": change * 0, "Naive_Persistence": change.shift(1), "Naive_RollingMean_12": change.expanding().mean().shift(1)}
+    for model, forecast in forecasts.items():
+        for scope, inside in (("full", months == months), ("old", months <= cut), ("new", months > cut)):
+            error = (change - forecast)[inside].dropna()
+            count, rmse, mae = got[model, scope]
+            assert count == len(error)
+            assert (rmse, mae) == pytest.approx((np.sqrt((error ** 2).mean()), error.abs().mean()), rel=1e-9)
