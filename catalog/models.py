@@ -151,19 +151,19 @@ def multivariate_elastic_net(spark, sf):
     return run_backtest(entities(spark, sf), model_of("elasticnet", "multivariate"), config).forecasts()
 
 
-def _boosted(spark, sf, explain_pairs):
+def _boosted(spark, sf, explain):
     config = BacktestConfig(nlags=3, origins=Expanding(initial=56, interval=12), v=12)
-    return run_boosted(growth(spark, sf), config, [{"max_depth": 2, "n_estimators": 3}, {"max_depth": 3, "n_estimators": 3}], explain_pairs=explain_pairs)
+    return run_boosted(growth(spark, sf), config, [{"max_depth": 2, "n_estimators": 3}, {"max_depth": 3, "n_estimators": 3}], explain=explain)
 
 
 @query("m7_boosted_trees_backtest", _FORECAST)
 def boosted(spark, sf):
-    return _boosted(spark, sf, 0)[0]
+    return _boosted(spark, sf, False)[0]
 
 
 @query("x2_boosted_trees_explanations", "series_id, origin_date:t, forecast_date:t, feature, feature_value:6, shap_value:6, prediction:6, base_value:6")
 def boosted_explanations(spark, sf):
-    return _boosted(spark, sf, 1)[1]
+    return _boosted(spark, sf, True)[1]
 
 
 _STUDY_FRAME = f"""{P1}, gx AS (SELECT series_id, ts, ln(value) - lag(ln(value)) OVER (PARTITION BY series_id ORDER BY ts) AS value FROM ps),
@@ -236,7 +236,7 @@ def backtest_structure(spark, sf):
 @query("m7_x2_boosted_structure", _STRUCTURE, f"WITH {G1}, {_structure_sql(['lightgbm'], 64, 2)}")
 def boosted_structure(spark, sf):
     config = BacktestConfig(nlags=2, volatility=False, origins=Expanding(initial=64, interval=12), v=12)
-    forecasts, records, _ = run_boosted(growth(spark, sf), config, [{"max_depth": 2, "n_estimators": 2}], explain_pairs=1)
+    forecasts, records, _ = run_boosted(growth(spark, sf), config, [{"max_depth": 2, "n_estimators": 2}], explain=True)
     keys = ["series_id", "origin_date", "forecast_date"]
     values = records.groupBy(*keys, "base_value").agg(F.collect_list("shap_value").alias("shap_values"))
     return _structure(forecasts.join(values, keys))

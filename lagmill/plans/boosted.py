@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagmill.functions.columns import clip
-from lagmill.operators.explain import sampled_contributions
+from lagmill.operators.explain import ensemble_leaves, tree_contributions
 from lagmill.operators.features import assemble, lag_features
 from lagmill.operators.origins import BACKGROUND_ROWS, TAILS, hv_folds
 from lagmill.operators.panel import SERIES
@@ -68,8 +68,8 @@ def _stored(rows: DataFrame, path: str) -> DataFrame:
 
 
 def run_boosted(df: DataFrame, config: BacktestConfig, grid: list[dict] | None = None, trees: Trees = Trees(),
-                explain_pairs: int = 4, path: str | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """(forecasts, explanations, tuned); no explanations for ``explain_pairs=0``. The driver loops over tuning cycles, whose number follows the length of a
+                explain: bool = True, path: str | None = None) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(forecasts, explanations, tuned); explanations, exact ones, only with ``explain``. The driver loops over tuning cycles, whose number follows the length of a
     series, not the amount of data; each fit is distributed and covers the whole cycle's origins (no refit inside a
     cycle). Each cycle's results are written under ``path`` (by default in the shared folder), so plans do not grow from
     cycle to cycle and a lost executor costs at most the work of the running cycle."""
@@ -107,15 +107,12 @@ def run_boosted(df: DataFrame, config: BacktestConfig, grid: list[dict] | None =
         background = ready.where(F.col("_known") & (F.col("_row") >= F.col("_rows") - BACKGROUND_ROWS)).select(
             "series_id", F.col("scaled").alias("features"))
 
-        def score(mixed: DataFrame, model=model) -> DataFrame:
-            return model.transform(mixed.withColumn("vector", array_to_vector("features")))
-
         tuned.append((first, choice, int(grid[choice]["max_depth"]), int(grid[choice]["n_estimators"])))
-        if not explain_pairs:
+        if not explain:
             continue
         keys = [*SERIES, "origin_idx"]
-        values = sampled_contributions(out.select(*keys, F.col("scaled").alias("features")), background, score, keys,
-                                       SERIES, k, explain_pairs)
+        leaves = ensemble_leaves(model.toDebugString, k)
+        values = tree_contributions(out.select(*keys, F.col("scaled").alias("features")), background, leaves, keys, "series_id")
         values.join(out.drop("scaled"), keys).select(
             "series_id", "model_class", "origin_date", "forecast_date", F.get(names, F.col("feature_pos")).alias("feature"),
             F.get("clipped", F.col("feature_pos")).alias("feature_value"), "shap_value",
@@ -125,7 +122,7 @@ def run_boosted(df: DataFrame, config: BacktestConfig, grid: list[dict] | None =
         raise ValueError("no series is long enough for a first origin")
     choices = spark.createDataFrame(tuned, "origin_idx int, grid_pos int, max_depth int, n_estimators int")
     forecasts = spark.read.parquet(f"{path}/forecasts").drop("cycle")
-    explanations = spark.read.parquet(f"{path}/explanations").drop("cycle") if explain_pairs else None
+    explanations = spark.read.parquet(f"{path}/explanations").drop("cycle") if explain else None
     return forecasts, explanations, choices
 
 

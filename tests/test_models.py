@@ -191,7 +191,7 @@ def test_all_models_of_a_type(spark, tmp_path):
 
 def test_boosted_explanations_are_additive(spark):
     config = BacktestConfig(nlags=2, volatility=False, origins=Expanding(initial=60, interval=12), v=12)
-    forecasts, records, tuned = run_boosted(panel(spark, series()), config, [{"max_depth": 2, "n_estimators": 3}], explain_pairs=1)
+    forecasts, records, tuned = run_boosted(panel(spark, series()), config, [{"max_depth": 2, "n_estimators": 3}], explain=True)
     assert forecasts.count() == 10 and tuned.count() == 1
     sums = records.groupBy("origin_date", "prediction", "base_value").agg(F.sum("shap_value").alias("s"), F.count("*").alias("c")).toPandas()
     np.testing.assert_allclose(sums.base_value + sums.s, sums.prediction, atol=1e-10)
@@ -204,7 +204,49 @@ def test_boosted_trees_forecast_every_origin(spark):
     values[60] = None
     df = panel(spark, values)
     config = BacktestConfig(nlags=2, origins=Expanding(initial=50, interval=12), v=12)
-    forecasts, _, _ = run_boosted(df, config, [{"max_depth": 2, "n_estimators": 2}], explain_pairs=0)
+    forecasts, _, _ = run_boosted(df, config, [{"max_depth": 2, "n_estimators": 2}], explain=False)
     others = run_backtest(df, model_of("elasticnet").with_grid([{"alpha": 0.1, "l1_ratio": 0.5}]), config).forecasts()
     places = lambda rows: sorted((r.origin_idx, str(r.origin_date), str(r.forecast_date)) for r in rows.collect())
     assert places(forecasts) == places(others)
+
+
+def test_tree_values_equal_all_subsets():
+    """Against the definition: every subset of features, every background row."""
+    import itertools
+    from math import factorial
+
+    from lagmill.operators.explain import ensemble_leaves, exact_tree_values
+
+    text = """GBTRegressionModel: uid=x, numTrees=2, numFeatures=4
+  Tree 0 (weight 1.0):
+    If (feature 0 <= 0.1)
+     If (feature 2 <= -0.5)
+      Predict: 1.5
+     Else (feature 2 > -0.5)
+      If (feature 0 <= -1.0)
+       Predict: 4.0
+      Else (feature 0 > -1.0)
+       Predict: -2.0
+    Else (feature 0 > 0.1)
+     Predict: 0.25
+  Tree 1 (weight 0.1):
+    If (feature 1 <= 0.0)
+     Predict: -3.0
+    Else (feature 1 > 0.0)
+     If (feature 3 <= 1.0E-2)
+      Predict: 7.0
+     Else (feature 3 > 1.0E-2)
+      Predict: 1.0
+"""
+    leaves = ensemble_leaves(text, 4)
+    assert len(leaves.value) == 7
+    predict = lambda rows: ((rows[:, None] > leaves.low) & (rows[:, None] <= leaves.high)).all(axis=2) @ leaves.value
+    rng = np.random.default_rng(6)
+    back = rng.normal(size=(9, 4))
+    for x in rng.normal(size=(20, 4)):
+        worth = {s: predict(np.where(np.isin(np.arange(4), s), x, back)).mean() for n in range(5) for s in itertools.combinations(range(4), n)}
+        wanted = [sum(factorial(len(s)) * factorial(3 - len(s)) / 24 * (worth[tuple(sorted((*s, f)))] - worth[s])
+                      for s in worth if f not in s) for f in range(4)]
+        values, base = exact_tree_values(x, back, leaves)
+        np.testing.assert_allclose(values, wanted, atol=1e-12)
+        assert base == pytest.approx(worth[()]) and base + values.sum() == pytest.approx(predict(x[None])[0])
