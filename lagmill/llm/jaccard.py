@@ -112,17 +112,16 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest position that links reach, for each of n."""
-    label = np.arange(n)
-    while len(a):
-        before = label.copy()
-        np.minimum.at(label, a, label[b])
-        np.minimum.at(label, b, label[a])
-        label = label[label]
-        if (label == before).all():
-            break
-    return label
+def _linked(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The smallest position that links reach, for each position; ``label`` has what earlier links reach."""
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        label = label.copy()
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -170,7 +169,7 @@ def _in_blocks(rows: DataFrame, sizes: DataFrame, key: str, block: int) -> DataF
 
 
 def near_by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) between sets of a bucket whose sketches agree enough; of each chunk of pairs a spanning forest only."""
+    """Links (a, b) between sets of a bucket whose sketches agree enough; of the buckets at hand a spanning forest only."""
     least = int(math.ceil((MARGIN + (1 - MARGIN) / 256) * MINIMA))
     for table in _groups(batches, ["path", "p", "q"]):
         node = table.column("node").to_numpy()
@@ -180,6 +179,8 @@ def near_by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         end = np.repeat(bounds[1:], np.diff(bounds))
         after = end - np.arange(len(node)) - 1
         total = np.cumsum(after)
+        distinct, place = np.unique(node, return_inverse=True)
+        label = np.arange(len(distinct))
         at = 0
         while at < len(node):
             base = total[at - 1] if at else 0
@@ -190,12 +191,10 @@ def near_by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             a, b = a[across], b[across]
             close = (sketch[a] == sketch[b]).sum(axis=1) >= least
             a, b = a[close], b[close]
-            if len(a):
-                places, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-                label = _linked(inverse[:len(a)], inverse[len(a):], len(places))
-                moved = np.flatnonzero(label != np.arange(len(label)))
-                yield pa.RecordBatch.from_arrays([pa.array(node[places[moved]]), pa.array(node[places[label[moved]]])], ["a", "b"])
+            label = _linked(place[a], place[b], label)
             at = stop
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        yield pa.RecordBatch.from_arrays([pa.array(distinct[moved]), pa.array(distinct[label[moved]])], ["a", "b"])
 
 
 def near_by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +218,7 @@ def near_by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near &= own[:, None] != own[None]
             a, b = np.nonzero(near)
             if len(a):
-                label = _linked(a, b, len(node))
+                label = _linked(a, b, np.arange(len(node)))
                 out.append((node, near @ copies, node[label]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], ["node", "links", "peer"])
