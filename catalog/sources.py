@@ -9,7 +9,7 @@ from lagmill.operators.panel import melt
 from lagmill.plans.defaults import DATE_COLUMN
 from lagmill.session import shared_folder
 from lagmill.sources.results import (
-    display_name, is_forecast_file, model_class_of, model_type_of, output_prefix, read_results, write_results,
+    display_name, is_forecast_file, model_class_of, model_type_of, output_prefix, read_forecast_files, read_results, write_results,
 )
 from lagmill.sources.wide_csv import (
     load_multivariate, load_univariate, read_text_table, split_code_row, typed_table, write_csv, write_panel,
@@ -81,6 +81,24 @@ def results_of_one_type(spark, sf):
         F.count(F.lit(1)).alias("rows"), F.sum("forecast_logdiff").alias("total"))
 
 
+@query("io8_forecast_files_by_glob", "model_class, rows:i, origins:i, first:t, total:2, actuals:i", """
+ SELECT CASE o_custkey % 2 WHEN 0 THEN 'huber' ELSE 'mlp' END AS model_class, count(*) AS rows, sum(o_orderkey % 1000) AS origins,
+  CAST(min(o_orderdate) AS DATE) AS first, sum(o_totalprice) AS total, count(*) FILTER (o_orderkey % 3 <> 0) AS actuals
+ FROM orders WHERE o_custkey % 4 < 2 GROUP BY 1""")
+def forecast_files(spark, sf):
+    """Two classes of one type and one of another, written as CSV and read back by the name of the type."""
+    key, day = F.col("o_custkey") % 4, F.col("o_orderdate").cast("date")
+    rows = table(spark, sf, "orders").select(
+        key.alias("key"), (F.col("o_orderkey") % 1000).alias("origin_idx"), day.alias("origin_date"), day.alias("forecast_date"),
+        F.col("o_totalprice").alias("forecast_logdiff"), F.when(F.col("o_orderkey") % 3 != 0, 1.5).alias("actual_logdiff"))
+    path = _folder(spark, "forecasts")
+    for k, name in enumerate(("1_huber_univariate", "1_MLP_univariate", "1_sgd_multivariate")):
+        rows.where(F.col("key") == k).drop("key").write.option("header", True).csv(f"{path}/{name}_forecasts.csv")
+    return read_forecast_files(spark, path, "univariate").groupBy("model_class").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("origin_idx").alias("origins"), F.min("origin_date").alias("first"),
+        F.sum("forecast_logdiff").alias("total"), F.count("actual_logdiff").alias("actuals"))
+
+
 _FILE = """concat('1_', CASE o_orderkey % 6 WHEN 0 THEN 'elasticnet' WHEN 1 THEN 'huber' WHEN 2 THEN 'lightgbm' WHEN 3 THEN 'MLP'
  WHEN 4 THEN 'sgd' ELSE 'other' END, CASE o_custkey % 4 WHEN 0 THEN '_univariate' WHEN 1 THEN '_multivariate'
  WHEN 2 THEN '_multivariate_domain' ELSE '' END, CASE WHEN o_orderkey % 7 = 0 THEN '_shap_values.csv' ELSE '_forecasts.csv' END)"""

@@ -27,6 +27,9 @@ class Expanding:
     horizon: int = 1
     max_train_rows: int | None = None
     tasks_per_series: int = 32
+    #: Tasks of the fits of all series; by default as many as shuffles have, three per core at least. A run over very many
+    #: series should name its number, some (series, block) groups a task.
+    tasks: int | None = None
 
     def cycle_of(self, origin: Column) -> Column:
         return F.floor((origin - self.initial) / F.lit(self.interval)).cast("int")
@@ -139,14 +142,14 @@ def origin_blocks(features: DataFrame, plan: Expanding, grain: str) -> DataFrame
     # The actual of an origin is read from its newest row's target, so rows past the last origin are not needed.
     seen = features.where((total > 0) & (first <= last))
     copied = seen.withColumn("block", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
-    return spread_groups(copied, "series_id", "block")
+    return spread_groups(copied, plan.tasks, "series_id", "block")
 
 
-def spread_groups(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by the group keys into a fixed number of tasks. Groups of fits hold few bytes but much work, and
+def spread_groups(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """Hash-partition by the group keys into a given number of tasks. Groups of fits hold few bytes but much work, and
     adaptive execution, which sees bytes only, would merge them into a handful of tasks."""
     spark = df.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
     return df.repartition(tasks, *keys)
 
 

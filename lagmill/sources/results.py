@@ -47,13 +47,15 @@ def is_forecast_file(name: Column, model_type: str) -> Column:
     return name.endswith(f"_{model_type}{SUFFIXES['forecasts']}")
 
 
+FORECAST_SCHEMA = "origin_idx int, origin_date date, forecast_date date, forecast_logdiff double, actual_logdiff double"
+
+
 def read_forecast_files(spark: SparkSession, folder: str, model_type: str) -> DataFrame:
-    """All forecast CSV files of a type under a folder, with the model class from the file name."""
+    """All forecast CSV files (or folders of part files) of a type in a folder, with the model class from the name."""
     if model_type not in MODEL_TYPES:
         raise ValueError(f"model type must be one of {', '.join(MODEL_TYPES)}")
-    pattern = f"*_{model_type}{SUFFIXES['forecasts']}"
-    rows = spark.read.option("header", True).option("pathGlobFilter", pattern).csv(folder)
-    name = file_stem(F.col("_metadata.file_name"))
+    rows = spark.read.option("header", True).schema(FORECAST_SCHEMA).csv(f"{folder}/*_{model_type}{SUFFIXES['forecasts']}")
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)_forecasts\.csv", 1)
     return rows.select("*", F.lit(model_type).alias("model_type"), model_class_of(name).alias("model_class"))
 
 

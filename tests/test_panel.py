@@ -127,3 +127,19 @@ def test_histogram_of_constant_series(spark):
 def test_densify(spark):
     df = panel(spark, [1.0, 2.0, 3.0]).where("value <> 2")
     assert values(densify(df, "month")) == [1.0, None, 3.0]
+
+
+def test_building_a_query_starts_no_job(spark):
+    """Size-dependent choices are left to adaptive execution."""
+    from lagmill.operators.describe import describe, kernel_density
+    from lagmill.operators.views import dependence_curve
+
+    facts = spark.range(1000).selectExpr("concat('s', id % 3) AS series_id", "date '2000-01-01' + cast(id AS int) AS ts", "cast(id AS double) AS value")
+    records = facts.selectExpr("series_id", "'f_1' AS feature", "value AS feature_value", "value * 2 AS shap_value")
+    spark.sparkContext.setJobGroup("building", "plans only")
+    try:
+        built = [describe(facts), kernel_density(facts), exact_quantiles(facts, ["series_id"], "value", {"m": 0.5}), dependence_curve(records)]
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert all(df.count() for df in built)
