@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,18 @@ from lagmill.llm.arrays import ragged
 SEPARATOR = "<|endoftext|>"
 
 
+@lru_cache(2)
+def _tokenizer(path: str):
+    """One per Python worker; its own threads are off, as Spark's tasks fill the cores."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 class PieceEncoder:
     """Ids of pieces, exactly as the tokenizers library encodes each piece by itself.
 
@@ -19,50 +33,40 @@ class PieceEncoder:
     ``<|`` itself is encoded alone. At most ``entries`` pieces are remembered; then memory starts anew.
     """
 
-    def __init__(self, path: str, entries: int = 200_000, joined: int = 512):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+    def __init__(self, path: str, entries: int = 400_000, joined: int = 512):
+        self.tokenizer = _tokenizer(path)
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
         self.entries, self.joined = entries, joined
         self._forget()
 
     def _forget(self) -> None:
         self.places: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _alone(self, texts: list[str]) -> list[np.ndarray]:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [np.array(x.ids, np.uint32) for x in found]
 
-    def _encode(self, pieces: list[str]) -> list[np.ndarray]:
-        plain = [p for p in pieces if "<|" not in p]
-        groups = [plain[i:i + self.joined] for i in range(0, len(plain), self.joined)]
-        out: dict[str, np.ndarray] = {}
-        for group, ids in zip(groups, self._alone([SEPARATOR.join(g) for g in groups])):
-            parts = np.split(ids, np.flatnonzero(ids == self.separator))
-            for k, p in enumerate(group):
-                out[p] = parts[k][1:] if k else parts[k]
-        special = [p for p in pieces if "<|" in p]
-        out.update(zip(special, self._alone(special)))
-        return [out[p] for p in pieces]
-
     def _learn(self, pieces: list[str]) -> None:
-        for p, ids in zip(pieces, self._encode(pieces)):
-            at, n = len(self.places), len(ids)
-            while self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if at >= len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            self.flat[self.used:self.used + n] = ids
-            self.starts[at], self.lengths[at] = self.used, n
-            self.places[p] = at
-            self.used += n
+        special = [p for p in pieces if "<|" in p]
+        plain = [p for p in pieces if "<|" not in p] if special else pieces
+        flat, lengths = [], []
+        for at in range(0, len(plain), self.joined):
+            ids = self._ids([SEPARATOR.join(plain[at:at + self.joined])])[0]
+            parted = ids == self.separator
+            flat.append(ids[~parted])
+            lengths.append(np.diff(np.concatenate([[-1], np.flatnonzero(parted), [len(ids)]])) - 1)
+        for ids in self._ids(special):
+            flat.append(ids)
+            lengths.append(np.array([len(ids)]))
+        if not flat:
+            return
+        new, sizes = np.concatenate(flat), np.concatenate(lengths)
+        self.places.update(zip([*plain, *special], range(len(self.places), len(self.places) + len(pieces))))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.lengths = np.concatenate([self.lengths, sizes])
+        self.flat = np.concatenate([self.flat, new])
 
     def encode(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each piece, ids of all pieces one after another)."""
@@ -77,6 +81,7 @@ class PieceEncoder:
         return lengths, self.flat[ragged(self.starts[places], lengths)]
 
 
+@lru_cache(2)
 def byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes of all ids one after another, start and length of each id's) of a byte-level vocabulary.
 
