@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +26,13 @@ COST = 0.002
 UNDETERMINED = "und"
 
 
-def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: pa.Array, at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """(number of subwords of each word, their buckets word by word)."""
+    parts = [_subwords(words.slice(at, at_once)) for at in range(0, len(words), at_once)]
+    return (np.concatenate([c for c, _ in parts]), np.concatenate([b for _, b in parts])) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
+def _subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     left, right, empty = (pa.scalar(x, words.type) for x in ("<", ">", ""))
     marked = pc.binary_join_element_wise(left, words, right, empty)
     lengths = pc.binary_length(marked).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -51,7 +57,7 @@ def subwords(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     place, key = np.concatenate(places), np.concatenate(keys)
     word = np.searchsorted(ends, place, side="right")
     order = np.argsort(word, kind="stable")
-    bucket = (mixed(key[order]) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    bucket = (mixed(key[order]) & np.uint64(BUCKETS - 1)).astype(np.int32)
     return np.bincount(word, minlength=len(lengths)), bucket
 
 
@@ -137,18 +143,14 @@ def calibrate(model: Model, texts: list[str], target: np.ndarray) -> None:
     model.threshold = float(min(np.quantile(right, COST), 2 * floor)) if len(right) else floor
 
 
-def sample(docs: DataFrame, fold: Column | None, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """At most ``rows`` labelled rows, those with the smallest hashes; the bound holds whatever the size of the table."""
+def sample(docs: DataFrame, fold: Column | None, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most ``rows`` labelled rows (text, lang, h), those with the smallest hashes; the bound holds at any size."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
     if fold is not None:
         usable = usable.where(fold)
     keyed = usable.select("text", "lang", F.xxhash64("text", "lang").alias("h"))
     last = keyed.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    if last is None:
-        return [], []
-    found = keyed.where(F.col("h") <= last).dropDuplicates(["h"]).limit(rows).collect()
-    found.sort(key=lambda r: r["h"])
-    return [r["text"] for r in found], [r["lang"] for r in found]
+    return keyed.where(F.col("h") <= (F.lit(last) if last is not None else F.lit(None).cast("long"))).dropDuplicates(["h"]).limit(rows)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -181,6 +183,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def train(docs: DataFrame, fold: Column | None = None) -> Model:
-    """Model of the labelled rows that meet ``fold``. Without any, everything is undetermined."""
-    texts, labels = sample(docs, fold)
-    return fit(texts, labels) if labels else Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 0.0)
+    """Model of the labelled rows that meet ``fold``, fitted in one task on a sample of bounded size; the driver gets the
+    model only. Without any such row everything is undetermined."""
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["h"])
+        if rows:
+            model = fit([r["text"] for r in rows], [r["lang"] for r in rows])
+            parts = (model.languages, model.table, model.bias, model.temperature, model.threshold)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(parts)], pa.binary())], ["model"])
+
+    found = sample(docs, fold).repartition(1).mapInArrow(learn, "model binary").collect()
+    return Model(*pickle.loads(bytes(found[0][0]))) if found else Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 0.0)
