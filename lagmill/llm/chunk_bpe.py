@@ -18,7 +18,9 @@ from lagmill.llm.tokens import PieceEncoder, byte_table
 WINDOW, CUT_BITS = 32, 10
 #: Most chunks in the table of shared chunks. It bounds what is kept ready, not what is right: any other chunk is encoded
 #: where it stands.
-SHARED_CHUNKS = 8192
+SHARED_CHUNKS = 4096
+#: Longer chunks (one in three thousand) are not tabled, so that the table has at most 32 MB of text.
+LONGEST = 8192
 #: Bytes of chunks that a task remembers besides.
 MEMORY = 16 << 20
 
@@ -173,7 +175,7 @@ def shared_chunks(docs: DataFrame, path: str, most: int = SHARED_CHUNKS) -> dict
     """Chunks that save most when encoded once: the ``most`` with the largest (times found - 1) x bytes.
 
     All chunks of all texts are counted, by digest and within tasks first. Only chosen chunks are then carried as text,
-    encoded once each, and brought back; at most ``most`` chunks of at most 64 KB.
+    encoded once each, and brought back; at most ``most`` chunks of at most ``LONGEST`` bytes.
     """
     import xxhash
 
@@ -183,7 +185,7 @@ def shared_chunks(docs: DataFrame, path: str, most: int = SHARED_CHUNKS) -> dict
             for part in slices(batch):
                 layout = Layout(part.column("text"))
                 found.update((xxhash.xxh3_64_intdigest(layout.bytes(a, b)) >> 1, int(b - a))
-                             for a, b in zip(layout.cuts[:-1], layout.cuts[1:]) if b - a <= 1 << 16)
+                             for a, b in zip(layout.cuts[:-1], layout.cuts[1:]) if b - a <= LONGEST)
             keys = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in keys], pa.int64()), pa.array([n for _, n in keys], pa.int64()),
                                               pa.array(list(found.values()), pa.int64())], ["digest", "size", "n"])
@@ -203,7 +205,7 @@ def shared_chunks(docs: DataFrame, path: str, most: int = SHARED_CHUNKS) -> dict
             for part in slices(batch):
                 layout = Layout(part.column("text"))
                 for a, b in zip(layout.cuts[:-1], layout.cuts[1:]):
-                    if b - a <= 1 << 16:
+                    if b - a <= LONGEST:
                         chunk = layout.bytes(a, b)
                         digest = xxhash.xxh3_64_intdigest(chunk) >> 1
                         if digest in known.value and digest not in seen:
