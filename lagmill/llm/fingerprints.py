@@ -114,19 +114,21 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     Only ``doc_id`` and ``text`` are read. Texts are shuffled once by ``doc_id``, and of each next document only the part
     that is needed.
     """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # A join key without nulls: else one of the two uses of the shuffled texts would get a null filter of its own.
+    own = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     printed = own.withColumn("fingerprint", fingerprint(F.col("text")))
     lengths = own.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("longest"))
     links = next_documents(docs).withColumnRenamed("next_key", "next_id")
     needs = links.join(lengths, "doc_id").select(
-        F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), F.floor(F.col("longest") / 2).cast("int").alias("need"))
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) == 1
+        F.col("next_id").alias("key"), F.col("doc_id").alias("for_id"), F.floor(F.col("longest") / 2).cast("int").alias("need"))
+    # A running count, not row_number(): the optimizer would put a row limit below one of two equal shuffles of the texts.
+    first = F.count("*").over(Window.partitionBy("key").orderBy("text").rowsBetween(Window.unboundedPreceding, 0)) == 1
     prints = printed.withColumn("first", first)
-    heads = prints.where("first").join(needs, "doc_id").select(
-        F.col("for_id").alias("doc_id"), F.expr("left(text, need)").alias("head"), F.col("fingerprint").alias("next_fingerprint"))
+    heads = prints.where("first and doc_id is not null").join(needs, "key").select(
+        F.col("for_id").alias("key"), F.expr("left(text, need)").alias("head"), F.col("fingerprint").alias("next_fingerprint"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = (
-        prints.join(heads, "doc_id", "left").withColumn("n_chars", F.length("text").cast("bigint"))
+        printed.join(heads, "key", "left").withColumn("head", F.when(F.col("doc_id").isNotNull(), F.col("head"))).withColumn("n_chars", F.length("text").cast("bigint"))
         .withColumn("edited", F.concat(F.call_function("left", F.col("text"), (F.col("n_chars") - half).cast("int")),
                                        F.coalesce(F.call_function("left", F.col("head"), half), F.lit(""))))
         .withColumn("edited_fingerprint", fingerprint(F.col("edited")))
