@@ -15,8 +15,9 @@ from lagmill.llm.arrays import filled, slices, word_lists
 from lagmill.session import scratch_folder
 
 STATES = 8
-#: Words with an emission probability of their own, and classes that the other words share by hash.
-OWN_WORDS, SHARED_CLASSES = 4096, 1024
+#: Words of at least one in so many tokens (no more words than that can be) have a class of their own; the others share
+#: classes by hash.
+OWN_SHARE, SHARED_CLASSES = 1 << 15, 1024
 #: Rounds on the starting sample (at most so many documents and ids), then over all training documents.
 START_DOCUMENTS, START_IDS, START_ROUNDS, ROUNDS = 600, 300_000, 15, 3
 #: Characters of the documents that are encoded together with the counts of their words.
@@ -46,13 +47,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def with_classes(counts: DataFrame) -> DataFrame:
-    """(word, n, class): the most frequent words (smaller first, of equally frequent ones) get classes of their own."""
-    own = counts.orderBy(F.col("n").desc(), "word").limit(OWN_WORDS)
-    names = [r["word"] for r in own.select("word").collect()]  # at most OWN_WORDS
-    own = counts.sparkSession.createDataFrame([(w, k) for k, w in enumerate(names)], "word string, class int")
-    shared = OWN_WORDS + F.pmod(F.xxhash64("word"), F.lit(SHARED_CLASSES)).cast("int")
-    return counts.join(F.broadcast(own), "word", "left").select("word", "n", F.coalesce("class", shared).alias("class"))
+def _shared_class() -> Column:
+    return F.pmod(F.xxhash64("word"), F.lit(SHARED_CLASSES)).cast("int")
+
+
+def with_classes(counts: DataFrame, tokens: int) -> tuple[DataFrame, int]:
+    """((word, n, class), number of classes): frequent words follow the shared classes, in order."""
+    names = sorted(r["word"] for r in counts.where(F.col("n") * OWN_SHARE >= tokens).select("word").collect())  # OWN_SHARE at most
+    own = counts.sparkSession.createDataFrame([(w, SHARED_CLASSES + k) for k, w in enumerate(names)], "word string, class int")
+    joined = counts.join(F.broadcast(own), "word", "left")
+    return joined.select("word", "n", F.coalesce("class", _shared_class()).alias("class")), SHARED_CLASSES + len(names)
 
 
 @dataclass
@@ -140,11 +144,12 @@ def beginning(overall: np.ndarray, states: int = STATES, seed: int = 11) -> Mode
     return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
 
-def encoded_documents(docs: DataFrame, counts: DataFrame, tokens: int, kinds: int, classes: DataFrame, chars: int) -> DataFrame:
+def encoded_documents(docs: DataFrame, known: DataFrame, tokens: int, kinds: int, class_size: np.ndarray, chars: int) -> DataFrame:
     """Per document its class ids and what needs the counts of its words.
 
     Documents are dealt by hash into groups of about ``GROUP_CHARS`` characters. Each group asks for its distinct words; the
     join on words meets a frequent word once per group, and the answers go back to the group. No list of all words is held.
+    ``class_size`` is the sum of tokens and kinds of each class.
     """
     groups = max(1, -(-chars // GROUP_CHARS))
     grouped = docs.select("doc_id", "held_out", "learned", "text").withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
@@ -156,13 +161,8 @@ def encoded_documents(docs: DataFrame, counts: DataFrame, tokens: int, kinds: in
                 found.update(lower_words(part.column("text"))[1].unique().to_pylist())
         return pa.table({"g": pa.array([key[0].as_py()] * (len(found) + 1), pa.int32()), "word": pa.array([END, *found], pa.string())})
 
-    known = counts.join(classes, "class").select("word", "n", "class", "class_n", "class_v")
     asked = grouped.groupBy("g").applyInArrow(ask, "g int, word string")
-    spread = F.pmod(F.xxhash64("word"), F.lit(SHARED_CLASSES)).cast("int") + OWN_WORDS
-    answers = (
-        asked.join(known, "word", "left")
-        .select("g", "word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", spread).alias("class"), "class_n", "class_v")
-    )
+    answers = asked.join(known, "word", "left").select("g", "word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", _shared_class()).alias("class"))
     total = float(tokens + kinds + 1)
     log_total = np.log10(total)
 
@@ -170,10 +170,8 @@ def encoded_documents(docs: DataFrame, counts: DataFrame, tokens: int, kinds: in
         words = right.column("word").combine_chunks().cast(pa.large_string())
         n = right.column("n").to_numpy().astype(np.float64)
         code = right.column("class").to_numpy().astype(np.int64)
-        size = pc.fill_null(right.column("class_n"), 0).to_numpy().astype(np.float64)
-        sorts = pc.fill_null(right.column("class_v"), 0).to_numpy().astype(np.float64)
         base = np.log10(n + 1) - log_total
-        inner = np.where(code < OWN_WORDS, 0.0, np.log10(n + 1) - np.log10(size + sorts + 1))
+        inner = np.where(code >= SHARED_CLASSES, 0.0, np.log10(n + 1) - np.log10(class_size[code] + 1))
         end = words.index(pa.scalar(END, pa.large_string())).as_py() if left.num_rows else 0
         out = {k: [] for k in ("doc_id", "held_out", "learned", "n_tokens", "n_known", "base_score", "inner", "ids")}
         for batch in left.combine_chunks().to_batches():
@@ -256,17 +254,16 @@ def score_documents(docs: DataFrame, held_out: Column, learned: Column, rounds:
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
                       F.coalesce(learned, F.lit(False)).alias("learned"))
     counts_at, encoded_at = scratch_folder(spark, "counts"), scratch_folder(spark, "classes")
-    with_classes(word_counts(own.where("learned"))).write.parquet(counts_at)
+    word_counts(own.where("learned")).write.parquet(counts_at)
     counts = spark.read.parquet(counts_at)
-    classes = counts.groupBy("class").agg(F.sum("n").alias("class_n"), F.count("*").alias("class_v"))
-    # One row per class; 5,120 at most.
-    rows = classes.collect()
-    tokens, kinds = sum(r["class_n"] for r in rows), sum(r["class_v"] for r in rows)
-    overall = np.ones(OWN_WORDS + SHARED_CLASSES)
-    for r in rows:
-        overall[r["class"]] += r["class_n"]
+    tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    known, n_classes = with_classes(counts, tokens)
+    overall, class_size = np.ones(n_classes), np.zeros(n_classes)
+    for r in known.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # one row per class
+        overall[r["class"]] += r["n"]
+        class_size[r["class"]] = r["n"] + r["v"]
     chars = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    encoded_documents(own, counts, tokens, kinds, classes, chars).write.parquet(encoded_at)
+    encoded_documents(own, known, tokens, kinds, class_size, chars).write.parquet(encoded_at)
     encoded = spark.read.parquet(encoded_at)
     model = spark.sparkContext.broadcast(train(encoded.where("learned"), overall / overall.sum(), rounds))
 
