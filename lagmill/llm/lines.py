@@ -57,10 +57,12 @@ def _tokens(line: Column, ranks: Column) -> Column:
                                     + h.bitwiseAND(F.lit(low))))
 
 
-def _may_match(a: str, b: str) -> Column:
-    """Length filter, and positional filter: what follows the shared token must suffice for the overlap of 0.8."""
-    x, y, i, j = (F.col(c) for c in (f"{a}.size", f"{b}.size", f"{a}.pos", f"{b}.pos"))
-    return (5 * x >= 4 * y) & (5 * y >= 4 * x) & (9 * (F.least(x - i, y - j)) >= 4 * (x + y) - 9 * F.least(i, j))
+def _may_match() -> Column:
+    """Of lines x and y that share a token: whether it is the first that they share, and the length and positional filters
+    hold. What follows the first shared token must suffice for the overlap of 0.8; each pair is met at that token only."""
+    x, y, i, j = (F.col(c) for c in ("x.size", "y.size", "x.pos", "y.pos"))
+    enough = 9 * (F.least(x - i, y - j)) >= 4 * (x + y)
+    return (5 * x >= 4 * y) & (5 * y >= 4 * x) & enough & ~F.arrays_overlap("x.before", "y.before")
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -87,12 +89,10 @@ def _later(similar: DataFrame, firsts: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(first place of each distinct line, names of lines that are similar to a line with an earlier first place).
 
-    Tokens of one line only are dropped before any join. A line is first compared with two lines of each of its tokens, the
-    one that stands most often and an arbitrary one: that settles most of a large group without forming its pairs. Lines that
-    this does not remove are compared with all lines that share a prefix token and pass the filters.
+    Tokens of one line only are dropped before lines are joined on their prefix tokens.
     """
     spark = docs.sparkSession
-    at = {name: scratch_folder(spark, name) for name in ("firsts", "tokens", "near", "rest")}
+    at = {name: scratch_folder(spark, name) for name in ("firsts", "tokens", "pairs")}
     lines = _lines(docs)
     lines.groupBy("k").agg(F.min(F.struct("doc", "at")).alias("p"), F.count("*").alias("n")).select("k", "p.doc", "p.at", "n").write.parquet(at["firsts"])
     firsts = spark.read.parquet(at["firsts"])
@@ -106,26 +106,14 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # always hold.
     several = rows.groupBy("token").agg(F.count("*").alias("lines"), *[F.max(c).alias(f"max_{c}") for c in ("k", "size", "pos")])
     several = several.where("lines > 1 and max_k is not null and max_size > 0 and max_pos >= 0").select("token")
-    rows.join(several, "token").join(firsts.select("k", "n"), "k").write.parquet(at["tokens"])
-    rows = spark.read.parquet(at["tokens"])
-
-    pivot = lambda order: F.max_by(F.struct("k", "size", "pos"), order)
-    pivots = rows.groupBy("token").agg(F.array_distinct(F.array(pivot(F.struct("n", "k")), pivot(F.col("k")))).alias("pivots"))
-    pivots = pivots.select("token", F.inline("pivots"))
-    _found(rows, pivots, F.col("x.k") != F.col("y.k"), docs, firsts).write.parquet(at["near"])
-    near = spark.read.parquet(at["near"])
-    left = rows.join(near, "k", "left_anti").join(firsts.select("k", F.struct("doc", "at").alias("place")), "k")
-    placed = rows.join(firsts.select("k", F.struct("doc", "at").alias("place")), "k")
-    _found(left, placed, F.col("y.place") < F.col("x.place"), docs, firsts).write.parquet(at["rest"])
-    return firsts, near.unionByName(spark.read.parquet(at["rest"])).distinct()
-
-
-def _found(rows: DataFrame, others: DataFrame, wanted: Column, docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    met = rows.alias("x").join(others.alias("y"), F.col("x.token") == F.col("y.token")).where(wanted & _may_match("x", "y"))
-    pairs = met.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct()
-    path = scratch_folder(docs.sparkSession, "pairs")
-    pairs.write.parquet(path)
-    return _later(_similar(docs.sparkSession.read.parquet(path), docs, firsts), firsts)
+    rows.join(several, "token").write.parquet(at["tokens"])
+    # For each line and token the line's earlier tokens, of those that it may share.
+    shared = spark.read.parquet(at["tokens"]).groupBy("k").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
+    shared = shared.select("k", "size", F.transform("t", lambda e: e["token"]).alias("all"), F.posexplode("t").alias("n", "e"))
+    shared = shared.select("k", "size", "e.pos", "e.token", F.expr("slice(all, 1, n)").alias("before"))
+    met = shared.alias("x").join(shared.alias("y"), F.col("x.token") == F.col("y.token")).where((F.col("x.k") < F.col("y.k")) & _may_match())
+    met.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).write.parquet(at["pairs"])
+    return firsts, _later(_similar(spark.read.parquet(at["pairs"]), docs, firsts), firsts)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
