@@ -3,6 +3,9 @@
 Tokens of a line are its five-word shingles. They are put in one order for all lines, rare ones first, so that two lines of
 similarity 0.8 share a token within the first fifth of each (the prefix). The order comes from counts of all shingles of all
 lines in ``COUNTERS`` hashed counters: a list of bounded size in which frequent shingles stand out.
+
+A line of fewer than five words is one shingle of all its words: similar to a line with the same words, and to no other. Its
+words name it, so that such lines meet by name and never enter the join.
 """
 
 from __future__ import annotations
@@ -14,8 +17,6 @@ from lagmill.llm.columns import WHITE, let, window_hashes, words
 from lagmill.session import scratch_folder
 
 SHINGLE = 5
-#: Shorter lines are neither compared nor removed.
-LEAST_WORDS = 5
 COUNTERS = 1 << 18
 #: Bits of a token that are its hash; those above are its rank, 64 steps for each doubling of its counter.
 HASH_BITS = 51
@@ -27,14 +28,21 @@ def _key(c: str = "doc_id") -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, at, line) of all lines that are compared; ``k`` names the line without the white space around it."""
+    """(doc, at, line) of all lines that are not blank, without the white space around them; ``k`` names the line."""
     split = docs.select(_key().alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
-    return split.select("doc", "at", F.trim("line", F.lit(WHITE)).alias("line")).where(_long_enough(F.col("line"))).select(
-        "doc", "at", "line", F.xxhash64("line", F.length("line")).alias("k"))
+    return split.select("doc", "at", F.trim("line", F.lit(WHITE)).alias("line")).where("line <> ''").select(
+        "doc", "at", "line", _name(F.col("line")).alias("k"))
 
 
 def _long_enough(line: Column) -> Column:
-    return line.rlike(r"^[ \t-\r]*(?:[^ \t-\r]+[ \t-\r]+){%d}[^ \t-\r]" % (LEAST_WORDS - 1))
+    """Whether a line has a shingle of five words."""
+    return line.rlike(r"^[ \t-\r]*(?:[^ \t-\r]+[ \t-\r]+){%d}[^ \t-\r]" % (SHINGLE - 1))
+
+
+def _name(line: Column) -> Column:
+    """Name of a trimmed line; of fewer than five words those alone count, not the white space between them."""
+    plain = F.when(_long_enough(line), line).otherwise(F.regexp_replace(line, r"[ \t-\r]+", " "))
+    return let(plain, lambda t: F.xxhash64(t, F.length(t)))
 
 
 def _shingles(line: Column) -> Column:
@@ -96,7 +104,8 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = _lines(docs)
     lines.groupBy("k").agg(F.min(F.struct("doc", "at")).alias("p"), F.count("*").alias("n")).select("k", "p.doc", "p.at", "n").write.parquet(at["firsts"])
     firsts = spark.read.parquet(at["firsts"])
-    ranked = lines.withColumn("ranks", _counters(lines))
+    long = lines.where(_long_enough(F.col("line")))
+    ranked = long.withColumn("ranks", _counters(long))
     # Similar lines share one of the first size - ceil(0.8 size) + 1 tokens.
     prefixes = ranked.select("k", _tokens(F.col("line"), F.col("ranks")).alias("tokens")).select(
         "k", F.size("tokens").alias("size"), F.expr("slice(tokens, 1, cast(size(tokens) - floor((size(tokens) * 4 + 4) / 5) + 1 as int))").alias("prefix"))
@@ -121,8 +130,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Lines are ordered by (doc_id, number in the text), null ids first. A line goes if an equal one stands earlier, or if its
     five-word shingles have a Jaccard similarity of 0.8 or more to those of a line that first stands earlier (kept or not).
-    Lines of fewer than five words stay, blank ones too. Rows of one ``doc_id`` share their places: equal lines at one place
-    do not remove each other. Null texts stay null. Other columns pass through; those with names of results are replaced.
+    Fewer than five words are one shingle: such a line goes if a line of the same words stands earlier. Blank lines stay.
+    Rows of one ``doc_id`` share their places: equal lines at one place do not remove each other. Null texts stay null. Other
+    columns pass through; those with names of results are replaced.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     firsts, later = removed_lines(docs)
@@ -137,7 +147,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     joined = named.join(marks.withColumnRenamed("doc", "_doc"), "_doc", "left")
 
     def of(lines: Column) -> Column:
-        name = lambda line: let(F.trim(line, F.lit(WHITE)), lambda t: F.xxhash64(t, F.length(t)))
+        name = lambda line: let(F.trim(line, F.lit(WHITE)), _name)
         return F.filter(lines, lambda line, i: ~F.array_contains("_gone", F.struct(i.alias("at"), name(line).alias("k"))))
 
     split = F.split("text", "\n")
