@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagmill.llm.columns import WHITE
 from lagmill.llm.jaccard import keep_first
 from lagmill.llm.langid import identify, train
 from lagmill.llm.lines import dedup_lines
@@ -50,10 +51,21 @@ STAGES = [("language", language), ("lines", lines), ("near_documents", near_docu
 ORACLE_SQL = None
 
 
+def without_emptied(docs: DataFrame) -> DataFrame:
+    """Documents of which the line stage left more than white space.
+
+    Texts without letters go in the first stage, so a blank text had words, and each of its lines equals or is near to an
+    earlier one. The near-copy stage would keep it: a text without words is nobody's copy."""
+    return docs.where(F.col("text").isNull() | (F.trim("text", F.lit(WHITE)) != ""))
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in a row; documents that the line stage emptied go before near copies are looked for."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if name == "lines":
+            docs = without_emptied(docs)
     return docs

@@ -35,3 +35,12 @@ def test_stages(spark, tmp_path):
         else:
             assert out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
         docs = out
+
+
+def test_one_document_of_each_group_of_copies_stays(spark, tmp_path):
+    text = "\n".join(" ".join(f"w{k * 7 % 60} the of naïve w{k}" for k in range(at, at + 6)) for at in (0, 20, 40))
+    planted = [(1000 + k, text if k % 2 else text + "\n\n", "en", "s", 0, "x", k, "y", k) for k in range(8)]
+    spark.createDataFrame(ROWS + planted, brute.SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
+    assert {d for d in found if d is not None and d >= 1000} == {1000}
+    assert not found & {25, 28, 31}  # their one line first stands in a row without an id
