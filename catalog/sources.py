@@ -86,13 +86,13 @@ def results_of_one_type(spark, sf):
   CAST(min(o_orderdate) AS DATE) AS first, sum(o_totalprice) AS total, count(*) FILTER (o_orderkey % 3 <> 0) AS actuals
  FROM orders WHERE o_custkey % 4 < 2 GROUP BY 1""")
 def forecast_files(spark, sf):
-    """Two classes of one type and one of another, written as CSV and read back by the name of the type."""
+    """All rows as CSV files of two types, two classes each, read back by the name of one type."""
     key, day = F.col("o_custkey") % 4, F.col("o_orderdate").cast("date")
     rows = table(spark, sf, "orders").select(
         key.alias("key"), (F.col("o_orderkey") % 1000).alias("origin_idx"), day.alias("origin_date"), day.alias("forecast_date"),
         F.col("o_totalprice").alias("forecast_logdiff"), F.when(F.col("o_orderkey") % 3 != 0, 1.5).alias("actual_logdiff"))
     path = _folder(spark, "forecasts")
-    for k, name in enumerate(("1_huber_univariate", "1_MLP_univariate", "1_sgd_multivariate")):
+    for k, name in enumerate(("1_huber_univariate", "1_MLP_univariate", "1_sgd_multivariate", "1_huber_multivariate")):
         rows.where(F.col("key") == k).drop("key").write.option("header", True).csv(f"{path}/{name}_forecasts.csv")
     return read_forecast_files(spark, path, "univariate").groupBy("model_class").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("origin_idx").alias("origins"), F.min("origin_date").alias("first"),
