@@ -10,27 +10,28 @@ from pyspark.sql import functions as F
 
 ACCURACY = 10_000  # rank error of the approximation: one ten-thousandth of a group
 MARGIN = 2.0 / ACCURACY
-EVEN_CELLS = 64
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """One column per name in ``probs``, equal to sorting the group and interpolating linearly between two ranks.
 
     ``percentile`` would hold all distinct values of a group in one task. Here approximate quantiles just below and above
-    each wanted one cut a group into cells, counts tell which cells hold the wanted ranks, and only those cells, thin
-    slices of the group, are ranked. The approximation decides the cell sizes, never the result: a rank that fell
-    outside its slice is found in the cell that holds it. Only rows of wanted cells are shuffled, after counting equal
-    values.
+    each wanted one cut a group into cells, counts tell which cells hold the wanted ranks, and only those cells are ranked.
+    The approximation decides the cell sizes, never the result: a rank that fell outside its slice is found in the cell
+    that holds it. Only rows of wanted cells are shuffled, after counting equal values.
 
-    Even cuts besides keep every cell to a small part of its group. Cuts and wanted cells are joined without a hint:
-    adaptive execution broadcasts them if they turn out small, else splits a key with a large share of the rows."""
+    A cut is a cell of its own, apart from the values between two cuts: a wanted rank is then either one value, however
+    often it stands, or lies between its two cuts, which the rank error of the approximation holds to a thin slice.
+    Cuts and wanted cells are joined without a hint: adaptive execution broadcasts them if they turn out small, else splits
+    a key with a large share of the rows."""
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    edges = sorted({min(max(p + side * MARGIN, 0.0), 1.0) for p in probs.values() for side in (-1, 1)}
-                   | {i / EVEN_CELLS for i in range(1, EVEN_CELLS)})
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(ACCURACY)).alias("_cuts"))
-    above = [(F.col("_v") > F.get("_cuts", F.lit(i))).cast("int") for i in range(len(edges))]
-    placed = rows.join(cuts, keys).withColumn("_cell", sum(above[1:], above[0])).drop("_cuts")
+    edges = sorted({min(max(p + side * MARGIN, 0.0), 1.0) for p in probs.values() for side in (-1, 1)})
+    cut = [f"_cut{i}" for i in range(len(edges))]
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", F.array(*[F.lit(e) for e in edges]), F.lit(ACCURACY)).alias("_c"))
+    cuts = cuts.select(*keys, *[F.get("_c", F.lit(i)).alias(c) for i, c in enumerate(cut)])
+    reached = [(F.col("_v") > F.col(c)).cast("int") + (F.col("_v") >= F.col(c)).cast("int") for c in cut]
+    placed = rows.join(cuts, keys).select(*keys, "_v", sum(reached[1:], reached[0]).alias("_cell"))
     by_cell = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     ranks = F.array(*[
         F.struct(F.lit(name).alias("name"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("rank"))

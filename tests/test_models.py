@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import panel
+from helpers import panel
 from pyspark.sql import functions as F
 
 from lagmill.functions.fits import fit_elastic_net, fit_huber, fit_network, fit_sgd, permutation_shapley

@@ -2,7 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from conftest import panel
+from helpers import panel
 from pyspark.sql import functions as F
 
 from lagmill.operators.describe import histogram
