@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagmill.llm.alignment import align_documents
+from lagmill.llm.chat import conversation_digests, format_conversations
 from lagmill.llm.chunk_bpe import encode_documents
 from lagmill.llm.fingerprints import fingerprint_documents
 from lagmill.llm.hmm import score_documents
@@ -13,6 +15,7 @@ from lagmill.llm.jaccard import near_classes
 from lagmill.llm.langid import identify, train
 from lagmill.llm.lines import dedup_lines
 from lagmill.llm.packing import pack_documents
+from lagmill.llm.phrases import mine_phrases
 from lagmill.llm.quality import BASE, POLICIES, ledger, mask, passes
 from lagmill.llm.substrings import remove_repeats
 from lagmill.llm.urls import judge_urls
@@ -37,6 +40,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 @_query("op1_chunk_bpe")
@@ -163,3 +167,62 @@ SELECT doc_id, CAST(count(b) AS BIGINT) AS n_links FROM d LEFT JOIN l ON a = doc
 @_query("op8_near_documents")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(_documents(spark, sf_dir))
+
+
+OP11_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+     e AS (SELECT *, CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 16 WHEN 'assistant' THEN 10 END AS markers,
+                  length(regexp_replace(replace(text, '\', '\\'), '(<)(/?s>|</?(?:SYS|ROLE|TEXT)>>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g')) AS escaped,
+                  lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+                  last_value(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final
+           FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(markers + escaped) AS BIGINT) AS formatted_chars,
+       count(*) FILTER (NOT (role = 'system' AND before IS NULL OR role = 'user' AND coalesce(before, '') IN ('', 'system', 'assistant')
+                             OR role = 'assistant' AND coalesce(before, '') = 'user')) AS n_misplaced,
+       max(final) = 'assistant' AS complete
+FROM e GROUP BY conv_id"""
+
+
+@_query("op11_chat", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text"))
+        for k, role in enumerate(("user", "assistant"))])))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return conversation_digests(format_conversations(rows))
+
+
+@_query("op12_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(_documents(spark, sf_dir), BYTE_BPE, PIECE_BPE)
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT lang, doc, k, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w
+           FROM (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+                        regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[.,;:!?\x0A-\x0D]') AS pieces FROM documents) AS d, unnest(pieces) WITH ORDINALITY AS u(piece, k)),
+     g AS MATERIALIZED (SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, count(*) AS f
+           FROM p, range(1, 5) AS s(m), unnest(generate_series(1, len(w) - m + 1)) AS t(i) GROUP BY ALL),
+     n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE m = 1 GROUP BY lang),
+     c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE m > 1 AND f >= 30),
+     k AS MATERIALIZED (SELECT lang, phrase, f AS a, k, array_to_string(w[1:k], ' ') AS p, array_to_string(w[k + 1:], ' ') AS q
+                        FROM c, range(1, 4) AS t(k) WHERE k < m),
+     s AS (SELECT k.*, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f + y.f) AS BIGINT) AS score
+           FROM k JOIN g AS x ON x.lang = k.lang AND x.phrase = p JOIN g AS y ON y.lang = k.lang AND y.phrase = q),
+     b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+     i AS MATERIALIZED (SELECT lang, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase, f AS longer
+                        FROM c, range(2, 4) AS q(size), unnest(generate_series(1, m - size + 1)) AS t(i) WHERE size < m),
+     o AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN i USING (lang, phrase) WHERE 100 * longer >= 80 * f)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b JOIN n USING (lang) ANTI JOIN o USING (lang, phrase) QUALIFY rank <= 2000"""
+
+
+@_query("op13_phrases", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_documents(spark, sf_dir))
