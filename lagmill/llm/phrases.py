@@ -90,7 +90,7 @@ def distinct_edges(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     grams = [ids]
     for k in range(1, LONGEST):
         later = np.zeros(n, np.int64)
-        later[:n - k] = ids[k:]
+        later[:max(n - k, 0)] = ids[k:]
         grams.append(np.where(grams[-1] == 0, 0, later))
     grams = [g[ids > 0] for g in grams]
     own, codes = np.unique(np.concatenate(grams), return_inverse=True)
