@@ -27,7 +27,7 @@ from lagmill.session import scratch_folder
 
 LONGEST = 4
 LEAST = 30
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: One node in so many ends a path, and so many rounds double what a path pointer spans: paths stay short, cycles are cut.
 CUT_NODES, ROUNDS = 8, 5
 #: Parts in which the best of a language are found before they meet.
@@ -83,33 +83,31 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number += 1
 
 
-def distinct_edges(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first two words, last two words, times) of the distinct edges of a sequence in which zero parts pieces. Each word
-    begins one edge; what reaches past its piece is zero."""
-    n = len(ids)
-    grams = [ids]
-    for k in range(1, LONGEST):
-        later = np.zeros(n, np.int64)
-        later[:max(n - k, 0)] = ids[k:]
-        grams.append(np.where(grams[-1] == 0, 0, later))
-    grams = [g[ids > 0] for g in grams]
-    own, codes = np.unique(np.concatenate(grams), return_inverse=True)
-    a, b, c, d = np.split(codes.astype(np.uint64), LONGEST)
-    base = np.uint64(max(len(own), 1))
-    high, low = a * base + b, c * base + d
-    if len(own) >= 1 << 16:  # two words fit into half a key only by a list of their own
-        (high_own, high), (low_own, low) = np.unique(high, return_inverse=True), np.unique(low, return_inverse=True)
-        high, low, span = high.astype(np.uint64), low.astype(np.uint64), np.uint64(max(len(low_own), 1))
-    else:
-        high_own = low_own = None
-        span = base * base
-    if int(base) ** 4 >= 1 << 64 and high_own is None:
-        raise AssertionError("edge keys pass 64 bits")
-    key, times = np.unique(high * span + low, return_counts=True)
-    high, low = key // span, key % span
-    if high_own is not None:
-        high, low = high_own[high.astype(np.int64)], low_own[low.astype(np.int64)]
-    word = lambda x: own[x.astype(np.int64)]
+def distinct_edges(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first two words, last two words, times) of the distinct edges of a sequence of places in ``ids``, a rising list that
+    begins with zero; zero parts pieces. Each word begins one edge; what reaches past its piece is zero."""
+    n = len(codes)
+    begins = codes > 0
+    base = np.uint64(len(ids))
+    grams, last = [], codes
+    for k in range(LONGEST):
+        if k:
+            later = np.zeros(n, codes.dtype)
+            later[:max(n - k, 0)] = codes[k:]
+            later[last == 0] = 0
+            last = later
+        grams.append(last[begins].astype(np.uint64))
+    high, low = grams[0] * base + grams[1], grams[2] * base + grams[3]
+    del grams, last
+    narrow = len(ids) <= 1 << 16
+    if not narrow:  # two words fit into half a key only by a list of their own
+        (highs, high), (lows, low) = np.unique(high, return_inverse=True), np.unique(low, return_inverse=True)
+    span = base * base if narrow else np.uint64(max(len(lows), 1))
+    key, times = np.unique(high.astype(np.uint64) * span + low.astype(np.uint64), return_counts=True)
+    high, low = np.divmod(key, span) if len(key) else (key, key)
+    if not narrow:
+        high, low = highs[high.astype(np.int64)], lows[low.astype(np.int64)]
+    word = lambda x: ids[x.astype(np.int64)]
     return (word(high // base) << 32) | word(high % base), (word(low // base) << 32) | word(low % base), times
 
 
@@ -118,9 +116,11 @@ def _edges(left: pa.Table, right: pa.Table) -> pa.Table:
     out = []
     for raw, size in zip(left.column("codes").to_pylist(), left.column("size").to_pylist()):
         codes = np.frombuffer(raw, np.uint16 if size < 1 << 16 else np.uint32)
-        number = np.zeros(size + 1, np.int64)
-        number[right.column("at").to_numpy().astype(np.int64) + 1] = right.column("id").to_numpy()
-        out.append(distinct_edges(number[codes]))
+        ids = right.column("id").to_numpy()
+        order = np.argsort(ids)
+        place = np.zeros(size + 1, np.uint32)
+        place[right.column("at").to_numpy().astype(np.int64)[order] + 1] = np.arange(1, len(ids) + 1)
+        out.append(distinct_edges(place[codes], np.concatenate([[0], ids[order]])))
     high, low, times = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), (), ())))
     return pa.table({"hi": pa.array(high.astype(np.int64)), "lo": pa.array(low.astype(np.int64)), "n": pa.array(times.astype(np.int64))})
 
@@ -161,11 +161,15 @@ def word_numbers(blocks: DataFrame, path: str, least: int = LEAST) -> DataFrame:
 
 
 def gram_counts(edges: DataFrame, least: int = LEAST) -> DataFrame:
-    """(len, hi, lo, n) of grams of two to four words that occur ``least`` times or more, from all edges."""
+    """(len, hi, lo, n) of grams of two to four words that occur ``least`` times or more, from all edges.
+
+    All three read one shuffle of the edges. A condition on words alone would go below the sum and make three of it; hence
+    conditions on counts of grams without an end."""
     whole = edges.groupBy("hi", "lo").agg(F.sum("n").alias("n"))
-    four = whole.where((F.col("n") >= least) & (_second("lo") != 0)).select(F.lit(4).alias("len"), "hi", "lo", "n")
-    three = whole.groupBy("hi", _first("lo").alias("z")).agg(F.sum("n").alias("n")).where((F.col("n") >= least) & (F.col("z") != 0))
-    two = whole.groupBy("hi").agg(F.sum("n").alias("n")).where((F.col("n") >= least) & (_second("hi") != 0))
+    often = lambda last: F.when(last != 0, F.col("n")) >= least
+    four = whole.where(often(_second("lo"))).select(F.lit(4).alias("len"), "hi", "lo", "n")
+    three = whole.groupBy("hi", _first("lo").alias("z")).agg(F.sum("n").alias("n")).where(often(F.col("z")))
+    two = whole.groupBy("hi").agg(F.sum("n").alias("n")).where(often(_second("hi")))
     return four.unionByName(three.select(F.lit(3).alias("len"), "hi", F.shiftleft("z", 32).alias("lo"), "n")).unionByName(
         two.select(F.lit(2).alias("len"), "hi", F.lit(0).cast("long").alias("lo"), "n"))
 

@@ -121,8 +121,9 @@ def test_phrases_by_definition(spark, monkeypatch):
 
 
 def test_edges_of_wide_vocabularies():
-    ids = np.random.default_rng(2).integers(0, 90_000, 300_000) * 3
-    high, low, times = phrases.distinct_edges(ids)
+    codes = np.random.default_rng(2).integers(0, 90_000, 300_000)
+    ids = codes * 3
+    high, low, times = phrases.distinct_edges(codes, np.arange(90_000) * 3)
     assert times.sum() == (ids > 0).sum()
     padded = np.append(ids, [0] * 3)
     want = Counter()
