@@ -27,7 +27,7 @@ from lagmill.session import scratch_folder
 
 LONGEST = 4
 LEAST = 30
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: One node in so many ends a path, and so many rounds double what a path pointer spans: paths stay short, cycles are cut.
 CUT_NODES, ROUNDS = 8, 5
 #: Parts in which the best of a language are found before they meet.
