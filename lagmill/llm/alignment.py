@@ -27,9 +27,11 @@ from lagmill.llm.tokens import PieceEncoder, byte_table
 from lagmill.session import scratch_folder
 
 #: Bytes of text per block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Distinct pieces a task remembers.
-PIECES = 300_000
+PIECES = 200_000
+#: Pieces that are learned at once.
+LEARNED = 20_000
 #: White space besides ASCII; where a text has any, only spaces after visible ASCII characters part pieces.
 _WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -126,7 +128,7 @@ class Aligner:
     """Alignments of pieces, each distinct one worked out once. ``path_a`` is byte-level, ``path_b`` a sentence-piece model."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.encoder, self.plain = PieceEncoder(path_a), _plain_tokenizer(path_a)
+        self.encoder, self.plain = PieceEncoder(path_a, entries=1), _plain_tokenizer(path_a)
         self.processor = _processor(path_b)
         self.bytes_a, self.bytes_b = byte_table(path_a), piece_table(path_b)
         self.space = self.processor.piece_to_id("▁")
@@ -206,7 +208,10 @@ class Aligner:
         distinct = coded.dictionary.to_pylist()
         if len(self.places) + len(distinct) > PIECES:
             self.forget()
-        self.learn([p for p in distinct if p not in self.places])
+        new = [p for p in distinct if p not in self.places]
+        for k in range(0, len(new), LEARNED):
+            self.learn(new[k:k + LEARNED])
+        del new
         place = np.fromiter((self.places[p] for p in distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         n = len(texts)
         text = np.repeat(np.arange(n), np.diff(bounds))

@@ -6,7 +6,7 @@ a shorter gram is the flow out of its node: the weights of all edges that begin
 
 1. A block of documents gives its words, coded by its own dictionary; words are counted over the corpus per language.
 2. A rare word is in no candidate: it parts a piece as a mark does. Blocks get numbers for their other words, and give their
-   distinct edges; edges are summed over the corpus, and shorter counts from them.
+   distinct edges. Edges meet once, in order: runs of equal first words are the flows out of nodes.
 3. Edges between nodes that have no other edge are joined to paths. A path tells at once what its inner grams lie in.
 """
 
@@ -30,6 +30,8 @@ LEAST = 30
 BLOCK_BYTES = 4 << 20
 #: One node in so many ends a path, and so many rounds double what a path pointer spans: paths stay short, cycles are cut.
 CUT_NODES, ROUNDS = 8, 5
+#: A word that makes one of so many words is hot: edges that begin with two of them are dealt out by their third word too.
+HOT_SHARE = 10_000
 #: Parts in which the best of a language are found before they meet.
 PARTS = 64
 UNKNOWN = "und"
@@ -120,9 +122,63 @@ def _edges(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(ids)
         place = np.zeros(size + 1, np.uint32)
         place[right.column("at").to_numpy().astype(np.int64)[order] + 1] = np.arange(1, len(ids) + 1)
-        out.append(distinct_edges(place[codes], np.concatenate([[0], ids[order]])))
-    high, low, times = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), (), ())))
-    return pa.table({"hi": pa.array(high.astype(np.int64)), "lo": pa.array(low.astype(np.int64)), "n": pa.array(times.astype(np.int64))})
+        own = np.concatenate([[0], ids[order]])
+        high, low, times = distinct_edges(place[codes], own)
+        hot = np.sort(ids[right.column("hot").to_numpy(zero_copy_only=False)])
+        out.append((high, np.where(np.isin(high >> 32, hot) & np.isin(high & _LOW, hot), low >> 32, 0), low, times))
+    columns = (np.concatenate(x).astype(np.int64) for x in zip(*out)) if out else [np.zeros(0, np.int64)] * 4
+    return pa.table(dict(zip(("hi", "salt", "lo", "n"), map(pa.array, columns))))
+
+
+class _Runs:
+    """Sums of runs of equal keys over consecutive batches; the last run stays open for the next batch."""
+
+    def __init__(self):
+        self.key, self.total, self.partial = None, 0, False
+
+    def add(self, key: tuple[np.ndarray, ...], n: np.ndarray, partial: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        heads = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in key])]))
+        keys, sums = [k[heads] for k in key], np.add.reduceat(n, heads)
+        open_ = partial[heads] if partial is not None else np.zeros(len(heads), bool)
+        if self.key is not None:
+            if all(k[0] == own for k, own in zip(keys, self.key)):
+                sums[0] += self.total
+            else:
+                keys = [np.concatenate([[own], k]) for k, own in zip(keys, self.key)]
+                sums, open_ = np.concatenate([[self.total], sums]), np.concatenate([[self.partial], open_])
+        self.key, self.total, self.partial = [k[-1] for k in keys], sums[-1], open_[-1]
+        return *(k[:-1] for k in keys), sums[:-1], open_[:-1]
+
+    def rest(self) -> tuple[np.ndarray, ...]:
+        return *(np.array([k]) for k in self.key or ()), np.array([self.total]), np.array([self.partial])
+
+
+_LOW = (1 << 32) - 1
+
+
+def _flows(least: int):
+    """Counts of grams from edges in order of their words. Sums of salted nodes are parts and all told."""
+    def told(size: int, hi, lo, n, partial) -> pa.RecordBatch:
+        real = ((n >= least) | partial) & ((hi & _LOW if size == 2 else lo >> 32 if size == 3 else lo & _LOW) != 0)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(real.sum(), size, np.int32)), *(pa.array(x[real].astype(np.int64)) for x in (hi, lo, n))], names=["len", "hi", "lo", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        four, three, two = _Runs(), _Runs(), _Runs()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hi, salt, lo, n = (batch.column(c).to_numpy() for c in ("hi", "salt", "lo", "n"))
+            yield told(4, *four.add((hi, lo), n))
+            yield told(3, *three.add((hi, lo & ~_LOW), n))
+            high, sums, partial = two.add((hi,), n, salt != 0)
+            yield told(2, high, np.zeros_like(high), sums, partial)
+        if four.key is not None:
+            yield told(4, *four.rest())
+            yield told(3, *three.rest())
+            high, sums, partial = two.rest()
+            yield told(2, high, np.zeros_like(high), sums, partial)
+
+    return run
 
 
 def _first(c: str) -> Column:
@@ -161,17 +217,12 @@ def word_numbers(blocks: DataFrame, path: str, least: int = LEAST) -> DataFrame:
 
 
 def gram_counts(edges: DataFrame, least: int = LEAST) -> DataFrame:
-    """(len, hi, lo, n) of grams of two to four words that occur ``least`` times or more, from all edges.
+    """(len, hi, lo, n) of grams of two to four words that occur ``least`` times or more, from all edges (hi, salt, lo, n).
 
-    All three read one shuffle of the edges. A condition on words alone would go below the sum and make three of it; hence
-    conditions on counts of grams without an end."""
-    whole = edges.groupBy("hi", "lo").agg(F.sum("n").alias("n"))
-    often = lambda last: F.when(last != 0, F.col("n")) >= least
-    four = whole.where(often(_second("lo"))).select(F.lit(4).alias("len"), "hi", "lo", "n")
-    three = whole.groupBy("hi", _first("lo").alias("z")).agg(F.sum("n").alias("n")).where(often(F.col("z")))
-    two = whole.groupBy("hi").agg(F.sum("n").alias("n")).where(often(_second("hi")))
-    return four.unionByName(three.select(F.lit(3).alias("len"), "hi", F.shiftleft("z", 32).alias("lo"), "n")).unionByName(
-        two.select(F.lit(2).alias("len"), "hi", F.lit(0).cast("long").alias("lo"), "n"))
+    One shuffle: edges of a node come together in order, except that those of hot word pairs are dealt out by their third
+    word; the parts of such a pair's count are summed afterwards."""
+    met = edges.repartition("hi", "salt").sortWithinPartitions("hi", "lo")
+    return met.mapInArrow(_flows(least), "len int, hi long, lo long, n long").groupBy("len", "hi", "lo").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def unary_paths(edges: DataFrame, at) -> DataFrame:
@@ -264,9 +315,11 @@ def mine_phrases(docs: DataFrame, best: int = 2000, least: int = LEAST) -> DataF
     blocks = spark.read.parquet(at("blocks"))
     numbers = word_numbers(blocks, at("words"), least)
     own = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words")).alias("at", "w")).select("block", "at", F.col("w.langs").alias("lang"), F.col("w.words").alias("word"))
-    answers = own.join(numbers.select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("asker"), "at", "id")
+    share = numbers.sparkSession.read.parquet(at("words")).agg(F.sum("n").alias("all")).scalar()
+    named = numbers.select("lang", "word", "id", (F.col("n") * HOT_SHARE >= share).alias("hot"))
+    answers = own.join(named, ["lang", "word"]).select(F.col("block").alias("asker"), "at", "id", "hot")
     coded = blocks.select("block", "codes", F.size("words").alias("size"))
-    edges = coded.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(_edges, "hi long, lo long, n long")
+    edges = coded.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(_edges, "hi long, salt long, lo long, n long")
     gram_counts(edges, least).write.parquet(at("grams"))
     counts = spark.read.parquet(at("grams"))
     paths = unary_paths(counts.where("len = 4"), at)

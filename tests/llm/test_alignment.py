@@ -116,6 +116,7 @@ def test_phrases_by_definition(spark, monkeypatch):
     docs = spark.createDataFrame([(t, lang, "p", 1) for t, lang in rows], "text string, lang string, phrase string, n int").repartition(5)
     for least, best, size in ((2, 2000, 3000), (5, 20, 1 << 20)):
         monkeypatch.setattr(phrases, "BLOCK_BYTES", size)
+        monkeypatch.setattr(phrases, "HOT_SHARE", 40 if least == 2 else 10_000)
         assert Counter(map(tuple, phrases.mine_phrases(docs, best, least).collect())) == mined(rows, least, best)
     assert phrases.mine_phrases(docs.limit(0)).count() == 0
 
