@@ -2,8 +2,9 @@
 
 Token ends that both sides share cut a text into groups. They are found by divide and conquer: an interval is cut at a common
 end near its middle, which a bisection of the other side's ends confirms, and both halves are cut again; an interval without
-one is a group. A space after a character that is no white space starts a token in both vocabularies (checked when the files
-are read), so what stands between two of them, a piece, is divided once per distinct piece and task and then looked up.
+one is a group. A space or line feed after a character that is no white space starts a token in both vocabularies (checked
+when the files are read), so what stands between two of them, a piece, is divided once per distinct piece and task and then
+looked up.
 
 Counts of linked ids are corpus-wide: a block of documents asks once for each of its id pairs, and the answers meet the
 block's documents again as short lists of numbers; texts never move.
@@ -29,7 +30,7 @@ from lagmill.session import scratch_folder
 #: Bytes of text per block.
 BLOCK_BYTES = 4 << 20
 #: Distinct pieces a task remembers.
-PIECES = 200_000
+PIECES = 250_000
 #: Pieces that are learned at once.
 LEARNED = 20_000
 #: White space besides ASCII; where a text has any, only spaces after visible ASCII characters part pieces.
@@ -103,21 +104,21 @@ def piece_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes of all ids one after another, start and length of each id's) of a sentence-piece vocabulary."""
     p = _processor(path)
     parts = [bytes([int(p.id_to_piece(i)[3:5], 16)]) if p.is_byte(i) else p.id_to_piece(i).replace("▁", " ").encode() for i in range(p.get_piece_size())]
-    if any("▁" in p.id_to_piece(i).lstrip("▁") for i in range(p.get_piece_size())):
-        raise ValueError("a piece of this vocabulary reaches across a space")
+    if any(c in p.id_to_piece(i).lstrip("▁") for i in range(p.get_piece_size()) for c in "▁\n"):
+        raise ValueError("a piece of this vocabulary reaches across a space or a line feed")
     lengths = np.array([len(x) for x in parts], np.int64)
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
 def cut_pieces(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """(row bounds, pieces) of texts that each start with a space: parted before spaces that follow no white space."""
+    """(row bounds, pieces) of texts that each start with a space: parted before spaces and line feeds that follow no white space."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[:offsets[-1]]
     cut = np.zeros(len(data) + 1, bool)
     visible = data[:-1] > 0x20
     if _WIDE.search(texts.buffers()[2].to_pybytes()[:offsets[-1]].decode()):
         visible &= data[:-1] < 0x7F
-    cut[1:-1] = (data[1:] == 0x20) & visible
+    cut[1:-1] = ((data[1:] == 0x20) | (data[1:] == 0x0A)) & visible
     cut[offsets] = True
     places = np.flatnonzero(cut)
     pieces = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data))
@@ -147,8 +148,9 @@ class Aligner:
         self.starts = np.zeros(0, np.int64)
 
     def _ids_b(self, pieces: list[str]) -> list[list[int]]:
-        """The model puts a space before a text itself, but not before an empty one."""
-        return [x or [self.space] for x in self.processor.encode([p[1:] for p in pieces], out_type=int, num_threads=1)]
+        """The model puts a space before a text itself, but not before an empty one; before a line feed it stays alone."""
+        found = self.processor.encode([p[p[0] == " ":] for p in pieces], out_type=int, num_threads=1)
+        return [(x or [self.space]) if p[0] == " " else x[1:] for p, x in zip(pieces, found)]
 
     def learn(self, pieces: list[str]) -> None:
         """Adds new pieces. Those with the start of a special string are encoded by themselves."""
