@@ -2,7 +2,8 @@
 
 An edge is a gram of ``LONGEST`` words from its first three to its last three, its weight the number of its occurrences. The
 last words of a piece of text are edges into an end symbol, one for each word that has too few words after it, so the count of
-a shorter gram is the flow out of its node: the weights of all edges that begin with it, ends included.
+a shorter gram is the flow out of its node: the weights of all edges that begin with it, ends included. Single words are
+counted before.
 
 1. A block of documents gives its words, coded by its own dictionary; words are counted over the corpus per language.
 2. A rare word is in no candidate: it parts a piece as a mark does. Blocks get numbers for their other words, and give their
@@ -124,10 +125,10 @@ def _edges(left: pa.Table, right: pa.Table) -> pa.Table:
         place[right.column("at").to_numpy().astype(np.int64)[order] + 1] = np.arange(1, len(ids) + 1)
         own = np.concatenate([[0], ids[order]])
         high, low, times = distinct_edges(place[codes], own)
-        hot = np.sort(ids[right.column("hot").to_numpy(zero_copy_only=False)])
-        out.append((high, np.where(np.isin(high >> 32, hot) & np.isin(high & _LOW, hot), low >> 32, 0), low, times))
-    columns = (np.concatenate(x).astype(np.int64) for x in zip(*out)) if out else [np.zeros(0, np.int64)] * 4
-    return pa.table(dict(zip(("hi", "salt", "lo", "n"), map(pa.array, columns))))
+        two = (high & _LOW) != 0  # of single words all is known
+        out.append((high[two], low[two], times[two]))
+    columns = (np.concatenate(x).astype(np.int64) for x in zip(*out)) if out else [np.zeros(0, np.int64)] * 3
+    return pa.table(dict(zip(("hi", "lo", "n"), map(pa.array, columns))))
 
 
 class _Runs:
@@ -167,10 +168,10 @@ def _flows(least: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            hi, salt, lo, n = (batch.column(c).to_numpy() for c in ("hi", "salt", "lo", "n"))
+            hi, lo, n = (batch.column(c).to_numpy() for c in ("hi", "lo", "n"))
             yield told(4, *four.add((hi, lo), n))
             yield told(3, *three.add((hi, lo & ~_LOW), n))
-            high, sums, partial = two.add((hi,), n, salt != 0)
+            high, sums, partial = two.add((hi,), n, (hi & hi >> 32 & 1) == 1)
             yield told(2, high, np.zeros_like(high), sums, partial)
         if four.key is not None:
             yield told(4, *four.rest())
@@ -204,7 +205,8 @@ def _gram(words: list[Column]) -> tuple[Column, Column]:
 
 
 def word_numbers(blocks: DataFrame, path: str, least: int = LEAST) -> DataFrame:
-    """(lang, word, n, id) of words that occur ``least`` times or more in their language; ids are small and distinct.
+    """(lang, word, n, id) of words that occur ``least`` times or more in their language; ids are small, distinct and positive,
+    and those of hot words odd.
 
     Ids are ranks within hashed buckets, so no task orders all words."""
     counted = blocks.select(F.inline(F.arrays_zip("langs", "words", "times"))).groupBy(F.col("langs").alias("lang"), F.col("words").alias("word")).agg(F.sum("times").alias("n"))
@@ -213,15 +215,18 @@ def word_numbers(blocks: DataFrame, path: str, least: int = LEAST) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("bucket").orderBy("lang", "word"))
     frequent = counted.where(F.col("n") >= least).withColumn("bucket", bucket)
     frequent.select("lang", "word", "n", (rank.cast("long") * buckets + F.col("bucket") - buckets + 1).alias("id")).write.parquet(path)
-    return blocks.sparkSession.read.parquet(path)
+    written = blocks.sparkSession.read.parquet(path)
+    hot = F.col("n") * HOT_SHARE >= written.agg(F.sum("n").alias("all")).scalar()
+    return written.select("lang", "word", "n", (F.col("id") * 2 + hot.cast("long")).alias("id"))
 
 
 def gram_counts(edges: DataFrame, least: int = LEAST) -> DataFrame:
-    """(len, hi, lo, n) of grams of two to four words that occur ``least`` times or more, from all edges (hi, salt, lo, n).
+    """(len, hi, lo, n) of grams of two to four words that occur ``least`` times or more, from all edges (hi, lo, n).
 
     One shuffle: edges of a node come together in order, except that those of hot word pairs are dealt out by their third
     word; the parts of such a pair's count are summed afterwards."""
-    met = edges.repartition("hi", "salt").sortWithinPartitions("hi", "lo")
+    hot = F.col("hi").bitwiseAND(F.shiftright("hi", 32)).bitwiseAND(F.lit(1)) == 1
+    met = edges.repartition(F.col("hi"), F.when(hot, _first("lo"))).sortWithinPartitions("hi", "lo")
     return met.mapInArrow(_flows(least), "len int, hi long, lo long, n long").groupBy("len", "hi", "lo").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
@@ -315,11 +320,9 @@ def mine_phrases(docs: DataFrame, best: int = 2000, least: int = LEAST) -> DataF
     blocks = spark.read.parquet(at("blocks"))
     numbers = word_numbers(blocks, at("words"), least)
     own = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words")).alias("at", "w")).select("block", "at", F.col("w.langs").alias("lang"), F.col("w.words").alias("word"))
-    share = numbers.sparkSession.read.parquet(at("words")).agg(F.sum("n").alias("all")).scalar()
-    named = numbers.select("lang", "word", "id", (F.col("n") * HOT_SHARE >= share).alias("hot"))
-    answers = own.join(named, ["lang", "word"]).select(F.col("block").alias("asker"), "at", "id", "hot")
+    answers = own.join(numbers.select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("asker"), "at", "id")
     coded = blocks.select("block", "codes", F.size("words").alias("size"))
-    edges = coded.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(_edges, "hi long, salt long, lo long, n long")
+    edges = coded.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(_edges, "hi long, lo long, n long")
     gram_counts(edges, least).write.parquet(at("grams"))
     counts = spark.read.parquet(at("grams"))
     paths = unary_paths(counts.where("len = 4"), at)
