@@ -2,16 +2,18 @@
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.panels import G1, P1, P2, PRIORITIES, REGIME_SQL, REGIMES, daily, entities, growth, text_table
 from catalog.registry import query
 from catalog.scoring import _SCORES
+from lagmill.functions.fits import fit_elastic_net
 from lagmill.operators.explain import linear_contributions
 from lagmill.operators.features import assemble, lag_features
 from lagmill.operators.origins import Expanding, background_rows, live_rows
 from lagmill.operators.scoring import evaluate
-from lagmill.plans.backtest import BacktestConfig, model_of, run_backtest
+from lagmill.plans.backtest import BacktestConfig, Model, model_of, run_backtest
 from lagmill.plans.boosted import run_boosted
 from lagmill.plans.study import forecast_table, prepare, run_models, score_table, stationarity
 
@@ -39,8 +41,9 @@ def _fit_sql(p: str, rows: str, clip_x: bool = True, clip_y: bool = True) -> str
 _WEIGHT = "sign(cov) * greatest(abs(cov) - alpha * l1, 0) / (var + alpha * (1 - l1))"
 
 
-def _backtest_sql(clip_x: bool = True, clip_y: bool = True) -> str:
-    """Whole backtest of one lag: with a single feature the elastic net has a closed form."""
+def _backtest_sql(clip_x: bool = True, clip_y: bool = True, valid: str = "TRUE") -> str:
+    """Whole backtest of one lag: with a single feature the elastic net has a closed form. Cycles that are not ``valid`` keep
+    the last choice before them."""
     live = "least(greatest(x_live, low), high)" if clip_x else "x_live"
     x = "least(greatest(x, low), high)" if clip_x else "x"
     return f"""{G1}, {GRID_SQL}, f AS (SELECT series_id, ts, row_number() {_W} - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS n, value AS x,
@@ -50,14 +53,16 @@ def _backtest_sql(clip_x: bool = True, clip_y: bool = True) -> str:
  tv AS (SELECT cy.series_id, cy.s, grid_pos, avg(abs(y - (my - w * mz + w * ({x} - med) / iqr))) AS mae
   FROM cy JOIN f ON f.series_id = cy.series_id AND idx BETWEEN cy.s - 1 - 12 AND cy.s - 2
   JOIN (SELECT *, {_WEIGHT} AS w FROM tm CROSS JOIN grid) m ON m.series_id = cy.series_id AND m.s = cy.s GROUP BY 1, 2, 3),
- best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, s ORDER BY mae, grid_pos) AS k FROM tv) WHERE k = 1),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, s ORDER BY mae, grid_pos) AS k FROM tv WHERE {valid}) WHERE k = 1),
+ ch AS (SELECT cy.series_id, cy.s, coalesce(last_value(grid_pos IGNORE NULLS) OVER (PARTITION BY cy.series_id ORDER BY cy.s), 0) AS grid_pos,
+  grid_pos IS NOT NULL AS chosen FROM cy LEFT JOIN best USING (series_id, s)),
  og AS (SELECT series_id, idx + 1 AS s, 40 + (idx + 1 - 40) // 12 * 12 AS cycle_start, x AS x_live, ts AS origin_date, target_ts AS forecast_date, y AS actual
   FROM f WHERE idx + 1 BETWEEN 40 AND n - 1),
  fr AS (SELECT og.series_id, s, idx, f.x, f.y FROM og JOIN f ON f.series_id = og.series_id AND idx <= s - 2), {_fit_sql('u', 'fr', clip_x, clip_y)},
  bg AS (SELECT series_id, s, avg(z) AS mbg FROM uz WHERE idx > last - 100 GROUP BY 1, 2),
- bt AS (SELECT og.series_id, og.s AS origin_idx, origin_date, forecast_date, actual, b.grid_pos, og.s = cycle_start AS tuned, w,
+ bt AS (SELECT og.series_id, og.s AS origin_idx, origin_date, forecast_date, actual, b.grid_pos, og.s = cycle_start AND chosen AS tuned, w,
    {live} AS feature_value, ({live} - med) / iqr AS z_live, mbg, my - w * mz AS c
-  FROM og JOIN best b ON b.series_id = og.series_id AND b.s = cycle_start
+  FROM og JOIN ch b ON b.series_id = og.series_id AND b.s = cycle_start
   JOIN (SELECT *, {_WEIGHT} AS w FROM um CROSS JOIN grid) m ON m.series_id = og.series_id AND m.s = og.s AND m.grid_pos = b.grid_pos
   JOIN bg ON bg.series_id = og.series_id AND bg.s = og.s)"""
 
@@ -87,6 +92,17 @@ def backtest_choices(spark, sf):
     return _one_lag(spark, sf).tuned_params()
 
 
+@query("w9_m10_choices_carried_over_cycles", "series_id, origin_idx:i, grid_pos:i, tuned, forecast_logdiff:8",
+       f"WITH {_backtest_sql(valid='(s - 14) // 12 % 2 = 1')} SELECT *, c + w * z_live AS forecast_logdiff FROM bt")
+def backtest_with_failed_cycles(spark, sf):
+    """A fit whose errors are all NaN in every other tuning cycle: such a cycle keeps the choice before it."""
+    def fit(x, y, points):
+        found = fit_elastic_net(x, y, points)
+        return replace(found, weights=found.weights * np.nan) if len(points) > 1 and len(y) // 12 % 2 == 0 else found
+
+    return run_backtest(growth(spark, sf), Model("elasticnet", fit, GRID), ONE_LAG).fits
+
+
 for _mode, _name in (("features", "features_only"), (False, "off")):
     @query(f"m2_backtest_winsorizing_{_name}", "series_id, origin_idx:i, forecast_logdiff:8, alpha:4, l1_ratio:2",
            f"WITH {_backtest_sql(bool(_mode), False)} SELECT bt.*, c + w * z_live AS forecast_logdiff, alpha, l1 AS l1_ratio FROM bt JOIN grid USING (grid_pos)")

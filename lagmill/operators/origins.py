@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lagmill.operators.panel import is_bounded
+from lagmill.operators.ranks import RankIndex
 
 TAILS = (0.01, 0.99)
 BACKGROUND_ROWS = 100
@@ -38,8 +41,18 @@ class Expanding:
         """Number of tuning cycles of a series of n rows."""
         return max(0, -(-(n - self.horizon - self.initial + 1) // self.interval))
 
-    def cycles_per_block(self, n: int) -> int:
-        return max(1, -(-self.cycles(n) // self.tasks_per_series))
+    def work(self, cycles):
+        """Twice the rows that the origins of the first ``cycles`` cycles train on, in cycles of ``interval`` rows; a number
+        or a column. A fit costs as many rows as it trains on, so that later cycles of an expanding window cost more."""
+        return cycles * 2 if self.max_train_rows else cycles * (2 * self.initial + self.interval * (cycles - 1))
+
+    def blocks(self, n: int) -> int:
+        """Blocks of a series: at most ``tasks_per_series``, of two cycles of average work at least."""
+        return max(1, min(self.tasks_per_series, -(-self.cycles(n) // 2)))
+
+    def block_of(self, cycle: int, n: int) -> int:
+        """Block of a cycle: the work of the cycles before it, as a share of all work, in equal parts."""
+        return self.work(cycle) * self.blocks(n) // max(self.work(self.cycles(n)), 1)
 
 
 def origin_table(features: DataFrame, plan: Expanding) -> DataFrame:
@@ -131,16 +144,20 @@ def best_point(fold_scores: DataFrame, keys: Sequence[str] = ("series_id", "cycl
 def origin_blocks(features: DataFrame, plan: Expanding, grain: str) -> DataFrame:
     """Copy each feature row to the blocks of cycles that see it, keyed (series_id, block).
 
-    A series is cut into at most ``tasks_per_series`` blocks of consecutive cycles, so a row is copied at most that
-    often (half of it on average) instead of once per origin, and the largest series still fits over many tasks."""
+    A series is cut into at most ``tasks_per_series`` blocks of consecutive cycles of about equal work, so a row is copied at
+    most that often instead of once per origin, and the largest series still fits over many tasks of equal length."""
     if not is_bounded(grain):
         raise ValueError("per-origin fits need a grain of an hour or coarser; aggregate the panel first")
-    total = F.ceil((F.col("n") - plan.horizon - plan.initial + 1) / F.lit(plan.interval))
-    per_block = F.greatest(F.ceil(total / F.lit(plan.tasks_per_series)), F.lit(1))
-    first_cycle = F.greatest(F.floor((F.col("idx") - plan.initial + 1) / F.lit(plan.interval)), F.lit(0))
-    first, last = F.floor(first_cycle / per_block), F.floor((total - 1) / per_block)
+    total = F.ceil((F.col("n") - plan.horizon - plan.initial + 1) / F.lit(plan.interval)).cast("long")
+    blocks = F.least(F.lit(plan.tasks_per_series).cast("long"), F.ceil(total / F.lit(2)))
+    first_cycle = F.greatest(F.floor((F.col("idx") - plan.initial + 1) / F.lit(plan.interval)), F.lit(0)).cast("long")
+
+    def block_of(cycle: Column) -> Column:
+        return F.floor((plan.work(cycle) * blocks) / F.greatest(plan.work(total), F.lit(1)))
+
+    first, last = block_of(first_cycle), block_of(total - 1)
     # The actual of an origin is read from its newest row's target, so rows past the last origin are not needed.
-    seen = features.where((total > 0) & (first <= last))
+    seen = features.where((total > 0) & (first_cycle < total))
     copied = seen.withColumn("block", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     return spread_groups(copied, plan.tasks, "series_id", "block")
 
@@ -172,15 +189,42 @@ class History:
         return range(start, min(start + self.plan.interval, self.n - self.plan.horizon + 1))
 
     def cycles(self, block: int) -> range:
-        size = self.plan.cycles_per_block(self.n)
-        return range(block * size, min((block + 1) * size, self.plan.cycles(self.n)))
-
-    def training(self, origin: int) -> tuple[np.ndarray, np.ndarray]:
-        known = np.searchsorted(self.idx, origin - self.plan.horizon)
-        rows = np.flatnonzero(self.complete[:known] & ~np.isnan(self.y[:known]))
-        if self.plan.max_train_rows:
-            rows = rows[-self.plan.max_train_rows:]
-        return self.x[rows], self.y[rows]
+        total = self.plan.cycles(self.n)
+        first = bisect_left(range(total), block, key=lambda c: self.plan.block_of(c, self.n))
+        return range(first, bisect_left(range(total), block + 1, key=lambda c: self.plan.block_of(c, self.n)))
+
+    @cached_property
+    def usable(self) -> np.ndarray:
+        """Rows that can be trained on."""
+        return np.flatnonzero(self.complete & ~np.isnan(self.y))
+
+    @cached_property
+    def ranks(self) -> list[RankIndex]:
+        """Order statistics of all features, and of the target at the end, over usable rows."""
+        return [RankIndex(column) for column in (*self.x[self.usable].T, self.y[self.usable])]
+
+    def spans(self, origins: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+        """First usable row, and the one after the last, that each origin trains on."""
+        end = np.searchsorted(self.usable, np.searchsorted(self.idx, np.asarray(origins, np.int64) - self.plan.horizon))
+        start = np.maximum(end - self.plan.max_train_rows, 0) if self.plan.max_train_rows else np.zeros_like(end)
+        return start, end
+
+    def rows(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.x[self.usable[start:end]], self.y[self.usable[start:end]]
+
+    def scalings(self, start: np.ndarray, end: np.ndarray, winsorize: bool = True) -> list[Scaling]:
+        """``Scaling.fit`` of many spans of usable rows, none of them empty, by the rank indexes."""
+        low, high, q25, median, q75 = (np.empty((len(start), self.x.shape[1])) for _ in range(5))
+        for j, index in enumerate(self.ranks[:-1]):
+            if winsorize:
+                low[:, j], high[:, j] = (index.quantile(start, end, p) for p in TAILS)
+            else:
+                low[:, j], high[:, j] = -np.inf, np.inf
+            q25[:, j], median[:, j], q75[:, j] = (index.quantile(start, end, p, low[:, j], high[:, j]) for p in (0.25, 0.5, 0.75))
+        return [Scaling(*parts, _scale(q1, q3)) for *parts, q1, q3 in zip(low, high, median, q25, q75)]
+
+    def target_limits(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(self.ranks[-1].quantile(start, end, p) for p in TAILS)
 
     def live(self, origin: int) -> int | None:
         rows = np.flatnonzero(self.complete[:np.searchsorted(self.idx, origin)])
@@ -190,6 +234,11 @@ class History:
         return int(np.searchsorted(self.idx, origin - 1))
 
 
+def _scale(q25: np.ndarray, q75: np.ndarray) -> np.ndarray:
+    iqr = q75 - q25
+    return np.where(iqr < 10 * np.finfo(float).eps, 1.0, iqr)
+
+
 @dataclass
 class Scaling:
     """Winsorizing limits and robust scale fitted on training rows; quantiles are exact and interpolated."""
@@ -206,9 +255,7 @@ class Scaling:
         else:
             low, high = np.full(x.shape[1], -np.inf), np.full(x.shape[1], np.inf)
         q25, median, q75 = np.quantile(np.clip(x, low, high), (0.25, 0.5, 0.75), axis=0)
-        iqr = q75 - q25
-        iqr[iqr < 10 * np.finfo(float).eps] = 1.0
-        return cls(low, high, median, iqr)
+        return cls(low, high, median, _scale(q25, q75))
 
     def clip(self, x: np.ndarray) -> np.ndarray:
         return np.clip(x, self.low, self.high)
@@ -235,21 +282,21 @@ def origin_limits(features: DataFrame, plan: Expanding, grain: str) -> DataFrame
     clipped and scaled by them."""
 
     def limits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        history, parts = History(pdf, plan), []
-        for cycle in history.cycles(int(key[1])):
-            for origin in history.origins(cycle):
-                x, y = history.training(origin)
-                live = history.live(origin)
-                if live is None or not len(y):
-                    continue
-                s = Scaling.fit(x)
-                clipped = s.clip(history.x[live])
-                y_low, y_high = np.quantile(y, TAILS)
-                parts.append(pd.DataFrame({
-                    "series_id": key[0], "origin_idx": origin, "train_rows": len(y),
-                    "feature_pos": np.arange(x.shape[1]), "low": s.low, "high": s.high, "median": s.median,
-                    "iqr": s.iqr, "live_clipped": clipped, "live_scaled": s.scale(clipped), "target_low": y_low,
-                    "target_high": y_high}))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=LIMITS_SCHEMA.names)
+        history = History(pdf, plan)
+        origins = [o for cycle in history.cycles(int(key[1])) for o in history.origins(cycle) if history.live(o) is not None]
+        start, end = history.spans(origins)
+        origins, start, end = np.array(origins, np.int64)[end > start], start[end > start], end[end > start]
+        if not len(origins):
+            return pd.DataFrame(columns=LIMITS_SCHEMA.names)
+        scalings, k = history.scalings(start, end), history.x.shape[1]
+        live = history.x[[history.live(o) for o in origins]]
+        clipped = np.stack([s.clip(x) for s, x in zip(scalings, live)])
+        scaled = np.stack([s.scale(x) for s, x in zip(scalings, clipped)])
+        y_low, y_high = history.target_limits(start, end)
+        flat = {name: np.concatenate([getattr(s, name) for s in scalings]) for name in ("low", "high", "median", "iqr")}
+        return pd.DataFrame({
+            "series_id": key[0], "origin_idx": np.repeat(origins, k), "train_rows": np.repeat(end - start, k),
+            "feature_pos": np.tile(np.arange(k), len(origins)), **flat, "live_clipped": clipped.ravel(), "live_scaled": scaled.ravel(),
+            "target_low": np.repeat(y_low, k), "target_high": np.repeat(y_high, k)})
 
     return origin_blocks(features, plan, grain).groupBy("series_id", "block").applyInPandas(limits, LIMITS_SCHEMA)

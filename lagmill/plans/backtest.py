@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from lagmill.functions.fits import fit_elastic_net, fit_huber, fit_network, fit_sgd
 from lagmill.operators.features import assemble, feature_names, lag_features
 from lagmill.operators.origins import (
-    BACKGROUND_ROWS, Expanding, History, Scaling, clip_target, fold_slices, origin_blocks,
+    BACKGROUND_ROWS, Expanding, History, Scaling, carry_forward, clip_target, fold_slices, origin_blocks,
 )
 from lagmill.plans.defaults import model_grid
 
@@ -107,31 +107,62 @@ def explanation_rows(fits: DataFrame, model_class: str) -> DataFrame:
         F.inline("_pairs"), F.col("forecast_logdiff").alias("prediction"), "base_value")
 
 
-def tune(model: Model, x: np.ndarray, y: np.ndarray, n_splits: int, h: int, v: int) -> int | None:
-    """Grid position with the lowest mean validation error; limits and scale come from the fold's training rows and
-    are fitted once per fold. The first position wins ties; None without a valid fold."""
-    errors = []
-    for train, valid in fold_slices(len(y), n_splits, h, v):
-        scaling = Scaling.fit(x[train], bool(model.winsorize))
+def tune(model: Model, x: np.ndarray, y: np.ndarray, n_splits: int, h: int, v: int, scalings: Callable | None = None) -> int | None:
+    """Grid position with the lowest mean validation error; limits and scale come from the fold's training rows and are
+    fitted once per fold, by ``scalings`` (of the ends of the folds' training rows) if given. The first position wins ties;
+    None without a valid fold or a finite error."""
+    folds, errors = fold_slices(len(y), n_splits, h, v), []
+    if not folds:
+        return None
+    ends = [train.stop for train, _ in folds]
+    fitted = scalings(ends) if scalings else [Scaling.fit(x[:end], bool(model.winsorize)) for end in ends]
+    for (train, valid), scaling in zip(folds, fitted):
         target = clip_target(y[train]) if model.winsorize is True else y[train]
         fit = model.fit(scaling.scale(scaling.clip(x[train])), target, model.grid)
         predicted = fit.predict(scaling.scale(scaling.clip(x[valid])))
         errors.append(np.abs(predicted - y[valid][:, None]).mean(axis=0))
-    if not errors:
-        return None
     mean = np.mean(errors, axis=0)
     mean[~np.isfinite(mean)] = np.inf
     best = int(np.argmin(mean))
     return best if np.isfinite(mean[best]) else None
 
 
+def _tune_at(model: Model, history: History, origin: int, config: BacktestConfig) -> int | None:
+    """The choice at an origin of a history, with the limits of its order-statistic indexes."""
+    (start,), (end,) = history.spans([origin])
+
+    def scalings(ends: Sequence[int]) -> list[Scaling]:
+        return history.scalings(np.full(len(ends), start), start + np.array(ends, np.int64), bool(model.winsorize))
+
+    return tune(model, *history.rows(start, end), config.n_splits, config.h, config.v, scalings)
+
+
+_CHOICES = "series_id string, block int, cycle int, choice int"
+
+
+def tuned_choices(blocks: DataFrame, model: Model, config: BacktestConfig) -> DataFrame:
+    """(series_id, block, cycle, choice, tuned): the choice made at the first origin of each cycle. A cycle without a valid
+    one keeps the last valid choice of an earlier cycle, in whichever block that lies, and the first grid point before any."""
+    plan = config.origins
+
+    def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        history, out = History(pdf, plan), []
+        for cycle in history.cycles(int(key[1])):
+            origin = history.origins(cycle)[0]
+            known = history.live(origin) is not None
+            out.append((key[0], int(key[1]), cycle, _tune_at(model, history, origin, config) if known else None))
+        return pd.DataFrame(out, columns=["series_id", "block", "cycle", "choice"]).astype({"choice": "Int32"})
+
+    made = blocks.groupBy("series_id", "block").applyInPandas(choose, _CHOICES).withColumn("tuned", F.col("choice").isNotNull())
+    return carry_forward(made).withColumn("choice", F.coalesce("choice", F.lit(0)))
+
+
 def run_backtest(df: DataFrame, model: Model, config: BacktestConfig) -> Backtest:
     """Backtest of every series of ``df`` (series_id, ts, target and predictor columns).
 
     Features are built once by windows, since a row's features never depend on later rows. Rows then go to
-    (series, block of cycles) groups; a group tunes at the first origin of each of its cycles and fits every origin.
-    No choice crosses groups: training rows only grow, so a cycle without a valid fold has none before it either and
-    takes the first grid point."""
+    (series, block of cycles) groups, in two stages that read one shuffle: the first tunes at the first origin of each
+    cycle, a window carries choices over cycles and blocks, and the second fits every origin with the choice of its cycle."""
     plan = config.origins
     features = lag_features(
         df, config.target, config.grain, config.nlags, config.predictor_lags, plan.horizon, config.volatility,
@@ -139,28 +170,34 @@ def run_backtest(df: DataFrame, model: Model, config: BacktestConfig) -> Backtes
     rows = assemble(features, config.names)
     schema = _fits_schema(rows.schema["ts"].dataType)
 
-    def fit_block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit_block(key: tuple, pdf: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=schema.names)
         history, out = History(pdf, plan), []
-        for cycle in history.cycles(int(key[1])):
-            choice, tuned = 0, False
-            for position, origin in enumerate(history.origins(cycle)):
-                x, y = history.training(origin)
-                live, newest = history.live(origin), history.newest(origin)
-                if live is None or not len(y):
-                    continue
-                if position == 0:
-                    found = tune(model, x, y, config.n_splits, config.h, config.v)
-                    choice, tuned = (0, False) if found is None else (found, True)
-                scaling = Scaling.fit(x, bool(model.winsorize))
-                clipped = scaling.clip(history.x[live])
-                x_scaled, x_live = scaling.scale(scaling.clip(x)), scaling.scale(clipped)
-                fit = model.fit(x_scaled, clip_target(y) if model.winsorize is True else y, [model.grid[choice]])
-                contributions, base = fit.explain(x_live, x_scaled[-BACKGROUND_ROWS:])
-                out.append((
-                    key[0], origin, history.ts[live], history.target_ts[newest],
-                    float(fit.predict(x_live[None, :])[0, 0]), history.y[newest], base, clipped, contributions,
-                    choice, tuned and position == 0))
+        choices = {c: (int(k), bool(t)) for c, k, t in zip(chosen["cycle"], chosen["choice"], chosen["tuned"])}
+        origins = [(c, o) for c in history.cycles(int(key[1])) for o in history.origins(c) if history.live(o) is not None]
+        start, end = history.spans([o for _, o in origins])
+        known = np.flatnonzero(end > start)
+        start, end = start[known], end[known]
+        scalings = history.scalings(start, end, bool(model.winsorize)) if len(known) else []
+        limits = zip(*history.target_limits(start, end)) if len(known) else []
+        for k, scaling, (y_low, y_high), first, last in zip(known, scalings, limits, start, end):
+            cycle, origin = origins[k]
+            choice, tuned = choices[cycle]
+            x, y = history.rows(first, last)
+            live, newest = history.live(origin), history.newest(origin)
+            clipped = scaling.clip(history.x[live])
+            x_scaled, x_live = scaling.scale(scaling.clip(x)), scaling.scale(clipped)
+            fit = model.fit(x_scaled, np.clip(y, y_low, y_high) if model.winsorize is True else y, [model.grid[choice]])
+            contributions, base = fit.explain(x_live, x_scaled[-BACKGROUND_ROWS:])
+            out.append((
+                key[0], origin, history.ts[live], history.target_ts[newest],
+                float(fit.predict(x_live[None, :])[0, 0]), history.y[newest], base, clipped, contributions,
+                choice, tuned and origin == history.origins(cycle)[0]))
         return pd.DataFrame(out, columns=schema.names)
 
-    groups = origin_blocks(rows, plan, config.grain).groupBy("series_id", "block")
-    return Backtest(groups.applyInPandas(fit_block, schema), model, config.names)
+    blocks = origin_blocks(rows, plan, config.grain)
+    chosen = tuned_choices(blocks, model, config).select(
+        F.col("series_id").alias("_series"), F.col("block").alias("_block"), "cycle", "choice", "tuned")
+    fits = blocks.groupBy("series_id", "block").cogroup(chosen.groupBy("_series", "_block")).applyInPandas(fit_block, schema)
+    return Backtest(fits, model, config.names)
