@@ -1,11 +1,12 @@
 """Line deduplication by an exact set-similarity join. DataFrame functions only.
 
-Tokens of a line are its five-word shingles. They are put in one order for all lines, rare ones first, so that two lines of
-similarity 0.8 share a token within the first fifth of each (the prefix). The order comes from counts of all shingles of all
-lines in ``COUNTERS`` hashed counters: a list of bounded size in which frequent shingles stand out.
+Tokens of a line are its distinct words. They are put in one order for all lines, rare ones first, so that two lines of
+similarity 0.8 share a token within the first fifth of each (the prefix). The order comes from counts of all words of all
+texts in ``COUNTERS`` hashed counters: a list of bounded size in which frequent words stand out. Any order gives the same
+result.
 
-A line of fewer than five words is one shingle of all its words: similar to a line with the same words, and to no other. Its
-words name it, so that such lines meet by name and never enter the join.
+Lines of the same words are one line to the join. Fewer than four words are similar to the same words only: such lines meet by
+name and never enter it.
 """
 
 from __future__ import annotations
@@ -13,13 +14,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagmill.llm.columns import WHITE, let, window_hashes, words
+from lagmill.llm.columns import WHITE, let, words
 from lagmill.session import scratch_folder
 
-SHINGLE = 5
 COUNTERS = 1 << 18
 #: Bits of a token that are its hash; those above are its rank, 64 steps for each doubling of its counter.
 HASH_BITS = 51
+#: Fewest words with which a line can be similar to a line of other words.
+JOINED = 4
+#: Longs of the filter that says which lines are needed in whole; one bit a line.
+FILTER = 1 << 18
 _NO_KEY = -(1 << 63)
 
 
@@ -27,42 +31,45 @@ def _key(c: str = "doc_id") -> Column:
     return F.coalesce(F.col(c).cast("long"), F.lit(_NO_KEY))
 
 
+def _name(line: Column) -> Column:
+    """Name of a trimmed line as it is written."""
+    return F.xxhash64(line, F.length(line))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, at, line) of all lines that are not blank, without the white space around them; ``k`` names the line."""
+    """(doc, at, line) of all lines that are not blank, without the white space around them."""
     split = docs.select(_key().alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
-    return split.select("doc", "at", F.trim("line", F.lit(WHITE)).alias("line")).where("line <> ''").select(
-        "doc", "at", "line", _name(F.col("line")).alias("k"))
+    return split.select("doc", "at", F.trim("line", F.lit(WHITE)).alias("line")).where("line <> ''")
 
 
-def _long_enough(line: Column) -> Column:
-    """Whether a line has a shingle of five words."""
-    return line.rlike(r"^[ \t-\r]*(?:[^ \t-\r]+[ \t-\r]+){%d}[^ \t-\r]" % (SHINGLE - 1))
+def _dense(counted: DataFrame, n: int, total, value: Column) -> Column:
+    """``value`` of the sums in column ``n`` by counter ``c`` as one array of ``n`` entries, for use as a value."""
+    every = counted.sparkSession.range(n).select(F.col("id").alias("c"), F.lit(0).cast("long").alias("n")).unionByName(counted)
+    dense = every.groupBy("c").agg(total("n").alias("n"))
+    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("c", value.alias("r")))), lambda x: x["r"]).alias("all")).scalar()
 
 
-def _name(line: Column) -> Column:
-    """Name of a trimmed line; of fewer than five words those alone count, not the white space between them."""
-    plain = F.when(_long_enough(line), line).otherwise(F.regexp_replace(line, r"[ \t-\r]+", " "))
-    return let(plain, lambda t: F.xxhash64(t, F.length(t)))
+def _ranks(docs: DataFrame) -> Column:
+    """Ranks of all counters."""
+    each = docs.select(F.explode(words(F.col("text"))).alias("w"))
+    counted = each.groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).alias("c")).agg(F.count("*").alias("n"))
+    return _dense(counted, COUNTERS, F.sum, F.floor(F.log2(F.col("n") + 1) * 64).cast("int"))
 
 
-def _shingles(line: Column) -> Column:
-    return F.array_distinct(window_hashes(F.transform(words(line), lambda w: F.xxhash64(w)), SHINGLE))
+def _tokens(line: Column, ranks: Column) -> Column:
+    """Distinct words of a trimmed line in the order of all lines: rank above, hash below."""
+    low = (1 << HASH_BITS) - 1
 
+    def token(w: Column) -> Column:
+        return let(F.xxhash64(w), lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), HASH_BITS) + h.bitwiseAND(F.lit(low)))
 
-def _counters(lines: DataFrame) -> Column:
-    """Ranks of all counters as one array, for use as a value."""
-    counted = lines.select(F.explode(_shingles(F.col("line"))).alias("h")).groupBy(F.pmod("h", F.lit(COUNTERS)).alias("c")).agg(F.count("*").alias("n"))
-    every = lines.sparkSession.range(COUNTERS).select(F.col("id").alias("c"), F.lit(0).cast("long").alias("n")).unionByName(counted)
-    dense = every.groupBy("c").agg(F.sum("n").alias("n"))
-    rank = F.floor(F.log2(F.col("n") + 1) * 64).cast("int")
-    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("c", rank.alias("r")))), lambda x: x["r"]).alias("ranks")).scalar()
+    return F.sort_array(F.transform(F.array_distinct(F.split(line, "[ \\t-\\r]+")), token))
 
 
-def _tokens(line: Column, ranks: Column) -> Column:
-    """Tokens in the order of all lines: rank above, hash below."""
-    low = (1 << HASH_BITS) - 1
-    return F.sort_array(F.transform(_shingles(line), lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), HASH_BITS)
-                                    + h.bitwiseAND(F.lit(low))))
+def _named(lines: DataFrame, ranks: Column) -> DataFrame:
+    """``lines`` with ``tokens`` and ``k``, the name of their set."""
+    known = lines.withColumn("ranks", ranks)
+    return known.withColumn("tokens", _tokens(F.col("line"), F.col("ranks"))).drop("ranks").withColumn("k", F.xxhash64("tokens"))
 
 
 def _may_match() -> Column:
@@ -73,86 +80,90 @@ def _may_match() -> Column:
     return (5 * x >= 4 * y) & (5 * y >= 4 * x) & enough & ~F.arrays_overlap("x.before", "y.before")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines whose shingles have a Jaccard similarity of 0.8 or more. Only lines of pairs are read."""
-    keys = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
-    places = keys.join(firsts, "k").groupBy("doc").agg(F.collect_list(F.struct("at", "k")).alias("wanted"))
-    texts = docs.select(_key().alias("doc"), "text").join(places, "doc")
-    sets = texts.select(F.explode("wanted").alias("w"), "text").select(
-        F.col("w.k").alias("k"), F.trim(F.get(F.split("text", "\n"), F.col("w.at")), F.lit(WHITE)).alias("line"))
-    # Of repeated rows of a document the one with the named line counts.
-    sets = sets.where(F.xxhash64("line", F.length("line")) == F.col("k")).groupBy("k").agg(F.first(_shingles(F.col("line"))).alias("set"))
+def _wanted(keys: DataFrame, firsts: DataFrame) -> Column:
+    """A filter of bits: whether the line at a hashed place may be the first of one of ``keys``."""
+    places = firsts.join(keys, "k", "left_semi").select(F.xxhash64("doc", "at").alias("h"))
+    bits = places.select(F.pmod(F.shiftright("h", 6), F.lit(FILTER)).alias("c"), F.expr("shiftleft(1L, cast(pmod(h, 64) as int))").alias("n"))
+    return _dense(bits.groupBy("c").agg(F.bit_or("n").alias("n")), FILTER, F.bit_or, F.col("n"))
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, ranks: Column) -> DataFrame:
+    """Pairs (a, b) of sets with a Jaccard similarity of 0.8 or more. Texts are read once more and not moved: a filter of
+    bounded size keeps the lines of pairs and, by chance, few others."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    lines = _lines(docs).withColumn("h", F.xxhash64("doc", "at")).withColumn("bits", _wanted(keys, firsts))
+    some = lines.where(F.expr("shiftrightunsigned(bits[cast(pmod(shiftright(h, 6), %d) as int)], cast(pmod(h, 64) as int)) & 1 = 1" % FILTER))
+    sets = _named(some.select("line"), ranks).groupBy("k").agg(F.first("tokens").alias("set"))
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("set").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
 def _later(similar: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The later line of each pair, by its first place."""
-    placed = similar.join(firsts.select(F.col("k").alias("a"), F.struct("doc", "at").alias("p")), "a").join(
-        firsts.select(F.col("k").alias("b"), F.struct("doc", "at").alias("q")), "b")
+    """The later set of each pair, by its first place."""
+    places = firsts.select("k", F.struct("doc", "at").alias("p"))
+    placed = similar.join(places.select(F.col("k").alias("a"), "p"), "a").join(places.select(F.col("k").alias("b"), F.col("p").alias("q")), "b")
     return placed.select(F.when(F.col("p") < F.col("q"), F.col("b")).otherwise(F.col("a")).alias("k")).distinct()
 
 
-def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(first place of each distinct line, names of lines that are similar to a line with an earlier first place).
+def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(all lines as doc, at, h, k; first place of each set of words; sets that are similar to a set with an earlier one).
 
-    Tokens of one line only are dropped before lines are joined on their prefix tokens.
+    Texts are read for the counters, for the sets, and for the sets of candidates. Tokens of one set only are dropped before
+    sets are joined on their prefix tokens.
     """
     spark = docs.sparkSession
-    at = {name: scratch_folder(spark, name) for name in ("firsts", "tokens", "pairs")}
-    lines = _lines(docs)
-    lines.groupBy("k").agg(F.min(F.struct("doc", "at")).alias("p"), F.count("*").alias("n")).select("k", "p.doc", "p.at", "n").write.parquet(at["firsts"])
+    at = {name: scratch_folder(spark, name) for name in ("lines", "firsts", "tokens", "pairs")}
+    ranks = _ranks(docs)
+    # Similar sets share one of the first size - ceil(0.8 size) + 1 tokens.
+    prefix = F.expr("slice(tokens, 1, cast(size(tokens) - floor((size(tokens) * 4 + 4) / 5) + 1 as int))")
+    _named(_lines(docs), ranks).select("doc", "at", _name(F.col("line")).alias("h"), "k", F.size("tokens").alias("size"), prefix.alias("prefix")).write.parquet(at["lines"])
+    lines = spark.read.parquet(at["lines"])
+    lines.groupBy("k").agg(F.min(F.struct("doc", "at")).alias("p"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("prefix").alias("prefix")).select(
+        "k", "p.doc", "p.at", "n", "size", "prefix").write.parquet(at["firsts"])
     firsts = spark.read.parquet(at["firsts"])
-    long = lines.where(_long_enough(F.col("line")))
-    ranked = long.withColumn("ranks", _counters(long))
-    # Similar lines share one of the first size - ceil(0.8 size) + 1 tokens.
-    prefixes = ranked.select("k", _tokens(F.col("line"), F.col("ranks")).alias("tokens")).select(
-        "k", F.size("tokens").alias("size"), F.expr("slice(tokens, 1, cast(size(tokens) - floor((size(tokens) * 4 + 4) / 5) + 1 as int))").alias("prefix"))
-    once = prefixes.groupBy("k").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    rows = once.select("k", "size", F.posexplode("prefix").alias("pos", "token")).where("token is not null and k is not null").repartition("token")
+    rows = firsts.where(F.col("size") >= JOINED).select("k", "size", F.posexplode("prefix").alias("pos", "token")).where("token is not null and k is not null").repartition("token")
     # One shuffle by token serves both the count and the join, as long as both read the same columns: hence conditions that
     # always hold.
     several = rows.groupBy("token").agg(F.count("*").alias("lines"), *[F.max(c).alias(f"max_{c}") for c in ("k", "size", "pos")])
     several = several.where("lines > 1 and max_k is not null and max_size > 0 and max_pos >= 0").select("token")
     rows.join(several, "token").write.parquet(at["tokens"])
-    # For each line and token the line's earlier tokens, of those that it may share.
+    # For each set and token the set's earlier tokens, of those that it may share.
     shared = spark.read.parquet(at["tokens"]).groupBy("k").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
     shared = shared.select("k", "size", F.transform("t", lambda e: e["token"]).alias("all"), F.posexplode("t").alias("n", "e"))
     shared = shared.select("k", "size", "e.pos", "e.token", F.expr("slice(all, 1, n)").alias("before"))
     met = shared.alias("x").join(shared.alias("y"), F.col("x.token") == F.col("y.token")).where((F.col("x.k") < F.col("y.k")) & _may_match())
     met.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).write.parquet(at["pairs"])
-    return firsts, _later(_similar(spark.read.parquet(at["pairs"]), docs, firsts), firsts)
+    return lines.select("doc", "at", "h", "k"), firsts, _later(_similar(spark.read.parquet(at["pairs"]), docs, firsts, ranks), firsts)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` without lines that an earlier line equals or is similar to, and ``n_lines``, ``n_removed``.
 
-    Lines are ordered by (doc_id, number in the text), null ids first. A line goes if an equal one stands earlier, or if its
-    five-word shingles have a Jaccard similarity of 0.8 or more to those of a line that first stands earlier (kept or not).
-    Fewer than five words are one shingle: such a line goes if a line of the same words stands earlier. Blank lines stay.
-    Rows of one ``doc_id`` share their places: equal lines at one place do not remove each other. Null texts stay null. Other
-    columns pass through; those with names of results are replaced.
+    Lines are ordered by (doc_id, number in the text), null ids first. A line goes if a line of the same words stands earlier,
+    or if its set of words has a Jaccard similarity of 0.8 or more to that of a line that first stands earlier (kept or not).
+    Blank lines stay. Rows of one ``doc_id`` share their places: lines of the same words at one place do not remove each other.
+    Null texts stay null. Other columns pass through; those with names of results are replaced.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    firsts, later = removed_lines(docs)
+    lines, firsts, later = removed_lines(docs)
     gone = F.coalesce("similar", F.lit(False))
     # What a document needs to know of each of its lines: one row for each line that does not stay everywhere.
     marks = (
-        _lines(docs).drop("line").join(firsts.select("k", F.col("doc").alias("d0"), F.col("at").alias("a0"), "n")
-                                       .join(later.withColumn("similar", F.lit(True)), "k", "left").where(gone | (F.col("n") > 1)), "k")
-        .where(gone | (F.col("d0") != F.col("doc")) | (F.col("a0") != F.col("at"))).groupBy("doc").agg(F.collect_set(F.struct("at", "k")).alias("_gone"))
+        lines.join(firsts.select("k", F.col("doc").alias("d0"), F.col("at").alias("a0"), "n")
+                   .join(later.withColumn("similar", F.lit(True)), "k", "left").where(gone | (F.col("n") > 1)), "k")
+        .where(gone | (F.col("d0") != F.col("doc")) | (F.col("a0") != F.col("at"))).groupBy("doc").agg(F.collect_set(F.struct("at", "h")).alias("_gone"))
     )
     named = docs.select(*keep).withColumn("_doc", _key())
     joined = named.join(marks.withColumnRenamed("doc", "_doc"), "_doc", "left")
 
-    def of(lines: Column) -> Column:
+    def of(split: Column) -> Column:
         name = lambda line: let(F.trim(line, F.lit(WHITE)), _name)
-        return F.filter(lines, lambda line, i: ~F.array_contains("_gone", F.struct(i.alias("at"), name(line).alias("k"))))
+        return F.filter(split, lambda line, i: ~F.array_contains("_gone", F.struct(i.alias("at"), name(line).alias("h"))))
 
     split = F.split("text", "\n")
-    lines = F.when(F.col("_gone").isNull(), split).otherwise(of(split))
-    out = joined.withColumn("_kept", lines).withColumn("n_lines", F.coalesce(F.size(split), F.lit(0))).withColumn(
+    left = F.when(F.col("_gone").isNull(), split).otherwise(of(split))
+    out = joined.withColumn("_kept", left).withColumn("n_lines", F.coalesce(F.size(split), F.lit(0))).withColumn(
         "n_removed", F.coalesce(F.col("n_lines") - F.size("_kept"), F.lit(0)))
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("text")
     return out.select(*[text if c == "text" else F.col(f"`{c}`") for c in keep], "n_lines", "n_removed")

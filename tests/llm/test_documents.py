@@ -159,15 +159,25 @@ def test_lines(docs, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
-def test_short_lines_are_one_shingle(spark):
+def test_short_lines_go_by_their_words(spark):
     rows = [(1, "Menu\nhome page here\n\nHome"), (2, "Menu\n \na b c d"), (3, " Menu \nhome\thome\n\na  b c d\na b c d e"), (4, "Menu"),
             (5, "home  page here\na b c d"), (6, "a b c"), (None, "x\nx"), (7, "x y\nx"), (4, "Menu\nMenu")]
-    want = [(1, "Menu\nhome page here\n\nHome", 4, 0), (2, "\u0020\na b c d", 3, 1), (3, "home\thome\n\na b c d e", 5, 2), (4, "", 1, 1),
+    want = [(1, "Menu\nhome page here\n\nHome", 4, 0), (2, "\u0020\na b c d", 3, 1), (3, "home\thome\n", 5, 3), (4, "", 1, 1),
             (5, "", 2, 2), (6, "a b c", 1, 0), (None, "x", 2, 1), (7, "x y", 2, 1), (4, "", 2, 2)]
     got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert Counter(map(tuple, got.collect())) == Counter(want)
 
 
+def test_a_changed_word_in_a_line_is_found(spark):
+    """One word of twenty changed or put elsewhere; the wanted words of a line decide, not runs of them."""
+    base = [f"w{k}" for k in range(20)]
+    changed = [" ".join(base[:k] + ["new"] + base[k + 1:]) for k in range(0, 20, 3)]
+    rows = [(1, " ".join(base)), *[(10 + k, line) for k, line in enumerate(changed)], (50, " ".join(reversed(base))),
+            (60, " ".join(base[:15] + [f"v{k}" for k in range(5)]))]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: int(d not in (1, 60)) for d, _ in rows}
+
+
 def test_quality(docs, empty):
     got = quality.ledger(docs)
     assert "g" in got.columns and "text" not in got.columns
