@@ -28,7 +28,7 @@ from lagmill.session import scratch_folder
 
 LONGEST = 4
 LEAST = 30
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 #: One node in so many ends a path, and so many rounds double what a path pointer spans: paths stay short, cycles are cut.
 CUT_NODES, ROUNDS = 8, 5
 #: A word that makes one of so many words is hot: edges that begin with two of them are dealt out by their third word too.
