@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from lagmill.llm.columns import WHITE, let, words
 from lagmill.session import scratch_folder
 
-COUNTERS = 1 << 18
-#: Bits of a token that are its hash; those above are its rank, 64 steps for each doubling of its counter.
+#: Spark copies the list into each row that meets it, so it is short: one byte a counter.
+COUNTERS = 1 << 12
+#: Bits of a token that are its hash; those above are its rank, four steps for each doubling of its counter.
 HASH_BITS = 51
 #: Fewest words with which a line can be similar to a line of other words.
 JOINED = 4
@@ -53,17 +54,16 @@ def _ranks(docs: DataFrame) -> Column:
     """Ranks of all counters."""
     each = docs.select(F.explode(words(F.col("text"))).alias("w"))
     counted = each.groupBy(F.pmod(F.xxhash64("w"), F.lit(COUNTERS)).alias("c")).agg(F.count("*").alias("n"))
-    return _dense(counted, COUNTERS, F.sum, F.floor(F.log2(F.col("n") + 1) * 64).cast("int"))
+    return _dense(counted, COUNTERS, F.sum, (F.floor(F.log2(F.col("n") + 1) * 4) - 128).cast("tinyint"))
 
 
 def _tokens(line: Column, ranks: Column) -> Column:
     """Distinct words of a trimmed line in the order of all lines: rank above, hash below."""
     low = (1 << HASH_BITS) - 1
 
-    def token(w: Column) -> Column:
-        return let(F.xxhash64(w), lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), HASH_BITS) + h.bitwiseAND(F.lit(low)))
-
-    return F.sort_array(F.transform(F.array_distinct(F.split(line, "[ \\t-\\r]+")), token))
+    hashes = F.transform(F.array_distinct(F.split(line, "[ \\t-\\r]+")), lambda w: F.xxhash64(w))
+    rank = lambda h: F.get(ranks, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long") + 128
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h), HASH_BITS) + h.bitwiseAND(F.lit(low))))
 
 
 def _named(lines: DataFrame, ranks: Column) -> DataFrame:
