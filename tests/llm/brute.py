@@ -32,15 +32,20 @@ def awkward(n: int = 40, seed: int = 4) -> list[tuple]:
 
 
 def lines_kept(rows):
-    """(doc_id, text) -> text without lines of the words of, or near to, an earlier line."""
+    """(doc_id, text) -> text without lines equal to, or near to, an earlier line."""
     place = lambda d: -(1 << 63) if d is None else d
-    items = [((place(d), i), line.strip(WHITE), frozenset(words(line))) for d, t in rows for i, line in enumerate((t or "").split("\n")) if words(line)]
+    items = []
+    for d, t in rows:
+        for i, line in enumerate((t or "").split("\n")):
+            w = words(line)
+            if len(w) >= 5:
+                items.append(((place(d), i), line.strip(WHITE), frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4))))
     first = {}
-    for p, _, s in sorted(items, key=lambda x: x[0]):
-        first.setdefault(s, p)
-    ordered = sorted((p, s) for s, p in first.items())
-    near = {s for k, (_, s) in enumerate(ordered) if any(9 * len(s & o) >= 4 * (len(s) + len(o)) for _, o in ordered[:k])}
-    gone = {(p, line) for p, line, s in items if s in near or first[s] != p}
+    for p, line, s in sorted(items, key=lambda x: x[0]):
+        first.setdefault(line, (p, s))
+    ordered = sorted((p, line, s) for line, (p, s) in first.items())
+    near = {line for k, (_, line, s) in enumerate(ordered) if any(9 * len(s & o) >= 4 * (len(s) + len(o)) for _, _, o in ordered[:k])}
+    gone = {(p, line) for p, line, _ in items if line in near or first[line][0] != p}
     keep = lambda d, i, line: ((place(d), i), line.strip(WHITE)) not in gone
     return [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if keep(d, i, x)) for d, t in rows]
 
