@@ -18,9 +18,14 @@ from lagmill.sources.wide_csv import (
 PIVOT = ", ".join(f"max(value) FILTER (series_id = '{p}') AS \"{p}\"" for p in PRIORITIES)
 
 
+def _folder(spark, name):
+    """A new folder for each call."""
+    return scratch_folder(spark, name)
+
+
 @query("io1_io5_wide_csv_round_trip", "series_id, ts:t, value:2", f"WITH {P1} SELECT * FROM p1")
 def wide_csv_round_trip(spark, sf):
-    path = scratch_folder(spark, "wide_csv")
+    path = _folder(spark, "wide_csv")
     write_csv(text_table(spark, sf), path)
     data, _ = split_code_row(read_text_table(spark, path))
     return melt(typed_table(data), ["ts"], PRIORITIES).where(F.col("value").isNotNull())
@@ -35,7 +40,7 @@ def split_codes(spark, sf):
 @query("io4_facts_and_codes_as_tables", "series_id, tcode:i, months:i, total:2",
        f"WITH {P1} SELECT series_id, 5 AS tcode, count(*) AS months, sum(value) AS total FROM p1 GROUP BY 1")
 def facts_and_codes(spark, sf):
-    path = scratch_folder(spark, "panel")
+    path = _folder(spark, "panel")
     write_panel(monthly(spark, sf), split_code_row(text_table(spark, sf))[1], path)
     facts, codes = spark.read.parquet(f"{path}/facts"), spark.read.parquet(f"{path}/dim_series")
     totals = facts.groupBy("series_id").agg(F.count("value").alias("months"), F.sum("value").alias("total"))
@@ -71,7 +76,7 @@ def results_of_one_type(spark, sf):
         F.when(F.col("l_linestatus") == "O", "univariate").otherwise("multivariate").alias("model_type"),
         F.when(flag == "A", "huber").when(flag == "N", "mlp").otherwise("sgd").alias("model_class"),
         F.col("l_discount").alias("forecast_logdiff"))
-    path = scratch_folder(spark, "results")
+    path = _folder(spark, "results")
     write_results(rows, path)
     return read_results(spark, path, "univariate").groupBy("model_class").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("forecast_logdiff").alias("total"))
@@ -87,7 +92,7 @@ def forecast_files(spark, sf):
     rows = table(spark, sf, "orders").select(
         key.alias("key"), (F.col("o_orderkey") % 1000).alias("origin_idx"), day.alias("origin_date"), day.alias("forecast_date"),
         F.col("o_totalprice").alias("forecast_logdiff"), F.when(F.col("o_orderkey") % 3 != 0, 1.5).alias("actual_logdiff"))
-    path = scratch_folder(spark, "forecasts")
+    path = _folder(spark, "forecasts")
     for k, name in enumerate(("1_huber_univariate", "1_MLP_univariate", "1_sgd_multivariate", "1_huber_multivariate")):
         rows.where(F.col("key") == k).drop("key").write.option("header", True).csv(f"{path}/{name}_forecasts.csv")
     return read_forecast_files(spark, path, "univariate").groupBy("model_class").agg(
