@@ -11,8 +11,8 @@ from lagmill.session import scratch_folder
 SHINGLE = 5
 BINS = 256
 BITS = 4
-#: Donor lookups per empty bin before the nearest filled bin to the right is taken.
-ROUNDS = 48
+#: Hashed lookups per empty bin before the filled bins are ranked for it.
+ROUNDS = 16
 
 
 def shingle_hashes(text: Column, width: int = SHINGLE) -> Column:
@@ -46,14 +46,20 @@ def bin_minima(hashes: Column, bins: int = BINS) -> Column:
 def densify(minima: Column, bins: int = BINS, rounds: int = ROUNDS) -> Column:
     """Empty bins take the value of a filled bin found by hashed lookups, each bin by a sequence of its own.
 
-    Sequences are the same for every text. A bin that ``rounds`` lookups leave empty takes the next filled bin.
+    Sequences are the same for every text. A bin that ``rounds`` lookups leave empty takes the filled bin whose number has
+    the smallest hash with its own: again any filled bin with the same chance, and the same one in texts that share it.
     """
     def fill(v: Column) -> Column:
         donors = lambda b: F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda t: F.get(v, F.pmod(F.hash(b, t), F.lit(bins))))
         found = lambda b: F.get(F.filter(donors(b), lambda x: x.isNotNull()), F.lit(0))
-        right = lambda b: F.get(F.filter(F.concat(F.slice(v, b + 1, bins), v), lambda x: x.isNotNull()), F.lit(0))
-        return F.when(F.forall(v, lambda x: x.isNotNull()), v).otherwise(
-            F.transform(v, lambda x, b: F.coalesce(x, found(b), right(b))))
+        numbered = F.filter(F.transform(v, lambda x, i: F.struct(i.alias("bin"), x.alias("value"))), lambda s: s["value"].isNotNull())
+
+        def spread(filled: Column) -> Column:
+            ranked = lambda b: F.array_min(F.transform(
+                filled, lambda s: F.struct(F.xxhash64(b, s["bin"]).alias("rank"), s["value"].alias("value"))))["value"]
+            return F.transform(v, lambda x, b: F.coalesce(x, found(b), ranked(b)))
+
+        return F.when(F.forall(v, lambda x: x.isNotNull()), v).otherwise(let(numbered, spread))
 
     return let(minima, fill)
 
@@ -110,25 +116,28 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     The edited text replaces the last half of the code points by as many first ones (or all) of the next document in
     descending ``doc_id``. Null texts are empty. Of repeated ``doc_id`` the text that sorts first stands for the next
-    document; each row keeps its own result; rows with a null ``doc_id`` have no next document and keep their first half.
-    Only ``doc_id`` and ``text`` are read. Texts are shuffled once by ``doc_id``, and of each next document only the part
-    that is needed.
+    document; each row keeps its own result; rows with a null ``doc_id`` have no next document, keep their first half and are
+    never shuffled. Only ``doc_id`` and ``text`` are read. Texts are shuffled once by ``doc_id``, and of each next document
+    only the part that is needed.
     """
-    # A join key without nulls: else one of the two uses of the shuffled texts would get a null filter of its own.
-    own = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Both uses of the shuffled texts are without null ids, so that one shuffle serves them.
+    own = texts.where("doc_id is not null").withColumn("key", F.col("doc_id"))
     printed = own.withColumn("fingerprint", fingerprint(F.col("text")))
-    lengths = own.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("longest"))
+    lengths = own.groupBy("doc_id").agg(F.max(F.length("text")).alias("longest"))
     links = next_documents(docs).withColumnRenamed("next_key", "next_id")
     needs = links.join(lengths, "doc_id").select(
         F.col("next_id").alias("key"), F.col("doc_id").alias("for_id"), F.floor(F.col("longest") / 2).cast("int").alias("need"))
     # A running count, not row_number(): the optimizer would put a row limit below one of two equal shuffles of the texts.
     first = F.count("*").over(Window.partitionBy("key").orderBy("text").rowsBetween(Window.unboundedPreceding, 0)) == 1
     prints = printed.withColumn("first", first)
-    heads = prints.where("first and doc_id is not null").join(needs, "key").select(
+    heads = prints.where("first").join(needs, "key").select(
         F.col("for_id").alias("key"), F.expr("left(text, need)").alias("head"), F.col("fingerprint").alias("next_fingerprint"))
+    alone = texts.where("doc_id is null").withColumn("fingerprint", fingerprint(F.col("text"))).withColumns(
+        {"head": F.lit(None).cast("string"), "next_fingerprint": F.lit(None).cast("string")})
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = (
-        printed.join(heads, "key", "left").withColumn("head", F.when(F.col("doc_id").isNotNull(), F.col("head"))).withColumn("n_chars", F.length("text").cast("bigint"))
+        printed.join(heads, "key", "left").drop("key").unionByName(alone).withColumn("n_chars", F.length("text").cast("bigint"))
         .withColumn("edited", F.concat(F.call_function("left", F.col("text"), (F.col("n_chars") - half).cast("int")),
                                        F.coalesce(F.call_function("left", F.col("head"), half), F.lit(""))))
         .withColumn("edited_fingerprint", fingerprint(F.col("edited")))

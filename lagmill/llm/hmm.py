@@ -19,7 +19,7 @@ STATES = 8
 #: classes by hash.
 OWN_SHARE, SHARED_CLASSES = 1 << 15, 1024
 #: Rounds on the starting sample (at most so many documents and ids), then over all training documents.
-START_DOCUMENTS, START_IDS, START_ROUNDS, ROUNDS = 600, 300_000, 15, 3
+START_DOCUMENTS, SPAN_IDS, START_ROUNDS, ROUNDS = 600, 500, 15, 3
 #: Characters of the documents that are encoded together with the counts of their words.
 GROUP_CHARS = 6_000_000
 #: The end of a document as a word: no word holds white space.
@@ -152,7 +152,7 @@ def encoded_documents(docs: DataFrame, known: DataFrame, tokens: int, kinds: int
     ``class_size`` is the sum of tokens and kinds of each class.
     """
     groups = max(1, -(-chars // GROUP_CHARS))
-    grouped = docs.select("doc_id", "held_out", "learned", "text").withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    grouped = docs.select("doc_id", "held_out", "learned", "text").withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
     def ask(key, table):
         found = set()
@@ -202,17 +202,17 @@ def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def train(encoded: DataFrame, overall: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch. The starting point comes from a bounded sample; each round then counts over all rows of ``encoded``.
+    """Baum-Welch. The starting point comes from spans at random places of a bounded number of documents, those of the
+    smallest hashes; each round then counts over all rows of ``encoded``.
 
     A task adds up its counts; tasks' counts are summed per (state, class) by Spark; the driver gets one row of each.
     """
     spark = encoded.sparkSession
-    share = max(1, encoded.count() // START_DOCUMENTS)
-    first = encoded.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select(F.substring("ids", 1, 4000).alias("ids")).limit(START_DOCUMENTS)
-    sample, left = [], START_IDS
-    for r in first.collect():
-        sample.append(np.frombuffer(bytes(r["ids"]), "<u2").astype(np.int64)[:left])
-        left -= len(sample[-1])
+    h = F.xxhash64("doc_id", "ids")
+    beyond = F.greatest(F.length("ids") / 2 - SPAN_IDS, F.lit(0)).cast("long")
+    span = F.substr(F.col("ids"), (2 * F.pmod(F.xxhash64(h), beyond + 1) + 1).cast("int"), F.lit(2 * SPAN_IDS))
+    first = encoded.select(h.alias("h"), span.alias("ids")).orderBy("h", "ids").limit(START_DOCUMENTS)
+    sample = [np.frombuffer(bytes(r["ids"]), "<u2").astype(np.int64) for r in first.collect()]
     model = beginning(overall)
     for _ in range(START_ROUNDS if sample else 0):
         model = improved(expected(model, sample), overall)

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagmill.llm.arrays import filled, mixed, ragged, slices, word_lists
@@ -18,7 +18,7 @@ BUCKETS = 1 << 15
 DIMENSIONS = 16
 #: Bytes of the subwords of ``<word>``; the word itself is one more.
 GRAMS = (2, 3, 4)
-#: Bounds of the training sample: rows, and characters of a row that may be drawn.
+#: Bounds of the training sample: rows, and characters of the excerpt that stands for a longer text.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 20_000
 EPOCHS, RATE = 4, 0.5
 #: Share of correctly labelled calibration rows that rejection may cost.
@@ -143,14 +143,37 @@ def calibrate(model: Model, texts: list[str], target: np.ndarray) -> None:
     model.threshold = float(min(np.quantile(right, COST), 2 * floor)) if len(right) else floor
 
 
+def quotas(sizes: dict[str, int], rows: int) -> dict[str, int]:
+    """Rows of each language, ``rows`` at most in all: half of them in equal parts, half by share of the texts."""
+    if not sizes:
+        return {}
+    equal, total = max(1, rows // (2 * len(sizes))), sum(sizes.values())
+    rest = max(0, rows - equal * len(sizes))
+    return {lang: min(n, equal + rest * n // total) for lang, n in sizes.items()}
+
+
 def sample(docs: DataFrame, fold: Column | None, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``rows`` labelled rows (text, lang, h), those with the smallest hashes; the bound holds at any size."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    """At most ``rows`` distinct labelled texts (text, lang, h), of each language those with the smallest hashes.
+
+    Every language has its quota, however rare it is (of more than ``rows`` languages the most frequent). A text of more than
+    ``SAMPLE_CHARS`` characters gives an excerpt of that length from a place its hash names. The bounds hold at any size.
+    """
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if fold is not None:
         usable = usable.where(fold)
     keyed = usable.select("text", "lang", F.xxhash64("text", "lang").alias("h"))
-    last = keyed.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    return keyed.where(F.col("h") <= (F.lit(last) if last is not None else F.lit(None).cast("long"))).dropDuplicates(["h"]).limit(rows)
+    found = keyed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
+    sizes = {r["lang"]: max(1, r["n"]) for r in found}
+    # Texts below the cutoff of their language are about twice those wanted, and some more for rare ones.
+    drawn = [(lang, q, min((1 << 63) - 1, int(((2 * q + 20) / sizes[lang]) * (1 << 64)) - (1 << 63)))
+             for lang, q in quotas(sizes, rows).items()]
+    limits = docs.sparkSession.createDataFrame(drawn, "lang string, quota int, cutoff long")
+    size = F.length("text")
+    place = F.when(size > SAMPLE_CHARS, F.pmod(F.xxhash64("h"), size - SAMPLE_CHARS + 1)).otherwise(0).cast("int") + 1
+    near = keyed.join(F.broadcast(limits), "lang").where("h <= cutoff").select(
+        "lang", "h", "quota", F.substr(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("text")).dropDuplicates(["lang", "h"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return near.withColumn("rank", rank).where("rank <= quota").select("text", "lang", "h")
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -82,6 +82,24 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprint_documents(empty).count() == 0
 
 
+def test_empty_bins_take_any_filled_bin_with_the_same_chance(spark):
+    rows = [([100 + b if b in filled else None for b in range(fingerprints.BINS)], len(filled))
+            for filled in ([7], [3, 90, 91], [1, 2, 3, 4, 200], list(range(0, 256, 2)))]
+    df = spark.createDataFrame(rows, "v array<bigint>, filled int")
+    for values, filled in df.select(fingerprints.densify(F.col("v")), "filled").collect():
+        taken = Counter(values)
+        assert len(values) == fingerprints.BINS and sum(taken.values()) == fingerprints.BINS and None not in taken
+        if filled in (3, 5):
+            assert len(taken) == filled and min(taken.values()) > 0.5 * fingerprints.BINS / filled
+
+
+def test_rows_without_an_id_have_no_next_document(spark):
+    rows = [(None, "a b c d e f g")] * 40 + [(1, "h i j k"), (2, None)]
+    got = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    alone = [r for r in got if r.doc_id is None]
+    assert len(got) == 42 and {(r.n_chars, r.edited_sha256, r.near_next) for r in alone} == {(13, sha("a b c d"), 0.0)}
+
+
 def test_likeness_estimates_the_jaccard_similarity(spark):
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in rng.integers(0, 5000, 800)]
@@ -206,6 +224,21 @@ def test_language(spark, sf_dir, docs, empty):
     assert [r.lang_pred for r in langid.identify(docs.limit(3), langid.train(empty)).collect()] == ["und"] * 3
 
 
+def test_rare_languages_and_long_texts_are_learned(spark):
+    letters = {"aa": "bcdfg", "bb": "hjklm", "cc": "npqrs"}
+    rng = np.random.default_rng(4)
+    text = lambda lang, n: " ".join("".join(rng.choice(list(letters[lang]), 5)) for _ in range(n))
+    rows = [(k, text("aa", 12), "aa") for k in range(600)] + [(k, text("bb", 12), "bb") for k in range(4)]
+    rows += [(k, text("cc", langid.SAMPLE_CHARS // 4), "cc") for k in range(3)] + [(0, text("aa", 12), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    drawn = langid.sample(docs.unionByName(docs.where("lang = 'aa'")), None, 60).collect()
+    assert Counter(r.lang for r in drawn)["bb"] == 4 and Counter(r.lang for r in drawn)["cc"] == 3
+    assert len(drawn) <= 60 and len({r.h for r in drawn}) == len(drawn)
+    assert {len(r.text) for r in drawn if r.lang == "cc"} == {langid.SAMPLE_CHARS}
+    assert langid.quotas({"a": 10_000, "b": 3}, 100) == {"a": 74, "b": 3} and langid.quotas({}, 100) == {}
+    assert sum(langid.quotas({str(k): 50 for k in range(30)}, 40).values()) <= 40
+
+
 def test_near_classes(docs, empty):
     want = Counter((d, c, n) for (d, _), (c, n) in zip(PAIRS, brute.near_links(PAIRS)))
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard.near_classes(docs).collect()) == want
@@ -250,6 +283,13 @@ def test_scores(docs, empty):
     assert hmm.score_documents(empty, held, learned, rounds=1).count() == 0
 
 
+def test_scores_beat_the_base_on_unseen_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    found = hmm.score_documents(docs, held, ~held).where("held_out").agg(F.avg(F.expr("score / n_tokens")), F.avg(F.expr("base_score / n_tokens"))).first()
+    assert found[0] > found[1]
+
+
 def test_forward_equals_the_sum_over_all_state_paths():
     import itertools
 
