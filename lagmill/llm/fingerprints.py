@@ -121,10 +121,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     only the part that is needed.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # Both uses of the shuffled texts are without null ids, so that one shuffle serves them.
-    own = texts.where("doc_id is not null").withColumn("key", F.col("doc_id"))
+    # Both uses of the shuffled texts have the same columns and no null ids, so that one shuffle serves them.
+    own = texts.where("doc_id is not null").withColumnRenamed("doc_id", "key")
     printed = own.withColumn("fingerprint", fingerprint(F.col("text")))
-    lengths = own.groupBy("doc_id").agg(F.max(F.length("text")).alias("longest"))
+    lengths = own.groupBy(F.col("key").alias("doc_id")).agg(F.max(F.length("text")).alias("longest"))
     links = next_documents(docs).withColumnRenamed("next_key", "next_id")
     needs = links.join(lengths, "doc_id").select(
         F.col("next_id").alias("key"), F.col("doc_id").alias("for_id"), F.floor(F.col("longest") / 2).cast("int").alias("need"))
@@ -137,7 +137,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         {"head": F.lit(None).cast("string"), "next_fingerprint": F.lit(None).cast("string")})
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = (
-        printed.join(heads, "key", "left").drop("key").unionByName(alone).withColumn("n_chars", F.length("text").cast("bigint"))
+        printed.join(heads, "key", "left").withColumnRenamed("key", "doc_id").unionByName(alone).withColumn("n_chars", F.length("text").cast("bigint"))
         .withColumn("edited", F.concat(F.call_function("left", F.col("text"), (F.col("n_chars") - half).cast("int")),
                                        F.coalesce(F.call_function("left", F.col("head"), half), F.lit(""))))
         .withColumn("edited_fingerprint", fingerprint(F.col("edited")))
