@@ -12,6 +12,8 @@ from lagmill.operators.panel import SERIES, is_bounded
 from lagmill.operators.quantiles import exact_quantiles
 
 QUARTILES = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+#: Grid points of a density that are summed side by side.
+BATCH = 20
 STATISTICS = ("count", "mean", "std", "varcof", "min", "q25", "median", "q75", "max", "variance", "skewness", "kurtosis")
 
 
@@ -111,7 +113,7 @@ def kernel_density(panel: DataFrame, grain: str | None = None, bins: int = 30, p
                    keys: Sequence[str] = SERIES, value: str = "value") -> DataFrame:
     """Gaussian kernel density (bandwidth std * n^(-1/5)) on a grid over [min, max], scaled to histogram counts.
 
-    Equal values are counted first; then one aggregation sums the kernels of all grid points side by side."""
+    Equal values are counted first; then one aggregation per (series, batch of points) sums the kernels of a batch side by side."""
     keys = list(keys)
     spans = _spans(panel, keys, value).where(F.col("_std") > 0)
     bandwidth = F.col("_std") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
@@ -121,9 +123,12 @@ def kernel_density(panel: DataFrame, grain: str | None = None, bins: int = 30, p
     placed = counted.join(spans, keys).select(
         *keys, "_times", F.col("_min"), step.alias("_step"), ((F.col(value) - F.col("_min")) / bandwidth).alias("_at"),
         (step / bandwidth).alias("_gap"), (bin_width / (bandwidth * F.sqrt(F.lit(2.0) * F.pi()))).alias("_scale"))
-    z = [F.col("_at") - F.col("_gap") * F.lit(float(i)) for i in range(points)]
-    sums = placed.groupBy(*keys).agg(F.first("_min").alias("_min"), F.first("_step").alias("_step"), F.first("_scale").alias("_scale"), *[
-        F.sum(F.col("_times") * F.exp(z[i] * z[i] * F.lit(-0.5))).alias(f"_k{i}") for i in range(points)])
-    rows = [F.struct(F.lit(i).alias("point"), (F.col("_min") + F.col("_step") * F.lit(float(i))).alias("x"),
-                     (F.col(f"_k{i}") * F.col("_scale")).alias("density")) for i in range(points)]
-    return df_inline(sums, keys, rows)
+    # Few enough sums side by side for compiled code: a row meets one batch of points at a time.
+    batches = placed.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(points - 1), F.lit(BATCH))))
+    place = [F.col("_first") + F.lit(i) for i in range(BATCH)]
+    z = [F.col("_at") - F.col("_gap") * p for p in place]
+    sums = batches.groupBy(*keys, "_first").agg(F.first("_min").alias("_min"), F.first("_step").alias("_step"), F.first("_scale").alias("_scale"), *[
+        F.sum(F.col("_times") * F.exp(z[i] * z[i] * F.lit(-0.5))).alias(f"_k{i}") for i in range(BATCH)])
+    rows = [F.struct(place[i].alias("point"), (F.col("_min") + F.col("_step") * place[i]).alias("x"),
+                     (F.col(f"_k{i}") * F.col("_scale")).alias("density")) for i in range(BATCH)]
+    return df_inline(sums, keys, rows).where(F.col("point") < points)
