@@ -27,8 +27,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that an earlier line equals or is near to; documents stay."""
-    return _as_documents(dedup_lines(docs), docs)
+    """Drops lines that an earlier line equals or is near to, and documents of which no more than white space is left.
+
+    Texts without letters go in the first stage, so a blank text had words, and each of its lines equals or is near to an
+    earlier one: it is a copy that the near-copy stage would keep, as a text without words is nobody's copy. Null texts stay."""
+    kept = _as_documents(dedup_lines(docs), docs)
+    return kept.where(F.col("text").isNull() | (F.trim("text", F.lit(WHITE)) != ""))
 
 
 def near_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,21 +55,11 @@ STAGES = [("language", language), ("lines", lines), ("near_documents", near_docu
 ORACLE_SQL = None
 
 
-def without_emptied(docs: DataFrame) -> DataFrame:
-    """Documents of which the line stage left more than white space.
-
-    Texts without letters go in the first stage, so a blank text had words, and each of its lines equals or is near to an
-    earlier one. The near-copy stage would keep it: a text without words is nobody's copy."""
-    return docs.where(F.col("text").isNull() | (F.trim("text", F.lit(WHITE)) != ""))
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in a row; documents that the line stage emptied go before near copies are looked for."""
+    """All stages in a row."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-        if name == "lines":
-            docs = without_emptied(docs)
     return docs
