@@ -38,8 +38,8 @@ def lines_kept(rows):
     for d, t in rows:
         for i, line in enumerate((t or "").split("\n")):
             w = words(line)
-            if len(w) >= 5:
-                items.append(((place(d), i), line.strip(WHITE), frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4))))
+            if w:
+                items.append(((place(d), i), line.strip(WHITE), frozenset(tuple(w[k:k + 5]) for k in range(max(len(w) - 4, 1)))))
     first = {}
     for p, line, s in sorted(items, key=lambda x: x[0]):
         first.setdefault(line, (p, s))
