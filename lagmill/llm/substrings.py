@@ -181,12 +181,13 @@ def _asked(names: list[np.ndarray], docs: list[np.ndarray], g: int) -> pa.Table:
     doc = np.concatenate(docs)
     real = doc > -(1 << 63)  # null documents
     name, doc = name[real], doc[real]
-    order = np.lexsort((doc, name))
+    if not len(name):
+        return ASKED.empty_table()
+    order = np.argsort(name)
     name, doc = name[order], doc[order]
     heads = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-    last = np.append(heads[1:], len(name)) - 1
-    return pa.Table.from_arrays([_signed(name[heads]), pa.array(np.full(len(heads), g, np.int32)), pa.array(doc[heads]),
-                                 pa.array(doc[last])], schema=ASKED)
+    return pa.Table.from_arrays([_signed(name[heads]), pa.array(np.full(len(heads), g, np.int32)),
+                                 pa.array(np.minimum.reduceat(doc, heads)), pa.array(np.maximum.reduceat(doc, heads))], schema=ASKED)
 
 
 class Told:
@@ -194,16 +195,14 @@ class Told:
 
     def __init__(self, table: pa.Table, kind: int):
         table = table.filter(pc.equal(table.column("kind"), kind))
-        name = table.column("name").to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(name)
-        self.name, self.least = name[order], table.column("least").to_numpy().astype(np.int64)[order]
+        self.name, self.least = table.column("name").combine_chunks(), table.column("least").to_numpy().astype(np.int64)
 
     def of(self, names: np.ndarray) -> np.ndarray:
         """Smallest document of each name; the largest integer where none was told."""
         if not len(self.name) or not len(names):
             return np.full(len(names), _FAR)
-        place = np.minimum(np.searchsorted(self.name, names), len(self.name) - 1)
-        return np.where(self.name[place] == names, self.least[place], _FAR)
+        place = pc.fill_null(pc.index_in(_signed(names), self.name), -1).to_numpy(zero_copy_only=False)
+        return np.where(place >= 0, self.least[place], _FAR)
 
 
 def _documents_of(part: pa.RecordBatch) -> np.ndarray:
@@ -286,7 +285,6 @@ def answered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 _WORD = re.compile("[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-_SPLIT = re.compile("[^\x20\x09-\x0D]+")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -323,7 +321,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 if removed[k]:
                     cut = gone[bounds[k]:bounds[k + 1]]
                     text = "".join(w for w, drop in zip(_WORD.findall(text), cut) if not drop)
-                digests.append(hashlib.sha256(" ".join(_SPLIT.findall(text)).encode()).hexdigest())
+                digests.append(hashlib.sha256(b" ".join(text.encode().split())).hexdigest())
                 new.append(text)
             new = pc.if_else(pc.is_null(column), pa.scalar(None, pa.string()), pa.array(new, pa.string()))
             parts.append(pa.table({"doc_id": part.column("doc_id"), "text": new, "rest": part.column("rest"),

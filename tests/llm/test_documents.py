@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lagmill.llm import chunk_bpe, fingerprints, hmm, jaccard, langid, lines, packing, quality, substrings
+from lagmill.llm.arrays import word_hashes
 from lagmill.llm.queries import BYTE_BPE, WORD_BPE
 
 ROWS = brute.awkward()
@@ -329,6 +331,17 @@ def test_repeats(docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_word_hashes_follow_content():
+    rng = random.Random(5)
+    words = ["", "a", "ab", "a\0", "é" * 40, "x" * 64, "x" * 65, "x" * 5000] + ["".join(rng.choices("abé日\0", k=rng.randrange(90))) for _ in range(2000)]
+    h = word_hashes(pa.array(words * 2, pa.large_string()))
+    assert h[:len(words)].tolist() == h[len(words):].tolist()
+    assert len(set(h.tolist())) == len(set(words))
+    assert word_hashes(pa.array(words, pa.large_string()).slice(7, 90)).tolist() == h[7:97].tolist()
+    assert word_hashes(pa.array(words)).tolist() == h[:len(words)].tolist()
+    assert not len(word_hashes(pa.array([], pa.large_string())))
+
+
 def test_equal_windows_have_equal_representatives():
     rng = np.random.default_rng(6)
     for alphabet in (2, 3, 8, 50):
