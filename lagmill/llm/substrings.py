@@ -45,28 +45,33 @@ def _pair_names(a: np.ndarray, b: np.ndarray, round_: int) -> np.ndarray:
     return mixed(a * _ODD + mixed(b + np.uint64(round_) * _OTHER))
 
 
+def _without(places: np.ndarray, *arrays: np.ndarray) -> list[np.ndarray]:
+    kept = np.ones(len(arrays[0]), bool)
+    kept[places] = False
+    return [a[kept] for a in arrays]
+
+
 def long_symbols(names: np.ndarray, doc: np.ndarray, rounds: int = LONG_ROUNDS) -> tuple[np.ndarray, ...]:
     """(name, first word, word after the last, document) of each symbol after all rounds; symbols stay within documents."""
-    start = np.arange(len(names))
-    end = start + 1
+    n = len(names)
+    start = np.arange(n)
+    opens = np.concatenate([[True], doc[1:] != doc[:-1]])[:n]  # a document begins with this symbol
     with np.errstate(over="ignore"):
         for r in range(rounds):
             if len(names) < 2:
                 break
-            same = (names[1:] == names[:-1]) & (doc[1:] == doc[:-1])
-            if same.any():
-                heads = np.flatnonzero(np.concatenate([[True], ~same]))
-                size = np.diff(np.append(heads, len(names)))
-                run = mixed(names[heads] * _OTHER + size.astype(np.uint64) * _ODD)
-                names, start, end, doc = np.where(size > 1, run, names[heads]), start[heads], end[heads + size - 1], doc[heads]
+            more = np.flatnonzero((names[1:] == names[:-1]) & ~opens[1:]) + 1
+            if len(more):
+                runs = np.flatnonzero(np.concatenate([[True], np.diff(more) > 1]))
+                heads = more[runs] - 1
+                size = np.diff(np.append(runs, len(more))) + 1
+                names[heads] = mixed(names[heads] * _OTHER + size.astype(np.uint64) * _ODD)
+                names, start, opens = _without(more, names, start, opens)
             left = _left_half(names, r)
-            first = np.flatnonzero(left[:-1] & ~left[1:] & (doc[1:] == doc[:-1]))
+            first = np.flatnonzero(left[:-1] & ~left[1:] & ~opens[1:])
             names[first] = _pair_names(names[first], names[first + 1], r)
-            end[first] = end[first + 1]
-            kept = np.ones(len(names), bool)
-            kept[first + 1] = False
-            names, start, end, doc = names[kept], start[kept], end[kept], doc[kept]
-    return names, start, end, doc
+            names, start, opens = _without(first + 1, names, start, opens)
+    return names, start, np.append(start[1:], n)[:len(start)], doc[start]
 
 
 def long_passages(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
