@@ -202,8 +202,9 @@ def _prepared(spark, sf):
  SELECT ts, {', '.join(f'CASE WHEN rn BETWEEN 21 AND n - 20 THEN coalesce("{p}", avg("{p}") OVER ()) ELSE "{p}" END AS "{p}"' for p in PRIORITIES)} FROM pn)
  WHERE ts BETWEEN DATE '1995-06-01' AND DATE '2001-06-01'""")
 def study_frame(spark, sf):
-    """Text table to modeling frame: select, transform by code, trim, fill, cut."""
-    return _prepared(spark, sf).frame
+    """Text table to modeling frame: select, transform by code, trim, fill, cut. A column that is not selected is NULL."""
+    prepared = _prepared(spark, sf)
+    return prepared.frame.withColumns({c: F.lit(None).cast("double") for c in PRIORITIES if c not in prepared.variables})
 
 
 @query("study_stationarity", "variable, adf_stat:6, p_value:6, lags:i, n_obs:i, stationary")

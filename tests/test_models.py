@@ -6,6 +6,7 @@ import pytest
 from helpers import panel
 from pyspark.sql import functions as F
 
+from catalog import QUERIES
 from lagmill.functions.fits import LinearFit, fit_elastic_net, fit_huber, fit_network, fit_sgd, permutation_shapley
 from lagmill.operators.origins import Expanding, carry_forward, fold_slices, hv_folds, origin_blocks
 from lagmill.operators.ranks import RankIndex
@@ -192,6 +193,19 @@ def test_all_models_of_a_type(spark, tmp_path):
     assert len(scores) == 5 and len({r.naive_rmse for r in scores}) == 1 and all(r.n == 14 for r in scores)
 
 
+def test_study_frame_when_columns_are_screened_out(spark, sf_dir, tmp_path):
+    """On many orders the monthly values of priorities go together: one is made the copy of another here."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderpriority <> '3-MEDIUM'")
+    copy = orders.where("o_orderpriority = '2-HIGH'").withColumn("o_orderpriority", F.lit("3-MEDIUM"))
+    orders.unionByName(copy).write.parquet(f"{tmp_path}/orders.parquet")
+    frame = QUERIES["study_modeling_frame"](spark, str(tmp_path))
+    assert frame.columns == ["ts", "1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    rows = frame.collect()
+    assert len(rows) == 73 and all(r["3-MEDIUM"] is None for r in rows)
+    assert all(r[c] is not None for r in rows for c in ("1-URGENT", "2-HIGH", "4-NOT SPECIFIED", "5-LOW"))
+
+
+
 def test_boosted_explanations_are_additive(spark):
     config = BacktestConfig(nlags=2, volatility=False, origins=Expanding(initial=60, interval=12), v=12)
     forecasts, records, tuned = run_boosted(panel(spark, series()), config, [{"max_depth": 2, "n_estimators": 3}], explain=True)
