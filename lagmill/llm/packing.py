@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lagmill.llm.arrays import filled, slices, word_lists
-from lagmill.llm.tokens import PieceEncoder
+from lagmill.llm.tokens import piece_encoder
 
 SIZE = 2048
 #: Partially filled windows that a task keeps; beyond it the fullest level is emptied.
@@ -127,7 +127,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = PieceEncoder(tokenizer)
+        encoder = piece_encoder(tokenizer)
         packer = SumOfSquares(size, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for part in slices(batch):

@@ -1,4 +1,4 @@
-"""Ids of short pieces of text by a public tokenizer, each distinct piece encoded once per task."""
+"""Ids of short pieces of text by a public tokenizer, each distinct piece encoded once per Python worker as long as it is remembered."""
 
 from __future__ import annotations
 
@@ -30,7 +30,7 @@ class PieceEncoder:
     """Ids of pieces, exactly as the tokenizers library encodes each piece by itself.
 
     New pieces are joined by the tokenizer's special string, encoded in long texts and parted at its id; a piece that holds
-    ``<|`` itself is encoded alone. At most ``entries`` pieces are remembered; then memory starts anew.
+    ``<|`` itself is encoded alone. Pieces are remembered until new ones would make more than ``entries``; then memory starts anew.
     """
 
     def __init__(self, path: str, entries: int = 400_000, joined: int = 512):
@@ -72,15 +72,22 @@ class PieceEncoder:
         """(number of ids of each piece, ids of all pieces one after another)."""
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.places) + len(distinct) > self.entries:
-            self._forget()
         new = [p for p in distinct if p not in self.places]
+        if len(self.places) + len(new) > self.entries:
+            self._forget()
+            new = distinct
         self._learn(new)
-        places = np.fromiter((self.places[p] for p in distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        places = np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         lengths = self.lengths[places]
         return lengths, self.flat[ragged(self.starts[places], lengths)]
 
 
+@lru_cache(1)
+def piece_encoder(path: str) -> PieceEncoder:
+    """One per Python worker: what one task has learned serves the next."""
+    return PieceEncoder(path, entries=1 << 20, joined=64)
+
+
 @lru_cache(2)
 def byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes of all ids one after another, start and length of each id's) of a byte-level vocabulary.

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lagmill.llm import chunk_bpe, fingerprints, hmm, jaccard, langid, lines, packing, quality, substrings
+from lagmill.llm import chunk_bpe, fingerprints, hmm, jaccard, langid, lines, packing, quality, substrings, tokens
 from lagmill.llm.arrays import word_hashes
 from lagmill.llm.queries import BYTE_BPE, WORD_BPE
 
@@ -142,6 +142,20 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, WORD_BPE).count() == 0
 
 
+def test_known_pieces_are_not_learned_again(monkeypatch):
+    """Only new pieces count towards what is remembered, and tasks of a worker share one memory."""
+    learned, learn = [], tokens.PieceEncoder._learn
+    monkeypatch.setattr(tokens.PieceEncoder, "_learn", lambda self, pieces: (learned.extend(pieces), learn(self, pieces))[1])
+    encoder, plain = tokens.PieceEncoder(WORD_BPE, entries=100), Tokenizer.from_file(WORD_BPE)
+    for k in (0, 0, 20, 60):  # 80 words; the same; 20 of them new; 40 new: memory starts anew
+        pieces = [f"Wort{x}," for x in range(k, k + 80)]
+        lengths, ids = encoder.encode(pa.array(pieces))
+        wanted = [plain.encode(p, add_special_tokens=False).ids for p in pieces]
+        assert lengths.tolist() == [len(w) for w in wanted] and ids.tolist() == sum(wanted, [])
+    assert len(learned) == 80 + 0 + 20 + 80
+    assert tokens.piece_encoder(WORD_BPE) is tokens.piece_encoder(WORD_BPE)
+
+
 def test_level_minimises_the_sum_of_squares():
     rng = np.random.default_rng(1)
     packer = packing.SumOfSquares(16)
