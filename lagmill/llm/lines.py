@@ -10,7 +10,11 @@ words name it, so that such lines meet by name and never enter the join.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagmill.llm.columns import WHITE, let, window_hashes, words
@@ -49,9 +53,13 @@ def _shingles(line: Column) -> Column:
     return F.array_distinct(window_hashes(F.transform(words(line), lambda w: F.xxhash64(w)), SHINGLE))
 
 
+def _counter(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(COUNTERS - 1))
+
+
 def _counters(lines: DataFrame) -> Column:
     """Ranks of all counters as one array, for use as a value."""
-    counted = lines.select(F.explode(_shingles(F.col("line"))).alias("h")).groupBy(F.pmod("h", F.lit(COUNTERS)).alias("c")).agg(F.count("*").alias("n"))
+    counted = lines.select(F.explode(_shingles(F.col("line"))).alias("h")).groupBy(_counter(F.col("h")).alias("c")).agg(F.count("*").alias("n"))
     every = lines.sparkSession.range(COUNTERS).select(F.col("id").alias("c"), F.lit(0).cast("long").alias("n")).unionByName(counted)
     dense = every.groupBy("c").agg(F.sum("n").alias("n"))
     rank = F.floor(F.log2(F.col("n") + 1) * 64).cast("int")
@@ -59,10 +67,10 @@ def _counters(lines: DataFrame) -> Column:
 
 
 def _tokens(line: Column, ranks: Column) -> Column:
-    """Tokens in the order of all lines: rank above, hash below."""
+    """Tokens in the order of all lines: rank above, hash below. None is null, so that they are sorted as plain numbers."""
     low = (1 << HASH_BITS) - 1
-    return F.sort_array(F.transform(_shingles(line), lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(COUNTERS)).cast("int")).cast("long"), HASH_BITS)
-                                    + h.bitwiseAND(F.lit(low))))
+    rank = lambda h: F.coalesce(F.get(ranks, _counter(h).cast("int")), F.lit(0)).cast("long")
+    return F.sort_array(F.transform(_shingles(line), lambda h: F.shiftleft(rank(h), HASH_BITS) + h.bitwiseAND(F.lit(low))))
 
 
 def _may_match() -> Column:
@@ -73,13 +81,17 @@ def _may_match() -> Column:
     return (5 * x >= 4 * y) & (5 * y >= 4 * x) & enough & ~F.arrays_overlap("x.before", "y.before")
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, named: DataFrame, firsts: DataFrame) -> DataFrame:
     """Pairs (a, b) of lines whose shingles have a Jaccard similarity of 0.8 or more. Only lines of pairs are read."""
     keys = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
     places = keys.join(firsts, "k").groupBy("doc").agg(F.collect_list(F.struct("at", "k")).alias("wanted"))
-    texts = docs.select(_key().alias("doc"), "text").join(places, "doc")
-    sets = texts.select(F.explode("wanted").alias("w"), "text").select(
-        F.col("w.k").alias("k"), F.trim(F.get(F.split("text", "\n"), F.col("w.at")), F.lit(WHITE)).alias("line"))
+    # One shuffle of texts serves this join and that of dedup_lines, as long as both read the same columns: hence a condition
+    # that always holds.
+    texts = named.join(places.withColumnRenamed("doc", "_doc"), "_doc").where(
+        reduce(or_, [F.col(f"`{c}`").isNull() for c in named.columns], F.size("wanted") > 0))
+    found = let(F.split("text", "\n"), lambda lines: F.transform(
+        "wanted", lambda w: F.struct(w["k"].alias("k"), F.trim(F.get(lines, w["at"]), F.lit(WHITE)).alias("line"))))
+    sets = texts.select(F.inline(found))
     # Of repeated rows of a document the one with the named line counts.
     sets = sets.where(F.xxhash64("line", F.length("line")) == F.col("k")).groupBy("k").agg(F.first(_shingles(F.col("line"))).alias("set"))
     both = pairs.join(sets.select(F.col("k").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("set").alias("y")), "b")
@@ -94,15 +106,18 @@ def _later(similar: DataFrame, firsts: DataFrame) -> DataFrame:
     return placed.select(F.when(F.col("p") < F.col("q"), F.col("b")).otherwise(F.col("a")).alias("k")).distinct()
 
 
-def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(first place of each distinct line, names of lines that are similar to a line with an earlier first place).
+def removed_lines(docs: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(places of all lines, first place of each distinct line, names of lines that are similar to a line with an earlier first
+    place). ``named`` is ``docs`` with the key ``_doc``.
 
     Tokens of one line only are dropped before lines are joined on their prefix tokens.
     """
     spark = docs.sparkSession
-    at = {name: scratch_folder(spark, name) for name in ("firsts", "tokens", "pairs")}
+    at = {name: scratch_folder(spark, name) for name in ("places", "firsts", "tokens", "pairs")}
     lines = _lines(docs)
-    lines.groupBy("k").agg(F.min(F.struct("doc", "at")).alias("p"), F.count("*").alias("n")).select("k", "p.doc", "p.at", "n").write.parquet(at["firsts"])
+    lines.drop("line").write.parquet(at["places"])
+    places = spark.read.parquet(at["places"])
+    places.groupBy("k").agg(F.min(F.struct("doc", "at")).alias("p"), F.count("*").alias("n")).select("k", "p.doc", "p.at", "n").write.parquet(at["firsts"])
     firsts = spark.read.parquet(at["firsts"])
     long = lines.where(_long_enough(F.col("line")))
     ranked = long.withColumn("ranks", _counters(long))
@@ -110,19 +125,16 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prefixes = ranked.select("k", _tokens(F.col("line"), F.col("ranks")).alias("tokens")).select(
         "k", F.size("tokens").alias("size"), F.expr("slice(tokens, 1, cast(size(tokens) - floor((size(tokens) * 4 + 4) / 5) + 1 as int))").alias("prefix"))
     once = prefixes.groupBy("k").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    rows = once.select("k", "size", F.posexplode("prefix").alias("pos", "token")).where("token is not null and k is not null").repartition("token")
-    # One shuffle by token serves both the count and the join, as long as both read the same columns: hence conditions that
-    # always hold.
-    several = rows.groupBy("token").agg(F.count("*").alias("lines"), *[F.max(c).alias(f"max_{c}") for c in ("k", "size", "pos")])
-    several = several.where("lines > 1 and max_k is not null and max_size > 0 and max_pos >= 0").select("token")
-    rows.join(several, "token").write.parquet(at["tokens"])
+    rows = once.select("k", "size", F.posexplode("prefix").alias("pos", "token"))
+    several = rows.withColumn("lines", F.count("*").over(W.partitionBy("token"))).where("lines > 1").drop("lines")
+    several.write.parquet(at["tokens"])
     # For each line and token the line's earlier tokens, of those that it may share.
     shared = spark.read.parquet(at["tokens"]).groupBy("k").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("t"))
     shared = shared.select("k", "size", F.transform("t", lambda e: e["token"]).alias("all"), F.posexplode("t").alias("n", "e"))
     shared = shared.select("k", "size", "e.pos", "e.token", F.expr("slice(all, 1, n)").alias("before"))
     met = shared.alias("x").join(shared.alias("y"), F.col("x.token") == F.col("y.token")).where((F.col("x.k") < F.col("y.k")) & _may_match())
     met.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).write.parquet(at["pairs"])
-    return firsts, _later(_similar(spark.read.parquet(at["pairs"]), docs, firsts), firsts)
+    return places, firsts, _later(_similar(spark.read.parquet(at["pairs"]), named, firsts), firsts)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -135,15 +147,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     columns pass through; those with names of results are replaced.
     """
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    firsts, later = removed_lines(docs)
+    named = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("_doc", _key())
+    places, firsts, later = removed_lines(docs, named)
     gone = F.coalesce("similar", F.lit(False))
     # What a document needs to know of each of its lines: one row for each line that does not stay everywhere.
     marks = (
-        _lines(docs).drop("line").join(firsts.select("k", F.col("doc").alias("d0"), F.col("at").alias("a0"), "n")
+        places.join(firsts.select("k", F.col("doc").alias("d0"), F.col("at").alias("a0"), "n")
                                        .join(later.withColumn("similar", F.lit(True)), "k", "left").where(gone | (F.col("n") > 1)), "k")
         .where(gone | (F.col("d0") != F.col("doc")) | (F.col("a0") != F.col("at"))).groupBy("doc").agg(F.collect_set(F.struct("at", "k")).alias("_gone"))
     )
-    named = docs.select(*keep).withColumn("_doc", _key())
     joined = named.join(marks.withColumnRenamed("doc", "_doc"), "_doc", "left")
 
     def of(lines: Column) -> Column:

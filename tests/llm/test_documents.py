@@ -202,6 +202,14 @@ def test_short_lines_are_one_shingle(spark):
     assert Counter(map(tuple, got.collect())) == Counter(want)
 
 
+def test_texts_are_shuffled_once_in_line_dedup(docs):
+    """The join that verifies candidates and the one that removes lines read one shuffle."""
+    got = lines.dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_removed", "text")
+    got.collect()
+    final = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert any("ReusedExchange" in row and "text#" in row for row in final.splitlines())
+
+
 def test_quality(docs, empty):
     got = quality.ledger(docs)
     assert "g" in got.columns and "text" not in got.columns
