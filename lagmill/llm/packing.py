@@ -55,14 +55,15 @@ class SumOfSquares:
     def level_for(self, length: int) -> int:
         """Fill level at which a piece of ``length`` < size is placed; 0 is a new window."""
         upto = self.size - length
-        after = np.append(self.counts[length:], 0)[:upto + 1]
-        change = 2 * (after - self.counts[:upto + 1]) + 2
-        change[upto] -= 1  # a window that gets full is counted no more
-        change[0] = 2 * after[0] + 1
-        usable = self.counts[:upto + 1] > 0
-        usable[0] = True
-        change = np.where(usable, change, np.iinfo(np.int64).max)
-        return int(upto - np.argmin(change[::-1]))
+        used = np.flatnonzero(self.counts[:upto + 1])
+        if not len(used):
+            return 0
+        after = self.counts.take(used + length, mode="clip")
+        if used[-1] == upto:  # a window that gets full is counted no more
+            after[-1] = 0
+        change = 2 * (after - self.counts[used]) + 2 - (used == upto)
+        best = len(used) - 1 - int(np.argmin(change[::-1]))
+        return int(used[best]) if change[best] <= 2 * self.counts[length] + 1 else 0
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
         total = len(ids)

@@ -156,6 +156,41 @@ def test_known_pieces_are_not_learned_again(monkeypatch):
     assert tokens.piece_encoder(WORD_BPE) is tokens.piece_encoder(WORD_BPE)
 
 
+def test_words_share_pieces(monkeypatch):
+    """Capitals and marks around a word give no new pieces, and ids stay those of the library, whatever characters meet."""
+    encoder, plain = tokens.piece_encoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    learned, kind = [], type(encoder)
+    learn = kind._learn
+    monkeypatch.setattr(kind, "_learn", lambda self, pieces: (learned.extend(pieces), learn(self, pieces))[1])
+    kind(WORD_BPE, entries=100).encode(pa.array(["Straße", "STRAßE,", "(straße).", "straße's", "Straße's,", "Éa", "éa,", "(straße,", "éa).", "ÉA,", "(éa", "Straße)."], pa.large_string()))
+    assert len(learned) <= 8
+    odd = [*map(chr, range(1, 0x300)), "\u0301", "\u0331", "\u0338", "Σ", "ж", "語", "\u212a", "😀", "ﬁ", "\u2028", "<|", "|>", "'s", "<|ENDOFTEXT|>", "<|endoftext|>"]
+    forms = ("{0}", "a{0}b", "H{0}", "{0}H.", "!{0}x", "1{0}'S", "{0}{0}", "é{0}É", "'{0}T", "={0}", "{0}|", "<{0}>", "foo'{0}re,{0}5")
+    words = [w for c in odd for f in forms for w in f.format(c).split(" ") if w and not set(w) & set("\t\n\v\f\r")]
+    wanted = [plain.encode(w, add_special_tokens=False).ids for w in words]
+    for entries in (1 << 16, 3):
+        encoder = kind(WORD_BPE, entries=entries)
+        for part in (slice(None), slice(None, None, 7)):
+            lengths, ids = encoder.encode(pa.array(words[part], pa.large_string()))
+            assert lengths.tolist() == [len(w) for w in wanted[part]] and ids.tolist() == sum(wanted[part], [])
+
+
+def test_known_pieces_take_little_memory():
+    """A worker keeps what it knows when its task is over, beside the tasks of all later stages."""
+    import tracemalloc
+
+    words = pa.array(["".join(chr(97 + k // 26 ** e % 26) for e in range(4)) + "ung" for k in range(100_000)], pa.large_string())
+    encoder = type(tokens.piece_encoder(WORD_BPE))(WORD_BPE, entries=1 << 17)
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    try:
+        encoder.encode(words)
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    finally:
+        tracemalloc.stop()
+    assert held < 100 * len(words)
+
+
 def test_level_minimises_the_sum_of_squares():
     rng = np.random.default_rng(1)
     packer = packing.SumOfSquares(16)
