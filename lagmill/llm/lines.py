@@ -22,6 +22,8 @@ from lagmill.session import scratch_folder
 
 SHINGLE = 5
 COUNTERS = 1 << 18
+#: Groups that Spark's aggregation finds without its slower second map; a group has several counters.
+GROUPS = 1 << 16
 #: Bits of a token that are its hash; those above are its rank, 64 steps for each doubling of its counter.
 HASH_BITS = 51
 _NO_KEY = -(1 << 63)
@@ -49,17 +51,33 @@ def _name(line: Column) -> Column:
     return let(plain, lambda t: F.xxhash64(t, F.length(t)))
 
 
+def _words(line: Column) -> Column:
+    """Words of a trimmed line. Without a pattern where one space stands between words, as nearly everywhere."""
+    line = F.coalesce(line, F.lit(""))
+    other = reduce(or_, [F.contains(line, F.lit(c)) for c in ("  ", *WHITE.replace(" ", ""))])
+    return F.when(other, words(line)).otherwise(F.split(line, " "))
+
+
 def _shingles(line: Column) -> Column:
-    return F.array_distinct(window_hashes(F.transform(words(line), lambda w: F.xxhash64(w)), SHINGLE))
+    return F.array_distinct(window_hashes(F.transform(_words(line), lambda w: F.xxhash64(w)), SHINGLE))
 
 
 def _counter(h: Column) -> Column:
     return h.bitwiseAND(F.lit(COUNTERS - 1))
 
 
+def _counted(lines: DataFrame) -> DataFrame:
+    """(c, n): the shingles of all lines in each counter; the counters c, c + ``GROUPS``, .. are columns of one group."""
+    h, parts = F.col("h"), range(COUNTERS // GROUPS)
+    part = F.shiftright(_counter(h), GROUPS.bit_length() - 1)
+    groups = lines.select(F.explode(_shingles(F.col("line"))).alias("h")).groupBy(h.bitwiseAND(F.lit(GROUPS - 1)).cast("int").alias("g")).agg(
+        *[F.count_if(part == k).alias(f"n{k}") for k in parts])
+    return groups.select(F.inline(F.array(*[F.struct((F.col("g") + k * GROUPS).cast("long").alias("c"), F.col(f"n{k}").alias("n")) for k in parts])))
+
+
 def _counters(lines: DataFrame) -> Column:
     """Ranks of all counters as one array, for use as a value."""
-    counted = lines.select(F.explode(_shingles(F.col("line"))).alias("h")).groupBy(_counter(F.col("h")).alias("c")).agg(F.count("*").alias("n"))
+    counted = _counted(lines)
     every = lines.sparkSession.range(COUNTERS).select(F.col("id").alias("c"), F.lit(0).cast("long").alias("n")).unionByName(counted)
     dense = every.groupBy("c").agg(F.sum("n").alias("n"))
     rank = F.floor(F.log2(F.col("n") + 1) * 64).cast("int")
@@ -119,8 +137,8 @@ def removed_lines(docs: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFra
     places = spark.read.parquet(at["places"])
     places.groupBy("k").agg(F.min(F.struct("doc", "at")).alias("p"), F.count("*").alias("n")).select("k", "p.doc", "p.at", "n").write.parquet(at["firsts"])
     firsts = spark.read.parquet(at["firsts"])
-    long = lines.where(_long_enough(F.col("line")))
-    ranked = long.withColumn("ranks", _counters(long))
+    # Lines of fewer than five words have no shingles: no counts, no prefixes.
+    ranked = lines.withColumn("ranks", _counters(lines))
     # Similar lines share one of the first size - ceil(0.8 size) + 1 tokens.
     prefixes = ranked.select("k", _tokens(F.col("line"), F.col("ranks")).alias("tokens")).select(
         "k", F.size("tokens").alias("size"), F.expr("slice(tokens, 1, cast(size(tokens) - floor((size(tokens) * 4 + 4) / 5) + 1 as int))").alias("prefix"))

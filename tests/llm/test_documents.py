@@ -237,6 +237,20 @@ def test_short_lines_are_one_shingle(spark):
     assert Counter(map(tuple, got.collect())) == Counter(want)
 
 
+def test_counters_of_shingles(spark):
+    """Each counter has its shingles, a group several counters; words are those of the pattern, whatever parts them."""
+    texts = [" ".join(f"w{(k * m) % 997}" for m in range(1, 12)) for k in range(3000)] + ["a\tb  c d\x0be", "a b\x0cc\rd e f", "a b c d", "a"]
+    df = spark.createDataFrame([(t,) for t in texts], "line string")
+    split = df.select(lines._words(F.col("line")).alias("a"), lines.words(F.col("line")).alias("b")).collect()
+    assert all(r.a == r.b for r in split) and split[3000].a == list("abcde")
+    shingles = [h for r in df.select(lines._shingles(F.col("line")).alias("s")).collect() for h in r.s]
+    wanted = Counter(h & (lines.COUNTERS - 1) for h in shingles)
+    got = lines._counted(df)
+    assert {r.c: r.n for r in got.collect() if r.n} == wanted
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert f"& {lines.GROUPS - 1}" in plan and lines.GROUPS <= 1 << 16
+
+
 def test_texts_are_shuffled_once_in_line_dedup(docs):
     """The join that verifies candidates and the one that removes lines read one shuffle."""
     got = lines.dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_removed", "text")
