@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagmill.llm.arrays import filled, mixed, ragged, slices, word_lists
+from lagmill.llm.arrays import filled, mixed, ragged, slices, tidy, word_lists
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
@@ -71,15 +71,22 @@ class Model:
     temperature: float
     threshold: float
 
+    def _sums(self, words: pa.Array, at_once: int = 5_000) -> tuple[np.ndarray, np.ndarray]:
+        """(number of subwords of each word, sum of their rows of ``table``); only a block's rows are held at once."""
+        counts, sums = [], []
+        for at in range(0, len(words), at_once):
+            n, buckets = _subwords(words.slice(at, at_once))
+            counts.append(n)
+            sums.append(np.add.reduceat(self.table[buckets].astype(np.float64), np.cumsum(n) - n))
+        return np.concatenate(counts), np.concatenate(sums)
+
     def probabilities(self, texts: pa.Array) -> np.ndarray:
         """Class probabilities of each text; of a text without words those of the bias alone."""
         bounds, flat = word_lists(texts)
         out = np.zeros((len(texts), len(self.languages)))
         if len(flat):
             coded = flat.dictionary_encode()
-            counts, buckets = subwords(coded.dictionary)
-            heads = np.cumsum(counts) - counts
-            sums = np.add.reduceat(self.table[buckets].astype(np.float64), heads)
+            counts, sums = self._sums(coded.dictionary)
             codes = coded.indices.to_numpy()
             rows = np.flatnonzero(bounds[1:] > bounds[:-1])
             total = np.add.reduceat(counts[codes].astype(np.float64), bounds[:-1][rows])
@@ -202,7 +209,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     [*part.columns, pa.array(names, pa.string()), pa.array(score), pa.array(~letters | (score < m.threshold))],
                     [*keep, "lang_pred", "score", "lang_rejected"])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(tidy(run), schema)
 
 
 def train(docs: DataFrame, fold: Column | None = None) -> Model:
@@ -215,5 +222,5 @@ def train(docs: DataFrame, fold: Column | None = None) -> Model:
             parts = (model.languages, model.table, model.bias, model.temperature, model.threshold)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(parts)], pa.binary())], ["model"])
 
-    found = sample(docs, fold).repartition(1).mapInArrow(learn, "model binary").collect()
+    found = sample(docs, fold).repartition(1).mapInArrow(tidy(learn), "model binary").collect()
     return Model(*pickle.loads(bytes(found[0][0]))) if found else Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 0.0)

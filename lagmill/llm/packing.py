@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lagmill.llm.arrays import filled, slices, word_lists
+from lagmill.llm.arrays import filled, slices, tidy, word_lists
 from lagmill.llm.tokens import piece_encoder
 
 SIZE = 2048
@@ -142,4 +142,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int =
         yield packer.drain()
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+        tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

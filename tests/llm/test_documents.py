@@ -297,6 +297,26 @@ def test_language(spark, sf_dir, docs, empty):
     assert [r.lang_pred for r in langid.identify(docs.limit(3), langid.train(empty)).collect()] == ["und"] * 3
 
 
+def test_subwords_are_summed_in_blocks():
+    """The rows of all subwords of a slice are not held at once: workers share the memory of an executor."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    model = langid.Model(list("abcd"), rng.normal(size=(langid.BUCKETS, 4)).astype(np.float32), np.zeros(4), 1.0, 0.0)
+    words = ["".join(chr(97 + k // 26 ** e % 26) for e in range(4)) + "keitung" for k in range(60_000)]
+    texts = pa.array([" ".join(words[k:k + 300]) for k in range(0, len(words), 300)], pa.large_string())
+    tracemalloc.start()
+    try:
+        got = model.probabilities(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40e6
+    counts, buckets = langid.subwords(pa.array(words[:300], pa.large_string()))
+    wanted = langid.softmax(model.table[buckets].astype(np.float64).sum(axis=0)[None] / counts.sum())
+    assert np.allclose(got[0], wanted[0])
+
+
 def test_rare_languages_and_long_texts_are_learned(spark):
     letters = {"aa": "bcdfg", "bb": "hjklm", "cc": "npqrs"}
     rng = np.random.default_rng(4)
