@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lagmill.llm.arrays import filled, slices, word_lists
+from lagmill.llm.arrays import filled, give_back, slices, tidy, word_lists
 from lagmill.session import scratch_folder
 
 LONGEST = 4
@@ -56,7 +56,7 @@ def piece_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     before[offsets[:-1][offsets[:-1] < len(before)]] = False
     starts = np.flatnonzero(inside & ~before)
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    marks = np.cumsum(_IS_MARK[data])[starts] if len(starts) else np.zeros(0, np.int64)
+    marks = np.searchsorted(np.flatnonzero(_IS_MARK[data]), starts)
     fresh = (np.diff(marks, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0)
     return owner, words, fresh
 
@@ -77,8 +77,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = langs.indices.to_numpy().astype(np.int64)[owner] * width + coded.indices.to_numpy()
             own, place, times = np.unique(key, return_inverse=True, return_counts=True)
             places = np.flatnonzero(fresh)
-            codes = np.insert(place.astype(np.int64) + 1, places, 0)
-            codes = codes.astype(np.uint16 if len(own) < 1 << 16 else np.uint32)
+            codes = np.insert(place.astype(np.uint16 if len(own) < 1 << 16 else np.uint32) + 1, places, 0)
             lists = [langs.dictionary.take(pa.array(own // width)), coded.dictionary.take(pa.array(own % width)).cast(pa.string()), pa.array(times.astype(np.int64))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([number]), *(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), x) for x in lists), pa.array([codes.tobytes()], pa.binary())],
@@ -127,6 +126,8 @@ def _edges(left: pa.Table, right: pa.Table) -> pa.Table:
         high, low, times = distinct_edges(place[codes], own)
         two = (high & _LOW) != 0  # of single words all is known
         out.append((high[two], low[two], times[two]))
+        del codes, high, low, times, two
+        give_back()  # workers stay beside those of later stages
     columns = (np.concatenate(x).astype(np.int64) for x in zip(*out)) if out else [np.zeros(0, np.int64)] * 3
     return pa.table(dict(zip(("hi", "lo", "n"), map(pa.array, columns))))
 
@@ -227,7 +228,7 @@ def gram_counts(edges: DataFrame, least: int = LEAST) -> DataFrame:
     word; the parts of such a pair's count are summed afterwards."""
     hot = F.col("hi").bitwiseAND(F.shiftright("hi", 32)).bitwiseAND(F.lit(1)) == 1
     met = edges.repartition(F.col("hi"), F.when(hot, _first("lo"))).sortWithinPartitions("hi", "lo")
-    return met.mapInArrow(_flows(least), "len int, hi long, lo long, n long").groupBy("len", "hi", "lo").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return met.mapInArrow(tidy(_flows(least)), "len int, hi long, lo long, n long").groupBy("len", "hi", "lo").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def unary_paths(edges: DataFrame, at) -> DataFrame:
@@ -316,7 +317,7 @@ def mine_phrases(docs: DataFrame, best: int = 2000, least: int = LEAST) -> DataF
     spark = docs.sparkSession
     run = scratch_folder(spark, "phrases")
     at = lambda name: f"{run}/{name}"
-    docs.select("lang", "text").mapInArrow(_blocks, _BLOCK).write.parquet(at("blocks"))
+    docs.select("lang", "text").mapInArrow(tidy(_blocks), _BLOCK).write.parquet(at("blocks"))
     blocks = spark.read.parquet(at("blocks"))
     numbers = word_numbers(blocks, at("words"), least)
     own = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words")).alias("at", "w")).select("block", "at", F.col("w.langs").alias("lang"), F.col("w.words").alias("word"))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -121,6 +122,31 @@ def test_phrases_by_definition(spark, monkeypatch):
     assert phrases.mine_phrases(docs.limit(0)).count() == 0
 
 
+def test_pieces_take_little_memory():
+    """Places of marks are held, not a number for each byte: workers share the memory of an executor."""
+    import tracemalloc
+
+    texts = pa.array(["Ab cdefgh, ijklm\tnopqrs. tuvwxy " * 20_000] * 4 + [None, "", ",a;b", "c"], pa.string())
+    size = sum(len(t or "") for t in texts.to_pylist())
+    tracemalloc.start()
+    try:
+        owner, words, fresh = phrases.piece_words(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 12 * size
+    assert fresh[:8].tolist() == [True, False, True, False, True, False, False, True] and words[:6].to_pylist() == ["ab", "cdefgh", "ijklm", "nopqrs", "tuvwxy", "ab"]
+    assert owner[-3:].tolist() == [6, 6, 7] and fresh[-3:].all() and words[-3:].to_pylist() == ["a", "b", "c"]
+
+
+def test_workers_of_phrases_give_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(phrases, "give_back", lambda: given.append(1), raising=False)
+    left = pa.table({"codes": pa.array([np.array([0, 1, 2, 1, 2], np.uint16).tobytes()] * 2, pa.binary()), "size": pa.array([2, 2])})
+    edges = phrases._edges(left, pa.table({"id": pa.array([4, 6]), "at": pa.array([0, 1])}))
+    assert len(given) == 2 and edges.num_rows == 6
+
+
 def test_edges_of_wide_vocabularies():
     codes = np.random.default_rng(2).integers(0, 90_000, 300_000)
     ids = codes * 3
