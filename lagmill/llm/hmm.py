@@ -85,20 +85,23 @@ class Packed:
             self.ids[self.at[time] + row] = np.concatenate([sequences[k] for k in self.order])
 
 
-def forward(model: Model, packed: Packed, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """(natural log likelihood of each sequence in the packed order, scale of each step, scaled states if kept)."""
-    seen = model.emit[packed.ids]
+def states(model: Model, packed: Packed, seen: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """(scale of each step, scaled states if kept) from the emission probabilities ``seen`` of each step."""
     scales = np.empty(len(packed.ids))
     kept = np.empty_like(seen) if keep else None
+    ones = np.ones(len(model.start))
     state = None
     for t, n in enumerate(packed.active):
         a, b = packed.at[t], packed.at[t + 1]
         state = (model.start if t == 0 else state[:n] @ model.move) * seen[a:b]
-        scale = state.sum(axis=1)
-        state = state / scale[:, None]
-        scales[a:b] = scale
-        if keep:
-            kept[a:b] = state
+        scale = np.dot(state, ones, out=scales[a:b])
+        state = np.divide(state, scale[:, None], out=kept[a:b] if keep else state)
+    return scales, kept
+
+
+def forward(model: Model, packed: Packed, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(natural log likelihood of each sequence in the packed order, scale of each step, scaled states if kept)."""
+    scales, kept = states(model, packed, model.emit[packed.ids], keep)
     logs = np.zeros(len(packed.order))
     place = np.arange(len(packed.ids)) - np.repeat(packed.at[:-1], packed.active)
     np.add.at(logs, place, np.log(scales))
@@ -112,18 +115,21 @@ def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.
     starts, moves, emissions = np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emit), k))
     if not len(packed.ids):
         return starts, moves, emissions
-    _, scales, alpha = forward(model, packed, True)
-    gamma = np.empty_like(alpha)
+    seen = model.emit[packed.ids]
+    scales, gamma = states(model, packed, seen, True)
+    seen /= scales[:, None]
+    back = np.ascontiguousarray(model.move.T)
     beta = np.ones((0, k))
     for t in range(len(packed.active) - 1, -1, -1):
         a, b, n = packed.at[t], packed.at[t + 1], packed.active[t]
-        beta = np.concatenate([beta, np.ones((n - len(beta), k))])  # sequences that end here
-        gamma[a:b] = alpha[a:b] * beta
+        if len(beta) < n:  # sequences that end here
+            beta = np.concatenate([beta, np.ones((n - len(beta), k))])
+        gamma[a:b] *= beta
         if t:
-            weighted = beta * model.emit[packed.ids[a:b]] / scales[a:b, None]
+            weighted = np.multiply(beta, seen[a:b], out=seen[a:b])
             before = packed.at[t - 1]
-            moves += alpha[before:before + n].T @ weighted
-            beta = weighted @ model.move.T
+            moves += gamma[before:before + n].T @ weighted  # not yet multiplied: the scaled states of the step before
+            beta = weighted @ back
     for j in range(k):
         emissions[:, j] = np.bincount(packed.ids, gamma[:, j], len(model.emit))
     return gamma[:packed.active[0]].sum(axis=0), moves * model.move, emissions
@@ -155,11 +161,9 @@ def encoded_documents(docs: DataFrame, known: DataFrame, tokens: int, kinds: int
     grouped = docs.select("doc_id", "held_out", "learned", "text").withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
 
     def ask(key, table):
-        found = set()
-        for batch in table.combine_chunks().to_batches():
-            for part in slices(batch):
-                found.update(lower_words(part.column("text"))[1].unique().to_pylist())
-        return pa.table({"g": pa.array([key[0].as_py()] * (len(found) + 1), pa.int32()), "word": pa.array([END, *found], pa.string())})
+        found = [lower_words(part.column("text"))[1].unique() for batch in table.combine_chunks().to_batches() for part in slices(batch)]
+        words = pa.chunked_array([*found, [END]], found[0].type if found else pa.string()).unique().cast(pa.string())
+        return pa.table({"g": pa.array(np.full(len(words), key[0].as_py(), np.int32)), "word": words})
 
     asked = grouped.groupBy("g").applyInArrow(ask, "g int, word string")
     answers = asked.join(known, "word", "left").select("g", "word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", _shared_class()).alias("class"))

@@ -410,6 +410,18 @@ def test_forward_equals_the_sum_over_all_state_paths():
         np.testing.assert_allclose(mine, theirs, atol=1e-9)
 
 
+def test_counts_need_no_likelihoods(monkeypatch):
+    """A round of training reads emissions once and forms no likelihoods; sequences that end early begin anew backwards."""
+    rng = np.random.default_rng(5)
+    model = hmm.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3).T)
+    sequences = [rng.integers(0, 5, n) for n in (4, 1, 9, 4)]
+    alone = [hmm.expected(model, [s]) for s in sequences]
+    monkeypatch.setattr(hmm, "forward", lambda *_: pytest.fail("likelihoods formed"))
+    for together, parts in zip(hmm.expected(model, sequences), zip(*alone)):
+        assert np.allclose(together, sum(parts))
+    assert np.isclose(hmm.expected(model, sequences)[2].sum(), 18)
+
+
 def test_repeats(docs, empty):
     got = substrings.remove_repeats(docs)
     assert got.columns == [*docs.columns, "n_words", "n_removed", "kept_sha256"]
