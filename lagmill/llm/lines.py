@@ -2,7 +2,8 @@
 
 Tokens of a line are its five-word shingles. They are put in one order for all lines, rare ones first, so that two lines of
 similarity 0.8 share a token within the first fifth of each (the prefix). The order comes from counts of all shingles of all
-lines in ``COUNTERS`` hashed counters: a list of bounded size in which frequent shingles stand out.
+lines in ``COUNTERS`` hashed counters: a list of bounded size in which frequent shingles stand out. Those in counters that do
+not stand out are in the order of their hashes, so that most lines need no more than the ranks of their prefix.
 
 A line of fewer than five words is one shingle of all its words: similar to a line with the same words, and to no other. Its
 words name it, so that such lines meet by name and never enter the join.
@@ -10,6 +11,7 @@ words name it, so that such lines meet by name and never enter the join.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import or_
 
@@ -26,7 +28,10 @@ COUNTERS = 1 << 18
 GROUPS = 1 << 16
 #: Bits of a token that are its hash; those above are its rank, 64 steps for each doubling of its counter.
 HASH_BITS = 51
+_LOW = (1 << HASH_BITS) - 1
 _NO_KEY = -(1 << 63)
+#: Shingles of a line that are written out one by one, as plain expressions; longer lines take a lambda function.
+WRITTEN_OUT, _BLOCK = 256, 32
 
 
 def _key(c: str = "doc_id") -> Column:
@@ -36,8 +41,9 @@ def _key(c: str = "doc_id") -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, at, line) of all lines that are not blank, without the white space around them; ``k`` names the line."""
     split = docs.select(_key().alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("at", "line"))
-    return split.select("doc", "at", F.trim("line", F.lit(WHITE)).alias("line")).where("line <> ''").select(
-        "doc", "at", "line", _name(F.col("line")).alias("k"))
+    trimmed = split.select("doc", "at", F.trim("line", F.lit(WHITE)).alias("line")).where("line <> ''")
+    return trimmed.select("doc", "at", "line", _plain(F.col("line")).alias("plain")).select(
+        "doc", "at", "line", F.xxhash64("plain", F.length("plain")).alias("k"))
 
 
 def _long_enough(line: Column) -> Column:
@@ -45,10 +51,13 @@ def _long_enough(line: Column) -> Column:
     return line.rlike(r"^[ \t-\r]*(?:[^ \t-\r]+[ \t-\r]+){%d}[^ \t-\r]" % (SHINGLE - 1))
 
 
+def _plain(line: Column) -> Column:
+    """What names a trimmed line; of fewer than five words those alone count, not the white space between them."""
+    return F.when(_long_enough(line), line).otherwise(F.regexp_replace(line, r"[ \t-\r]+", " "))
+
+
 def _name(line: Column) -> Column:
-    """Name of a trimmed line; of fewer than five words those alone count, not the white space between them."""
-    plain = F.when(_long_enough(line), line).otherwise(F.regexp_replace(line, r"[ \t-\r]+", " "))
-    return let(plain, lambda t: F.xxhash64(t, F.length(t)))
+    return let(_plain(line), lambda t: F.xxhash64(t, F.length(t)))
 
 
 def _words(line: Column) -> Column:
@@ -62,6 +71,21 @@ def _shingles(line: Column) -> Column:
     return F.array_distinct(window_hashes(F.transform(_words(line), lambda w: F.xxhash64(w)), SHINGLE))
 
 
+def _with_shingles(lines: DataFrame, *keep: str) -> DataFrame:
+    """Columns ``keep`` of ``lines`` and ``shingles``, the lower bits of ``_shingles``. Lambda functions are not compiled, plain
+    expressions are: hence the windows of all but the longest lines are written out, in blocks that a line reaches or not."""
+    window = lambda i: "xxhash64(" + ", ".join(f"get(hashes, {i + k})" for k in range(SHINGLE)) + f") & {_LOW}L"
+    blocks = [f"if(size(hashes) > {b + SHINGLE - 1}, array({', '.join(map(window, range(b, b + _BLOCK)))}), array_repeat(0L, 0))"
+              for b in range(0, WRITTEN_OUT, _BLOCK)]
+    n = F.size("hashes") - (SHINGLE - 1)
+    starts = F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
+    longest = F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("hashes"), i + k) for k in range(SHINGLE)]).bitwiseAND(F.lit(_LOW)))
+    written = F.slice(F.expr(f"concat({', '.join(blocks)})"), F.lit(1), F.greatest(n, F.lit(0)))
+    hashed = lines.select(*keep, F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)).alias("hashes"))
+    return hashed.select(*keep, F.when(n <= WRITTEN_OUT, written).otherwise(longest).alias("windows")).select(
+        *keep, F.array_distinct("windows").alias("shingles"))
+
+
 def _counter(h: Column) -> Column:
     return h.bitwiseAND(F.lit(COUNTERS - 1))
 
@@ -70,25 +94,37 @@ def _counted(lines: DataFrame) -> DataFrame:
     """(c, n): the shingles of all lines in each counter; the counters c, c + ``GROUPS``, .. are columns of one group."""
     h, parts = F.col("h"), range(COUNTERS // GROUPS)
     part = F.shiftright(_counter(h), GROUPS.bit_length() - 1)
-    groups = lines.select(F.explode(_shingles(F.col("line"))).alias("h")).groupBy(h.bitwiseAND(F.lit(GROUPS - 1)).cast("int").alias("g")).agg(
+    # An explode that is not outer would filter by all windows written out, which the optimizer copies and takes minutes over.
+    groups = _with_shingles(lines).select(F.explode_outer("shingles").alias("h")).where("h is not null").groupBy(h.bitwiseAND(F.lit(GROUPS - 1)).cast("int").alias("g")).agg(
         *[F.count_if(part == k).alias(f"n{k}") for k in parts])
     return groups.select(F.inline(F.array(*[F.struct((F.col("g") + k * GROUPS).cast("long").alias("c"), F.col(f"n{k}").alias("n")) for k in parts])))
 
 
 def _counters(lines: DataFrame) -> Column:
-    """Ranks of all counters as one array, for use as a value."""
-    counted = _counted(lines)
-    every = lines.sparkSession.range(COUNTERS).select(F.col("id").alias("c"), F.lit(0).cast("long").alias("n")).unionByName(counted)
-    dense = every.groupBy("c").agg(F.sum("n").alias("n"))
-    rank = F.floor(F.log2(F.col("n") + 1) * 64).cast("int")
-    return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("c", rank.alias("r")))), lambda x: x["r"]).alias("ranks")).scalar()
-
-
-def _tokens(line: Column, ranks: Column) -> Column:
-    """Tokens in the order of all lines: rank above, hash below. None is null, so that they are sorted as plain numbers."""
-    low = (1 << HASH_BITS) - 1
-    rank = lambda h: F.coalesce(F.get(ranks, _counter(h).cast("int")), F.lit(0)).cast("long")
-    return F.sort_array(F.transform(_shingles(line), lambda h: F.shiftleft(rank(h), HASH_BITS) + h.bitwiseAND(F.lit(low))))
+    """Ranks of all counters as one array, zero for those that do not stand out from the mean. It is a literal: the value of a
+    subquery would be copied into each row. The driver gets ``COUNTERS`` numbers at most."""
+    listed = _counted(lines).where("n > 0").collect()
+    mean = sum(n for _, n in listed) / COUNTERS
+    ranks = ["0"] * COUNTERS
+    for c, n in listed:
+        if n > mean + 6 * mean**0.5:
+            ranks[c] = str(int(math.log2(n + 1) * 64))
+    return F.split(F.lit(",".join(ranks)), ",").cast("array<int>")
+
+
+def _prefixes(lines: DataFrame, ranks: Column) -> DataFrame:
+    """(doc, at, k, size, prefix): the number of tokens of each line and the first ones in the order of all lines, rank above,
+    hash below. If none of the first ones by hash has a rank, they are these; else all tokens of the line get their ranks."""
+    keep = ("doc", "at", "k")
+    # Similar lines share one of the first size - ceil(0.8 size) + 1 tokens.
+    size = F.size("tokens")
+    first = lambda tokens: F.slice(tokens, F.lit(1), (size - F.floor((size * 4 + 4) / 5) + 1).cast("int"))
+    rank = lambda h: F.coalesce(F.get(ranks, _counter(h).cast("int")), F.lit(0))
+    sets = _with_shingles(lines, *keep).select(*keep, F.sort_array("shingles").alias("tokens"))
+    sets = sets.select(*keep, "tokens", first(F.col("tokens")).alias("by_hash"))
+    ranked = F.sort_array(F.transform("tokens", lambda h: F.shiftleft(rank(h).cast("long"), HASH_BITS) + h))
+    prefix = F.when(F.exists("by_hash", lambda h: rank(h) > 0), first(ranked)).otherwise(F.col("by_hash"))
+    return sets.select(*keep, size.alias("size"), prefix.alias("prefix"))
 
 
 def _may_match() -> Column:
@@ -133,16 +169,13 @@ def removed_lines(docs: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFra
     spark = docs.sparkSession
     at = {name: scratch_folder(spark, name) for name in ("places", "firsts", "tokens", "pairs")}
     lines = _lines(docs)
-    lines.drop("line").write.parquet(at["places"])
-    places = spark.read.parquet(at["places"])
+    # Lines of fewer than five words have no shingles: no counts, no prefixes.
+    _prefixes(lines, _counters(lines)).write.parquet(at["places"])
+    placed = spark.read.parquet(at["places"])
+    places = placed.select("doc", "at", "k")
     places.groupBy("k").agg(F.min(F.struct("doc", "at")).alias("p"), F.count("*").alias("n")).select("k", "p.doc", "p.at", "n").write.parquet(at["firsts"])
     firsts = spark.read.parquet(at["firsts"])
-    # Lines of fewer than five words have no shingles: no counts, no prefixes.
-    ranked = lines.withColumn("ranks", _counters(lines))
-    # Similar lines share one of the first size - ceil(0.8 size) + 1 tokens.
-    prefixes = ranked.select("k", _tokens(F.col("line"), F.col("ranks")).alias("tokens")).select(
-        "k", F.size("tokens").alias("size"), F.expr("slice(tokens, 1, cast(size(tokens) - floor((size(tokens) * 4 + 4) / 5) + 1 as int))").alias("prefix"))
-    once = prefixes.groupBy("k").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    once = placed.where("size > 0").groupBy("k").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
     rows = once.select("k", "size", F.posexplode("prefix").alias("pos", "token"))
     several = rows.withColumn("lines", F.count("*").over(W.partitionBy("token"))).where("lines > 1").drop("lines")
     several.write.parquet(at["tokens"])
@@ -178,7 +211,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     def of(lines: Column) -> Column:
         name = lambda line: let(F.trim(line, F.lit(WHITE)), _name)
-        return F.filter(lines, lambda line, i: ~F.array_contains("_gone", F.struct(i.alias("at"), name(line).alias("k"))))
+        return F.filter(lines, lambda line, i: ~(F.array_contains("_gone.at", i) & F.array_contains(
+            "_gone", F.struct(i.alias("at"), name(line).alias("k")))))
 
     split = F.split("text", "\n")
     lines = F.when(F.col("_gone").isNull(), split).otherwise(of(split))

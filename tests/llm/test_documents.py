@@ -251,6 +251,29 @@ def test_counters_of_shingles(spark):
     assert f"& {lines.GROUPS - 1}" in plan and lines.GROUPS <= 1 << 16
 
 
+def test_shingles_written_out(spark):
+    """Compiled windows are those of ``_shingles`` at any length; prefixes are the first tokens in one order, with and without
+    ranks, and no ranks are copied into rows."""
+    n = [1, 4, 5, 6, 36, 37, lines.WRITTEN_OUT + 3, lines.WRITTEN_OUT + 4, lines.WRITTEN_OUT + 5, 700]
+    texts = [" ".join(f"w{(k * m) % 5003}" for m in range(size)) for k in (0, 1, 7) for size in n] + ["a b c d e a b c d e a b", "a  b\tc d e f"]
+    texts += [f"all of these words are common u{k} v{k}" for k in range(300)]
+    df = spark.createDataFrame([(k, 0, k, t) for k, t in enumerate(texts)], "doc long, at int, k long, line string")
+    low = (1 << lines.HASH_BITS) - 1
+    sets = {r.k: {h & low for h in r.s} for r in df.select("k", lines._shingles(F.col("line")).alias("s")).collect()}
+    got = {r.k: r.shingles for r in lines._with_shingles(df, "k").collect()}
+    assert all(len(got[k]) == len(s) and set(got[k]) == s for k, s in sets.items())
+    counts = Counter(h & (lines.COUNTERS - 1) for s in sets.values() for h in s)
+    mean = sum(counts.values()) / lines.COUNTERS
+    rank = lambda h: int(math.log2(c + 1) * 64) if (c := counts[h & (lines.COUNTERS - 1)]) > mean + 6 * mean**0.5 else 0
+    # All counters that have a shingle stand out here; without ranks the hashes alone count.
+    for ranks, of in ((lines._counters(df), rank), (F.array().cast("array<int>"), lambda h: 0)):
+        rows = lines._prefixes(df, ranks)
+        for r in rows.collect():
+            assert r.size == len(sets[r.k])
+            assert r.prefix == sorted((of(h) << lines.HASH_BITS) + h for h in sets[r.k])[: r.size - -(-4 * r.size // 5) + 1]
+        assert "ubquery" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_texts_are_shuffled_once_in_line_dedup(docs):
     """The join that verifies candidates and the one that removes lines read one shuffle."""
     got = lines.dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_removed", "text")
