@@ -2,8 +2,7 @@
 
 Tokens of a line are its five-word shingles. They are put in one order for all lines, rare ones first, so that two lines of
 similarity 0.8 share a token within the first fifth of each (the prefix). The order comes from counts of all shingles of all
-lines in ``COUNTERS`` hashed counters: a list of bounded size in which frequent shingles stand out. Those in counters that do
-not stand out are in the order of their hashes, so that most lines need no more than the ranks of their prefix.
+lines in ``COUNTERS`` hashed counters: a list of bounded size in which frequent shingles stand out.
 
 A line of fewer than five words is one shingle of all its words: similar to a line with the same words, and to no other. Its
 words name it, so that such lines meet by name and never enter the join.
@@ -101,30 +100,24 @@ def _counted(lines: DataFrame) -> DataFrame:
 
 
 def _counters(lines: DataFrame) -> Column:
-    """Ranks of all counters as one array, zero for those that do not stand out from the mean. It is a literal: the value of a
-    subquery would be copied into each row. The driver gets ``COUNTERS`` numbers at most."""
-    listed = _counted(lines).where("n > 0").collect()
-    mean = sum(n for _, n in listed) / COUNTERS
+    """Ranks of all counters as one array. It is a literal: the value of a subquery would be copied into each row. The driver
+    gets ``COUNTERS`` numbers at most."""
     ranks = ["0"] * COUNTERS
-    for c, n in listed:
-        if n > mean + 6 * mean**0.5:
-            ranks[c] = str(int(math.log2(n + 1) * 64))
+    for c, n in _counted(lines).where("n > 0").collect():
+        ranks[c] = str(int(math.log2(n + 1) * 64))
     return F.split(F.lit(",".join(ranks)), ",").cast("array<int>")
 
 
 def _prefixes(lines: DataFrame, ranks: Column) -> DataFrame:
-    """(doc, at, k, size, prefix): the number of tokens of each line and the first ones in the order of all lines, rank above,
-    hash below. If none of the first ones by hash has a rank, they are these; else all tokens of the line get their ranks."""
+    """(doc, at, k, size, prefix): the number of tokens of each line and the first ones in the order of all lines: rank above,
+    hash below. None is null, so that they are sorted as plain numbers."""
     keep = ("doc", "at", "k")
+    rank = lambda h: F.coalesce(F.get(ranks, _counter(h).cast("int")), F.lit(0)).cast("long")
+    sets = _with_shingles(lines, *keep).select(
+        *keep, F.sort_array(F.transform("shingles", lambda h: F.shiftleft(rank(h), HASH_BITS) + h)).alias("tokens"))
     # Similar lines share one of the first size - ceil(0.8 size) + 1 tokens.
-    size = F.size("tokens")
-    first = lambda tokens: F.slice(tokens, F.lit(1), (size - F.floor((size * 4 + 4) / 5) + 1).cast("int"))
-    rank = lambda h: F.coalesce(F.get(ranks, _counter(h).cast("int")), F.lit(0))
-    sets = _with_shingles(lines, *keep).select(*keep, F.sort_array("shingles").alias("tokens"))
-    sets = sets.select(*keep, "tokens", first(F.col("tokens")).alias("by_hash"))
-    ranked = F.sort_array(F.transform("tokens", lambda h: F.shiftleft(rank(h).cast("long"), HASH_BITS) + h))
-    prefix = F.when(F.exists("by_hash", lambda h: rank(h) > 0), first(ranked)).otherwise(F.col("by_hash"))
-    return sets.select(*keep, size.alias("size"), prefix.alias("prefix"))
+    return sets.select(*keep, F.size("tokens").alias("size"), F.expr(
+        "slice(tokens, 1, cast(size(tokens) - floor((size(tokens) * 4 + 4) / 5) + 1 as int))").alias("prefix"))
 
 
 def _may_match() -> Column:

@@ -263,9 +263,7 @@ def test_shingles_written_out(spark):
     got = {r.k: r.shingles for r in lines._with_shingles(df, "k").collect()}
     assert all(len(got[k]) == len(s) and set(got[k]) == s for k, s in sets.items())
     counts = Counter(h & (lines.COUNTERS - 1) for s in sets.values() for h in s)
-    mean = sum(counts.values()) / lines.COUNTERS
-    rank = lambda h: int(math.log2(c + 1) * 64) if (c := counts[h & (lines.COUNTERS - 1)]) > mean + 6 * mean**0.5 else 0
-    # All counters that have a shingle stand out here; without ranks the hashes alone count.
+    rank = lambda h: int(math.log2(counts[h & (lines.COUNTERS - 1)] + 1) * 64)
     for ranks, of in ((lines._counters(df), rank), (F.array().cast("array<int>"), lambda h: 0)):
         rows = lines._prefixes(df, ranks)
         for r in rows.collect():
