@@ -24,11 +24,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagmill.llm.arrays import filled, give_back, slices, tidy, word_lists
-from lagmill.session import scratch_folder
+from lagmill.session import batches_of, scratch_folder
 
 LONGEST = 4
 LEAST = 30
 BLOCK_BYTES = 6 << 20
+#: Texts come to workers in batches of so many bytes; words and edges go back so many rows at once, codes so many to a row. What
+#: is handed over stands in memory beside the heap, which tasks fill.
+BATCH_BYTES, ROWS_AT_ONCE, PART_CODES, EDGES_AT_ONCE = 4 << 20, 1 << 13, 1 << 16, 1 << 15
+#: Parts in which the edges of a block are sorted.
+SHARES = 4
+#: The table of blocks: small row groups, and numbers of words take less room by this codec.
+BLOCK_FILES = {"parquet.block.size": 8 << 20, "compression": "zstd"}
 #: One node in so many ends a path, and so many rounds double what a path pointer spans: paths stay short, cycles are cut.
 CUT_NODES, ROUNDS = 8, 5
 #: A word that makes one of so many words is hot: edges that begin with two of them are dealt out by their third word too.
@@ -61,46 +68,93 @@ def piece_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return owner, words, fresh
 
 
-_BLOCK = "block long, langs array<string>, words array<string>, times array<long>, codes binary"
+_BLOCK = "block long, at int, lang string, word string, times long, codes binary, size int"
+
+
+class _Block:
+    """Words of consecutive texts, coded by parts of few texts: of a whole block only codes and distinct words are held."""
+
+    def __init__(self):
+        self.langs, self.words, self.fresh, self.bytes = [], [], [], 0
+
+    def add(self, part: pa.RecordBatch, size: int) -> None:
+        owner, words, fresh = piece_words(part.column("text"))
+        langs = pc.fill_null(part.column("lang").cast(pa.string()), UNKNOWN).dictionary_encode()
+        self.langs.append(langs.take(pa.array(owner)))
+        self.words.append(words.dictionary_encode())
+        self.fresh.append(fresh)
+        self.bytes += size
+
+    @staticmethod
+    def _one(parts: list[pa.DictionaryArray]) -> tuple[np.ndarray, pa.Array]:
+        """Places of all parts in one list of values, and that list."""
+        parts = pa.chunked_array(parts).unify_dictionaries().chunks
+        return np.concatenate([x.indices.to_numpy() for x in parts]), parts[-1].dictionary
+
+    def told(self, number: int) -> Iterator[pa.RecordBatch]:
+        (lang, langs), (word, words) = self._one(self.langs), self._one(self.words)
+        places = np.flatnonzero(np.concatenate(self.fresh))
+        self.langs = self.words = self.fresh = []
+        width = max(len(words), 1)
+        key = lang.astype(np.int64) * width
+        key += word
+        del lang, word
+        met = pa.array(key).dictionary_encode()
+        del key
+        own, met = met.dictionary.to_numpy(), met.indices.to_numpy()
+        order = np.argsort(own)
+        own, times = own[order], np.bincount(met, minlength=len(own))[order]
+        place = np.empty(len(own), np.uint16 if len(own) < 1 << 16 else np.uint32)
+        place[order] = np.arange(1, len(own) + 1)
+        codes = np.insert(place[met], places, 0)
+        del met, places
+        n = len(own)
+        columns = {"at": pa.array(np.arange(n, dtype=np.int32)), "lang": langs.take(pa.array(own // width)), "word": words.take(pa.array(own % width)).cast(pa.string()), "times": pa.array(times.astype(np.int64))}
+        rows = _rows(number, n, columns)
+        for at in range(0, n, ROWS_AT_ONCE):
+            yield rows.slice(at, ROWS_AT_ONCE)
+        for at, start in enumerate(range(0, max(len(codes), 1), PART_CODES)):
+            part = pa.array([codes[start:start + PART_CODES].tobytes()], pa.binary())
+            yield _rows(number, 1, {"at": pa.array([at], pa.int32()), "codes": part, "size": pa.array([n], pa.int32())})
+
+
+def _rows(number: int, n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """Rows of a block; columns that are not given are null."""
+    kinds = {"block": pa.int64(), "at": pa.int32(), "lang": pa.string(), "word": pa.string(), "times": pa.int64(), "codes": pa.binary(), "size": pa.int32()}
+    columns = {"block": pa.array(np.full(n, number)), **columns}
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, kind) for c, kind in kinds.items()], names=list(kinds))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block its distinct (language, word) with counts, and the words of its texts as places in that list plus one; zero
-    parts pieces."""
-    number = TaskContext.get().partitionId() << 32
+    """Per block its distinct (language, word) with counts, each with its place ``at``, and the words of its texts as such places
+    plus one in ``codes``, cut into parts that ``at`` numbers; zero parts pieces. ``size`` tells how many words there are. Rows
+    are small, and a block goes on over batches."""
+    number, block = TaskContext.get().partitionId() << 32, _Block()
     for batch in batches:
-        for part in slices(batch, limit=BLOCK_BYTES):
-            owner, words, fresh = piece_words(part.column("text"))
-            langs = pc.fill_null(part.column("lang").cast(pa.string()), UNKNOWN).dictionary_encode()
-            coded = words.dictionary_encode()
-            width = max(len(coded.dictionary), 1)
-            key = langs.indices.to_numpy().astype(np.int64)[owner] * width + coded.indices.to_numpy()
-            own, place, times = np.unique(key, return_inverse=True, return_counts=True)
-            places = np.flatnonzero(fresh)
-            codes = np.insert(place.astype(np.uint16 if len(own) < 1 << 16 else np.uint32) + 1, places, 0)
-            lists = [langs.dictionary.take(pa.array(own // width)), coded.dictionary.take(pa.array(own % width)).cast(pa.string()), pa.array(times.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), *(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), x) for x in lists), pa.array([codes.tobytes()], pa.binary())],
-                names=["block", "langs", "words", "times", "codes"])
-            number += 1
-
-
-def distinct_edges(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        for part in slices(batch, limit=max(BLOCK_BYTES // 8, 1)):
+            size = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if block.words and block.bytes + size > BLOCK_BYTES:
+                yield from block.told(number)
+                number, block = number + 1, _Block()
+            block.add(part, size)
+    if block.words:
+        yield from block.told(number)
+
+
+def distinct_edges(codes: np.ndarray, ids: np.ndarray, share: int = 0, shares: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first two words, last two words, times) of the distinct edges of a sequence of places in ``ids``, a rising list that
-    begins with zero; zero parts pieces. Each word begins one edge; what reaches past its piece is zero."""
-    n = len(codes)
-    begins = codes > 0
+    begins with zero; zero parts pieces. Each word begins one edge; what reaches past its piece is zero. One share of several
+    has the edges of every so many first words."""
+    begins = np.flatnonzero((codes > 0) & (codes % shares == share) if shares > 1 else codes > 0)
     base = np.uint64(len(ids))
-    grams, last = [], codes
-    for k in range(LONGEST):
-        if k:
-            later = np.zeros(n, codes.dtype)
-            later[:max(n - k, 0)] = codes[k:]
-            later[last == 0] = 0
-            last = later
-        grams.append(last[begins].astype(np.uint64))
+    grams = [codes[begins].astype(np.uint64)]
+    for k in range(1, LONGEST):
+        later = codes.take(begins + k, mode="clip").astype(np.uint64)
+        later[(grams[-1] == 0) | (begins + k >= len(codes))] = 0
+        grams.append(later)
+    del begins, later
     high, low = grams[0] * base + grams[1], grams[2] * base + grams[3]
-    del grams, last
+    del grams
     narrow = len(ids) <= 1 << 16
     if not narrow:  # two words fit into half a key only by a list of their own
         (highs, high), (lows, low) = np.unique(high, return_inverse=True), np.unique(low, return_inverse=True)
@@ -113,23 +167,35 @@ def distinct_edges(codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.n
     return (word(high // base) << 32) | word(high % base), (word(low // base) << 32) | word(low % base), times
 
 
+def _whole(left: pa.Table) -> pa.Table:
+    """The codes of a block as one row, from its parts."""
+    parts = left.sort_by("part").column("codes")
+    codes = b"".join([x.as_buffer() for x in parts])
+    ends = pa.py_buffer(np.array([0, len(codes)]))
+    return pa.table({"codes": pa.LargeBinaryArray.from_buffers(pa.large_binary(), 1, [None, ends, pa.py_buffer(codes)]), "size": left.column("size").slice(0, 1)})
+
+
 def _edges(left: pa.Table, right: pa.Table) -> pa.Table:
     """Edges of a block; words without a number part pieces too."""
     out = []
-    for raw, size in zip(left.column("codes").to_pylist(), left.column("size").to_pylist()):
-        codes = np.frombuffer(raw, np.uint16 if size < 1 << 16 else np.uint32)
-        ids = right.column("id").to_numpy()
-        order = np.argsort(ids)
-        place = np.zeros(size + 1, np.uint32)
-        place[right.column("at").to_numpy().astype(np.int64)[order] + 1] = np.arange(1, len(ids) + 1)
-        own = np.concatenate([[0], ids[order]])
-        high, low, times = distinct_edges(place[codes], own)
-        two = (high & _LOW) != 0  # of single words all is known
-        out.append((high[two], low[two], times[two]))
-        del codes, high, low, times, two
+    ids = right.column("id").to_numpy()
+    order = np.argsort(ids)
+    own = np.concatenate([[0], ids[order]])
+    at = right.column("at").to_numpy().astype(np.int64)[order] + 1
+    for raw, size in zip(left.column("codes"), left.column("size").to_pylist()):
+        codes = np.frombuffer(raw.as_buffer(), np.uint16 if size < 1 << 16 else np.uint32)
+        place = np.zeros(size + 1, np.uint16 if len(own) <= 1 << 16 else np.uint32)
+        place[at] = np.arange(1, len(own))
+        codes = place[codes]
+        for share in range(SHARES):
+            high, low, times = distinct_edges(codes, own, share, SHARES)
+            two = (high & _LOW) != 0  # of single words all is known
+            whole = pa.RecordBatch.from_arrays([pa.array(x[two].astype(np.int64)) for x in (high, low, times)], names=["hi", "lo", "n"])
+            out += [whole.slice(k, EDGES_AT_ONCE) for k in range(0, len(whole), EDGES_AT_ONCE)]
+            del high, low, times, two, whole
+        del codes, place, raw
         give_back()  # workers stay beside those of later stages
-    columns = (np.concatenate(x).astype(np.int64) for x in zip(*out)) if out else [np.zeros(0, np.int64)] * 3
-    return pa.table(dict(zip(("hi", "lo", "n"), map(pa.array, columns))))
+    return pa.Table.from_batches(out, pa.schema([(c, pa.int64()) for c in ("hi", "lo", "n")]))
 
 
 class _Runs:
@@ -205,18 +271,18 @@ def _gram(words: list[Column]) -> tuple[Column, Column]:
     return _both(four[0], four[1]), _both(four[2], four[3])
 
 
-def word_numbers(blocks: DataFrame, path: str, least: int = LEAST) -> DataFrame:
+def word_numbers(words: DataFrame, path: str, least: int = LEAST) -> DataFrame:
     """(lang, word, n, id) of words that occur ``least`` times or more in their language; ids are small, distinct and positive,
     and those of hot words odd.
 
     Ids are ranks within hashed buckets, so no task orders all words."""
-    counted = blocks.select(F.inline(F.arrays_zip("langs", "words", "times"))).groupBy(F.col("langs").alias("lang"), F.col("words").alias("word")).agg(F.sum("times").alias("n"))
+    counted = words.groupBy("lang", "word").agg(F.sum("times").alias("n"))
     buckets = 1 << 12
     bucket = F.pmod(F.xxhash64("lang", "word"), F.lit(buckets))
     rank = F.row_number().over(W.partitionBy("bucket").orderBy("lang", "word"))
     frequent = counted.where(F.col("n") >= least).withColumn("bucket", bucket)
     frequent.select("lang", "word", "n", (rank.cast("long") * buckets + F.col("bucket") - buckets + 1).alias("id")).write.parquet(path)
-    written = blocks.sparkSession.read.parquet(path)
+    written = words.sparkSession.read.parquet(path)
     hot = F.col("n") * HOT_SHARE >= written.agg(F.sum("n").alias("all")).scalar()
     return written.select("lang", "word", "n", (F.col("id") * 2 + hot.cast("long")).alias("id"))
 
@@ -317,13 +383,14 @@ def mine_phrases(docs: DataFrame, best: int = 2000, least: int = LEAST) -> DataF
     spark = docs.sparkSession
     run = scratch_folder(spark, "phrases")
     at = lambda name: f"{run}/{name}"
-    docs.select("lang", "text").mapInArrow(tidy(_blocks), _BLOCK).write.parquet(at("blocks"))
+    with batches_of(spark, BATCH_BYTES):
+        docs.select("lang", "text").mapInArrow(tidy(_blocks), _BLOCK).write.options(**BLOCK_FILES).parquet(at("blocks"))
     blocks = spark.read.parquet(at("blocks"))
-    numbers = word_numbers(blocks, at("words"), least)
-    own = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words")).alias("at", "w")).select("block", "at", F.col("w.langs").alias("lang"), F.col("w.words").alias("word"))
-    answers = own.join(numbers.select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("asker"), "at", "id")
-    coded = blocks.select("block", "codes", F.size("words").alias("size"))
-    edges = coded.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(_edges, "hi long, lo long, n long")
+    words = blocks.where(F.col("word").isNotNull()).select("block", "at", "lang", "word", "times")
+    numbers = word_numbers(words, at("words"), least)
+    answers = words.join(numbers.select("lang", "word", "id"), ["lang", "word"]).select(F.col("block").alias("asker"), "at", "id")
+    coded = blocks.where(F.col("codes").isNotNull()).select("block", F.col("at").alias("part"), "codes", "size")
+    edges = coded.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(lambda left, right: _edges(_whole(left), right), "hi long, lo long, n long")
     gram_counts(edges, least).write.parquet(at("grams"))
     counts = spark.read.parquet(at("grams"))
     paths = unary_paths(counts.where("len = 4"), at)
@@ -337,5 +404,5 @@ def mine_phrases(docs: DataFrame, best: int = 2000, least: int = LEAST) -> DataF
     part = spelled.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
     some = part.withColumn("rank", F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= best)
     ranked = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= best)
-    totals = blocks.select(F.inline(F.arrays_zip("langs", "times"))).groupBy(F.col("langs").alias("lang")).agg(F.sum("times").alias("n"))
+    totals = words.groupBy("lang").agg(F.sum("times").alias("n"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))

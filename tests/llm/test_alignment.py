@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from lagmill.llm import alignment, phrases
 from lagmill.llm.queries import BYTE_BPE, PIECE_BPE
+from lagmill.session import batches_of
 
 ODD = ["  lead", "trail  ", "a  b\n\n c", "<|endoftext|> and <|x", "<s> </s> <0x0A>", "▁ bar", "tab\tx 　y \xa0 z", "  q", " ", "\n", "naïve déjà 日本語 тест", "x" * 300]
 ROWS = brute.awkward() + [(500 + k, t, None, None, None, None, None, None, None) for k, t in enumerate(ODD)]
@@ -147,6 +148,79 @@ def test_workers_of_phrases_give_memory_back(monkeypatch):
     assert len(given) == 2 and edges.num_rows == 6
 
 
+def _task(monkeypatch, number=0):
+    monkeypatch.setattr(phrases, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Own", (), {"partitionId": lambda self: number})())}))
+
+
+def test_blocks_are_handed_over_in_small_rows(monkeypatch):
+    """What a worker holds and hands over has a bound far below a block: it stands beside the heap of the executor."""
+    import tracemalloc
+
+    _task(monkeypatch, 3)
+    rng = np.random.default_rng(4)
+    names = np.array([f"w{k}" for k in range(120_000)])
+    texts = [" ".join(names[rng.integers(0, 120_000, 5_000)]) + "." for _ in range(150)]
+    langs = ["en", None, "de"] * 50
+    batches = [pa.RecordBatch.from_pydict({"lang": langs[k:k + 120], "text": texts[k:k + 120]}) for k in (0, 120)]
+    assert 4 << 20 < sum(map(len, texts)) < phrases.BLOCK_BYTES
+    tracemalloc.start()
+    try:
+        given = list(phrases._blocks(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert max(map(pa.ipc.get_record_batch_size, given)) < 1 << 20 and peak < 6 * sum(map(len, texts))
+    out = [r for batch in given for r in batch.to_pylist()]
+    words, parts = [r for r in out if r["word"] is not None], [r for r in out if r["codes"] is not None]
+    assert {r["block"] for r in out} == {3 << 32}  # a block goes on over batches
+    assert [r["at"] for r in words] == [*range(len(words))] and [r["at"] for r in parts] == [*range(len(parts))] and len(parts) > 5
+    assert Counter({(r["lang"], r["word"]): r["times"] for r in words}) == Counter((lang or "und", w) for lang, t in zip(langs, texts) for w in t[:-1].split())
+    codes = np.frombuffer(b"".join(r["codes"] for r in parts), np.uint32)
+    want = [x for lang, t in zip(langs, texts) for x in [None, *((lang or "und", w) for w in t[:-1].split())]]
+    assert [None if c == 0 else (words[c - 1]["lang"], words[c - 1]["word"]) for c in codes.tolist()] == want and {r["size"] for r in parts} == {len(words)}
+
+
+def test_blocks_without_words_and_long_texts(monkeypatch):
+    _task(monkeypatch)
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 64)
+    texts = [None, "", " ., ", "long " * 40, "a", "b. c", None, "d " * 60]
+    out = [r for b in phrases._blocks(iter([pa.RecordBatch.from_pydict({"lang": pa.array([None] * 8, pa.string()), "text": pa.array(texts, pa.string())})])) for r in b.to_pylist()]
+    assert Counter({(r["block"], r["word"]): r["times"] for r in out if r["word"] is not None}).total() == 40 + 3 + 60
+    assert {r["block"] for r in out if r["word"] == "long"}.isdisjoint({r["block"] for r in out if r["word"] == "a"})
+    assert {r["block"] for r in out} == {r["block"] for r in out if r["codes"] is not None}
+    assert not list(phrases._blocks(iter([])))
+
+
+def test_edges_take_little_memory():
+    """Edges of a block are sorted in shares and given in small batches."""
+    import tracemalloc
+
+    codes = np.random.default_rng(2).integers(0, 90_000, 400_000).astype(np.uint32)
+    cuts = np.split(codes, [65_536, 131_072, 300_000])
+    left = pa.table({"part": [2, 0, 3, 1], "codes": pa.array([cuts[k].tobytes() for k in (2, 0, 3, 1)], pa.binary()), "size": [89_999] * 4})
+    ids = np.arange(1, 90_000) * 3
+    tracemalloc.start()
+    try:
+        edges = phrases._edges(phrases._whole(left), pa.table({"id": ids, "at": np.arange(len(ids))}))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    high, low, times = phrases.distinct_edges(codes, np.arange(90_000) * 3)
+    two = (high & 0xFFFFFFFF) != 0
+    got = sorted(zip(*(edges.column(c).to_pylist() for c in ("hi", "lo", "n"))))
+    assert got == sorted(zip(high[two].tolist(), low[two].tolist(), times[two].tolist()))
+    assert max(b.num_rows for b in edges.to_batches()) <= 1 << 15 and peak < 60 * len(codes)
+
+
+def test_batches_of_a_size_end_with_the_job(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    sizes = lambda: spark.range(4000).selectExpr("repeat('x', 1000) AS text").coalesce(1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()
+    was = key in spark.conf.getAll, spark.conf.get(key)
+    with batches_of(spark, 100_000):
+        assert max(r["n"] for r in sizes()) < 200
+    assert (key in spark.conf.getAll, spark.conf.get(key)) == was and max(r["n"] for r in sizes()) > 200
+
+
 def test_edges_of_wide_vocabularies():
     codes = np.random.default_rng(2).integers(0, 90_000, 300_000)
     ids = codes * 3
